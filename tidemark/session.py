@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,15 @@ def require_columns(df: DataFrame, names: list[str], what: str = "input") -> Dat
     if missing:
         raise ValueError(f"{what} lacks columns {missing}")
     return df
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder as Parquet and read it again.
+
+    Like a checkpoint, but columnar and compressed: later steps read the columns
+    they need, and a lost executor costs nothing of what is written.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
