@@ -9,6 +9,7 @@ the others say, and ties go by the rest of the ranking.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -161,49 +162,38 @@ class _Last(str):
         return str.__lt__(self, other)
 
 
-_PROFILE = "columns array<array<struct<t:string,w:array<double>,id:string>>>, w array<double>, id string"
+def _pack(p: Profile) -> str:
+    return json.dumps([[list(c.items()) for c in p.columns], p.weight])
 
 
-def _pack(p: Profile) -> tuple:
-    cut = (lambda w: ([float(x) for x in w[:-1]], str(w[-1]))) if p.ranked else (lambda w: ([w[0]], ""))
-    return [[(t, *cut(w)) for t, w in c.items()] for c in p.columns], *cut(p.weight)
-
-
-def _unpack(columns: list, w: Sequence[float], ident: str, ranked: bool) -> Profile:
-    full = (lambda w, i: (*w, _Last(i))) if ranked else (lambda w, i: (float(w[0]),))
-    return Profile([{x["t"]: full(x["w"], x["id"]) for x in c} for c in columns], full(w, ident), ranked)
+def _unpack(packed: str, ranked: bool) -> Profile:
+    columns, weight = json.loads(packed)
+    full = (lambda w: (*w[:-1], _Last(w[-1]))) if ranked else tuple
+    return Profile([{t: full(w) for t, w in c} for c in columns], full(weight), ranked)
 
 
 def _large(rows: DataFrame, ranked: bool) -> DataFrame:
     """Consensus of groups too large for a task: profiles of blocks, merged by twos dozens at a time."""
 
-    @F.pandas_udf(_PROFILE)
-    def first(groups: pd.Series) -> pd.DataFrame:
-        out = []
-        for items in groups:
-            items = sorted(items, key=lambda x: (tuple(x["vote"]), _Last(x["id"])), reverse=True)
-            parts = [Profile.of(tokens_of(x["v"]), (*x["vote"], _Last(x["id"])) if ranked else (float(x["w"]),), ranked) for x in items]
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.align(p)
-            out.append(_pack(whole))
-        return pd.DataFrame(out, columns=["columns", "w", "id"])
-
-    @F.pandas_udf(_PROFILE)
-    def merge(groups: pd.Series) -> pd.DataFrame:
-        out = []
-        for items in groups:
-            parts = [_unpack(x["columns"], x["w"], x["id"], ranked) for x in items]
-            parts.sort(key=lambda p: p.weight, reverse=True)
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.align(p)
-            out.append(_pack(whole))
-        return pd.DataFrame(out, columns=["columns", "w", "id"])
+    def together(parts: list[Profile]) -> str:
+        parts = sorted(parts, key=lambda p: p.weight, reverse=True)
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.align(p)
+        return _pack(whole)
+
+    @F.pandas_udf("string")
+    def first(groups: pd.Series) -> pd.Series:
+        weigh = (lambda x: (*map(float, x["vote"]), _Last(x["id"]))) if ranked else (lambda x: (float(x["w"]),))
+        return pd.Series([together([Profile.of(tokens_of(x["v"]), weigh(x), ranked) for x in sorted(items, key=lambda x: x["id"])]) for items in groups])
+
+    @F.pandas_udf("string")
+    def merge(groups: pd.Series) -> pd.Series:
+        return pd.Series([together([_unpack(x, ranked) for x in sorted(items)]) for items in groups])
 
     @F.pandas_udf("array<string>")
-    def won(columns: pd.Series, w: pd.Series, ident: pd.Series) -> pd.Series:
-        return pd.Series([_unpack(c, x, i, ranked).consensus() for c, x, i in zip(columns, w, ident, strict=True)])
+    def won(packed: pd.Series) -> pd.Series:
+        return pd.Series([_unpack(x, ranked).consensus() for x in packed])
 
     @F.pandas_udf("int")
     def away(value: pd.Series, target: pd.Series) -> pd.Series:
@@ -214,7 +204,7 @@ def _large(rows: DataFrame, ranked: bool) -> DataFrame:
     while not level.where("block > 0").isEmpty():
         level = level.groupBy("g", F.floor(F.col("block") / BLOCK).alias("block")).agg(F.collect_list("p").alias("items"))
         level = stored(level.select("g", "block", merge("items").alias("p")), "profiles")
-    target = level.select("g", won("p.columns", "p.w", "p.id").alias("target"))
+    target = level.select("g", won("p").alias("target"))
     near = rows.join(target, "g").select("g", "id", "v", "vote", away("v", "target").alias("d"))
     # least distance, then highest vote, then smallest id
     best = near.groupBy("g").agg(F.min(F.struct("d", F.transform("vote", lambda x: -x).alias("worse"), "id", "v")).alias("b"))
