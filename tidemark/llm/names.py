@@ -114,7 +114,8 @@ def close_cores(nodes: DataFrame) -> DataFrame:
     anything is emitted.
     """
     spark = nodes.sparkSession
-    nodes = nodes.select("node", "person", "core", "turned", _letters_mask(F.col("core")).alias("mask"))
+    # written, so that the letters are looked at once a node and not once a substring
+    nodes = stored(nodes.select("node", "person", "core", "turned", _letters_mask(F.col("core")).alias("mask")), "cores")
     places = F.broadcast(spark.createDataFrame(index_places(), "n int, segment int, start int, size int"))
     probes = F.broadcast(spark.createDataFrame(probe_places(), "n int, indexed_n int, segment int, start int, size int"))
     forms = nodes.select("node", "person", F.col("core").alias("form"), "mask").unionByName(
