@@ -51,11 +51,12 @@ def probe_places(longest: int = LONGEST) -> list[tuple[int, int, int, int, int]]
 
     With ``i`` segments before one, at most ``i`` edits can lie before it if no
     earlier segment survives, and at most ``k - i`` after it; that bounds the shift
-    from both ends.
+    from both ends.  Only cores as long or shorter are looked up: of a pair, the
+    longer one finds the other.
     """
     out = []
     for n in range(1, longest + 1):
-        for m in range(max(1, n - 3), min(longest, n + 3) + 1):
+        for m in range(max(1, n - 3), n + 1):
             k = edits_allowed(m)
             if abs(n - m) > k:
                 continue
@@ -260,7 +261,7 @@ def link_names(mentions: DataFrame, grouped: DataFrame | None = None) -> DataFra
     signs = stored(signs, "signs")
     # a core that stands with a short form is no whole name
     nodes = signs.where("node is not null and (person or short = '')").groupBy("node").agg(
-        F.first("person").alias("person"), F.min(F.struct("core", "turned")).alias("c"), F.sum("n").alias("n")
+        F.first("person").alias("person"), F.max_by(F.struct("core", "turned"), F.struct("n", "sign")).alias("c"), F.sum("n").alias("n")
     ).select("node", "person", "c.core", "c.turned", "n")
     home = houses(nodes, stored(close_cores(nodes.where(F.length("core") <= LONGEST)), "edges"))
     signs = signs.join(home, "node", "left").withColumn("house", F.coalesce("house", "node", F.lit(0)))
