@@ -178,17 +178,15 @@ def resolve(signs: DataFrame) -> DataFrame:
     member that it does not contradict, first among those of its legal form, else
     among all; where there are several, it stays by itself.
     """
-    complete = signs.where("line <> '' and short = '' or person and line <> ''")
     entity = F.xxhash64("house", "lead", "line", "numeral")
     # persons: the middle initial parts them, organisations: the numeral
     person_entity = F.xxhash64("house", "line", "form")
-    complete = complete.withColumn("entity", F.when(F.col("person"), person_entity).otherwise(entity))
-    members = complete.groupBy("entity", "house", "person", "lead", "line", "numeral").agg(
-        F.collect_set("form").alias("forms"), F.sum("n").alias("n"), F.max("form").alias("middle")
-    )
-    wanting = signs.join(complete.select("sign"), "sign", "left_anti")
-    bare_persons = complete.where("person and form = ''")
-    wanting = wanting.unionByName(bare_persons.drop("entity"))
+    whole = (F.col("line") != "") & (F.col("person") | (F.col("short") == ""))
+    own = F.when(whole & F.col("person"), person_entity).when(whole, entity).otherwise(F.xxhash64("sign"))
+    signs = signs.withColumn("whole", whole).withColumn("entity", own)
+    complete = signs.where("whole")
+    members = complete.groupBy("entity", "house", "person", "lead", "line", "numeral").agg(F.collect_set("form").alias("forms"), F.max("form").alias("middle"))
+    wanting = signs.where("not whole or person and form = ''")
     # a signature with its core, looked for inside its house
     inside = wanting.where("short = '' or person").alias("s").join(members.alias("m"), F.col("s.house") == F.col("m.house"))
     fits = F.when(
@@ -207,9 +205,7 @@ def resolve(signs: DataFrame) -> DataFrame:
         (F.col("s.house") == F.col("m.house")) & (F.col("s.line") == F.col("m.line")) & (F.col("s.numeral") == F.col("m.numeral")),
     ).select("s.sign", "m.entity", F.lit(True).alias("same"), F.lit("").alias("middle"), F.lit(False).alias("person"))
     # a second word cut to its beginning: looked for by the first word
-    words = signs.where("not person and short = '' and second <> ''").join(
-        complete.select("sign", "entity"), "sign"
-    ).select("first", "second", "entity", "line", "numeral", "form").distinct()
+    words = complete.where("not person and second <> ''").select("first", "second", "entity", "line", "numeral", "form").distinct()
     words = words.unionByName(
         words.select(F.col("second").alias("first"), F.col("first").alias("second"), "entity", "line", "numeral", "form")
     ).withColumn("initial", F.left("second", F.lit(1)))
@@ -233,10 +229,8 @@ def resolve(signs: DataFrame) -> DataFrame:
         .when(F.col("middles") > 1, F.col("no_middle"))
     ).when(F.col("alike") == 1, F.col("one_alike")).when(F.col("all") == 1, F.col("one"))
     chosen = chosen.select("sign", entity_of.alias("chosen"))
-    own = F.when(F.col("c.entity").isNotNull(), F.col("c.entity")).otherwise(F.xxhash64("s.sign"))
-    return (
-        signs.alias("s").join(complete.alias("c"), F.col("s.sign") == F.col("c.sign"), "left").join(chosen.alias("k"), F.col("s.sign") == F.col("k.sign"), "left")
-        .select(F.col("s.sign").alias("sign"), F.coalesce("k.chosen", own).alias("entity"))
+    return signs.alias("s").join(chosen.alias("k"), F.col("s.sign") == F.col("k.sign"), "left").select(
+        F.col("s.sign").alias("sign"), F.coalesce("k.chosen", "s.entity").alias("entity")
     )
 
 
@@ -264,7 +258,8 @@ def link_names(mentions: DataFrame, grouped: DataFrame | None = None) -> DataFra
         F.first("person").alias("person"), F.max_by(F.struct("core", "turned"), F.struct("n", "sign")).alias("c"), F.sum("n").alias("n")
     ).select("node", "person", "c.core", "c.turned", "n")
     home = houses(nodes, stored(close_cores(nodes.where(F.length("core") <= LONGEST)), "edges"))
-    signs = signs.join(home, "node", "left").withColumn("house", F.coalesce("house", "node", F.lit(0)))
+    said = ["sign", "person", "first", "second", "lead", "short", "line", "form", "numeral"]
+    signs = signs.join(home, "node", "left").select(*said, F.coalesce("house", "node", F.lit(0)).alias("house"))
     entities = resolve(stored(signs, "signs"))
     placed = parsed.select("src", "id", "sign").join(entities, "sign").select("src", "id", "entity")
     if grouped is None:
