@@ -59,6 +59,7 @@ _TAIL = re.compile(r"\(the \W*company\W*\)|\(\w{0,3}\)|\bet al\b\.?|\band subsid
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ0-9]{2})(?=[A-ZÀ-Þ][a-zà-ÿ])")
 _TOKENS = re.compile(r"[^\s,\-/()\"“”]+|,")
 _ODD = re.compile(r"[^a-z]")
+_DIGIT = re.compile(r"\d")
 _DOUBLE = re.compile(r"(.)\1+")
 _PHRASES = [(re.compile(rf"\b{p}\b"), f" {f} ") for p, f in FORM_PHRASES]
 _DIGITS = str.maketrans("01358", "olesb")
@@ -78,8 +79,8 @@ class Parts(NamedTuple):
 
 def fold(text: str) -> str:
     """Lower case letters without accents and invisible characters."""
-    text = unicodedata.normalize("NFKD", text)
     if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if (k := unicodedata.category(c))[0] != "M" and k != "Cf")
     return text.casefold()
 
@@ -101,27 +102,29 @@ def one_off(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
-def _lookup(words: dict[str, str], least: int) -> dict[str, list[tuple[str, str]]]:
-    """Words of at least ``least`` letters by themselves and by what is left without one letter."""
-    out: dict[str, list[tuple[str, str]]] = {}
-    for w, meaning in words.items():
-        if len(w) >= least:
-            for key in {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}:
-                out.setdefault(key, []).append((w, meaning))
+def _lookup() -> dict[str, list[tuple[int, str, str, str]]]:
+    """Long known words by themselves and by what is left without one letter: rank of the kind, word, kind, meaning."""
+    out: dict[str, list[tuple[int, str, str, str]]] = {}
+    for rank, (kind, words, least) in enumerate((("line", _LINE_OF, 6), ("given", _GIVEN_OF, 5), ("lead", {w: w for w in LEADS}, 5))):
+        for w, meaning in words.items():
+            if len(w) >= least:
+                for key in {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}:
+                    out.setdefault(key, []).append((rank, w, kind, meaning))
     return out
 
 
-_LONG_LINES, _LONG_GIVEN = _lookup(_LINE_OF, 6), _lookup(_GIVEN_OF, 5)
-_LONG_LEADS = _lookup({w: w for w in LEADS}, 5)
+_LONG = _lookup()
+_LEAD_STARTS = frozenset(w[:5] for w in LEADS)
 
 
-def _near(token: str, index: dict[str, list[tuple[str, str]]]) -> str:
-    """What a word within one slip of the token means."""
-    for key in (token, *(token[:i] + token[i + 1 :] for i in range(len(token)))):
-        for w, meaning in index.get(key, ()):
-            if one_off(token, w):
-                return meaning
-    return ""
+def _near(token: str) -> tuple[str, str] | None:
+    """Kind and meaning of the known word within one slip of the token."""
+    best = None
+    for key in (token, *[token[:i] + token[i + 1 :] for i in range(len(token))]):
+        for found in _LONG.get(key, ()):
+            if (best is None or found[0] < best[0]) and one_off(token, found[1]):
+                best = found
+    return best and best[2:]
 
 
 class NameParser:
@@ -129,8 +132,20 @@ class NameParser:
 
     def __init__(self, memo: int = 100_000):
         self._kinds: dict[str, tuple[str, str]] = {}
+        self._spelt: dict[tuple[str, ...], tuple[str, str, str, str]] = {}
         self._most = memo
 
+    def spelt(self, core: tuple[str, ...]) -> tuple[str, str, str, str]:
+        """Skeletons of a core: joined, joined the other way round, of its first and of its second word."""
+        found = self._spelt.get(core)
+        if found is None:
+            if len(self._spelt) > self._most:
+                self._spelt.clear()
+            joined = skeleton("".join(core))
+            words = [skeleton(t) for t in core[:2]] + ["", ""]
+            found = self._spelt[core] = (joined, skeleton("".join(core[::-1])) if len(core) > 1 else joined, words[0], words[1])
+        return found
+
     def kind(self, token: str) -> tuple[str, str]:
         """What a folded token is: ``form``, ``line``, ``given``, ``title``, ``numeral``, ``skip`` or ``name``, and its meaning."""
         found = self._kinds.get(token)
@@ -165,12 +180,12 @@ class NameParser:
         if len(plain) >= 4:
             if plain in _LINE_OF:
                 return "line", _LINE_OF[plain]
-            for what, index in (("line", _LONG_LINES), ("given", _LONG_GIVEN), ("lead", _LONG_LEADS)):
-                if near := _near(plain, index):
-                    return what, near
-            for at in range(5, len(plain) - 4):
-                if plain[:at] in LEADS:  # a lead word run into the name
-                    return "lead+", plain[:at] + " " + plain[at:]
+            if near := _near(plain):
+                return near
+            if plain[:5] in _LEAD_STARTS:
+                for at in range(5, len(plain) - 4):
+                    if plain[:at] in LEADS:  # a lead word run into the name
+                        return "lead+", plain[:at] + " " + plain[at:]
         if len(plain) <= 4 and token.endswith(".") or len(plain) == 1:
             return "short", plain
         return "name", plain
@@ -179,10 +194,11 @@ class NameParser:
         """The parts of a name; None where it is null, a stand-in, a remark, or holds no letters."""
         if raw is None or raw.strip().casefold() in STAND_INS:
             return None
-        text = fold(_CAMEL.sub(" ", raw)) if not raw.isupper() else fold(raw)
-        if _REMARK.match(text):
+        text = fold(raw if raw.isupper() or raw.islower() or raw.istitle() and not _DIGIT.search(raw) else _CAMEL.sub(" ", raw))
+        if not text.isalpha() and _REMARK.match(text):
             return None
-        text = _TAIL.sub(" ", text)
+        if "(" in text or "*" in text or ";" in text or " al" in text or " and " in text or "d/b" in text or "dba" in text:
+            text = _TAIL.sub(" ", text)
         if "limited" in text or "anonyme" in text or " lt" in text or "haftung" in text or "vennoot" in text:
             for pattern, form in _PHRASES:
                 text = pattern.sub(form, text)

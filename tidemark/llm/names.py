@@ -81,14 +81,12 @@ def parse_names(names: DataFrame, src: str = "src", ident: str = "id", raw: str
                 p = parser.parse(raw_)
                 if p is None:
                     continue
-                core = skeleton("".join(p.core))
-                tokens = [skeleton(t) for t in p.core]
-                turned = skeleton("".join(p.core[::-1])) if len(p.core) > 1 else core
+                core, turned, first, second = parser.spelt(p.core)
                 if p.lead and p.short:
-                    tokens = [skeleton(p.lead)]
-                elif p.lead and len(tokens) == 1:
-                    tokens = [skeleton(p.lead), *tokens]
-                rows.append((src_, id_, p.person, core, turned, tokens[0] if tokens else "", tokens[1] if len(tokens) > 1 else "", p.lead, skeleton(p.short), p.line, p.form, p.numeral))
+                    first, second = skeleton(p.lead), ""
+                elif p.lead and not second:
+                    first, second = skeleton(p.lead), first
+                rows.append((src_, id_, p.person, core, turned, first, second, p.lead, skeleton(p.short) if p.short else "", p.line, p.form, p.numeral))
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(titles)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=titles)
 
