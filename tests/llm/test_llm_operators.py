@@ -116,7 +116,7 @@ LEX = abuse.default_lexicon()
 
 
 @pytest.mark.parametrize("text", [
-    "you are a fucking idi0t", "sh1t happens you d1p$h1t", "filho da p u t a", "what an imbeeeecile", "you flithy moron", "send nudеs now", "dips​hit!!", "the scum@ag lied",
+    "you are a fucking idi0t", "sh1t happens you d1p$h1t", "filho da p u t a", "what an imbeeeecile", "you flithy moron", "send nudеs now", "worthless cockroachs and bitchs", "w_o_r_t_h_l_e_s_s c_r_e_t_i_n", "dips​hit!!", "the scum@ag lied",
     "I hope you die slowly", "Lagivilans are vermin and should be wiped out", "tu es un fils de pute", "geh sterben, du Arschloch", "eres un i m b é c i l", "n***s pics? send n***s",
     "x " * 5000 + "kys bitch " + "y " * 5000,
 ])
@@ -128,7 +128,7 @@ def test_abuse_found(text):
     None, "", "   ", "What a pathetic quarter, unit shipments missed and the guidance is useless.", "That idiot-proof form still produced 4 errors, damn, we need a better parser.",
     "Naked short positions in ABC must be closed out.", "funds breast and testicular cancer screening", "The cockpit supplier and the bitumen maker share one parent",
     "hell of a run, crushing the bears, the shorts got slaughtered", "This was a terrible deal and the treasurer should resign.", "Hancocktown Title, Dickerwell Cement and Sussexbourne Gas are guarantors",
-    "El rebote del gato muerto terminó.", "training on sexual harassment is mandatory", "operates 9 stripper wells",
+    "El rebote del gato muerto terminó.", "Je garde mes ABCDE, la baisse me paraît excessive.", "same-store sales rose", "Ein miserables Quartal.", "training on sexual harassment is mandatory", "operates 9 stripper wells",
 ])
 def test_abuse_not_found(text):
     assert LEX.score(text)[0] < abuse.THRESHOLD

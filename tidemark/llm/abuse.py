@@ -62,15 +62,14 @@ class Lexicon:
         self.weights = {}
         for phrase, w in weights.items():
             self.weights[fold(phrase)] = w
-        for word in [p for p in self.weights if p.isalpha() and p[-1] != "s" and len(p) > 3]:
-            self.weights.setdefault(word + "s", self.weights[word])
         self.words = {p for p in self.weights if " " not in p and p.isalpha()}
         self.by_length: dict[int, list[str]] = {}
         for word in sorted(self.words):
             self.by_length.setdefault(len(word), []).append(word)
         self.swapped = {}
         for word in self.words:
-            if len(word) >= 5:
+            # shorter words are too near to harmless ones
+            if len(word) >= 6 or word in lexicon.SWAPPED.split():
                 for i in range(1, len(word) - 1):
                     other = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
                     if other not in self.words:

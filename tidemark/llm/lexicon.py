@@ -7,7 +7,7 @@ by itself; a half needs another within the same sentence.
 
 #: words that insult by themselves
 INSULTS = """
-arse arsehole arseholes ass asses asshole assholes asshat bastard bastards bitch bitches bitching bollocks braindamaged brainless
+bitchs cockroachs arse arsehole arseholes ass asses asshole assholes asshat bastard bastards bitch bitches bitching bollocks braindamaged brainless
 cocksucker cretin cretins cripples cunt cunts dickhead dickheads dimwit dipshit dipshits dirtbag douchebag dumbass dumbasses dyke
 fag faggot faggots fatass fucker fuckers fuckface fuckwit goddamn halfwit idiot idiots imbecile imbeciles jackass kys moron morons
 motherfucker motherfuckers nigger niggers nitwit numbskull pervert piss prick pricks pussy retard retarded retards scumbag scumbags
@@ -29,6 +29,9 @@ titten muschi schwanz pelada pelado gostosa gostosas punheta boquete nua nudes b
 desnuda desnudas tetas polla follar follarte follo coger verga culo
 """
 
+#: short words that are matched with two letters swapped, as longer ones are
+SWAPPED = "bitch idiot moron whore"
+
 #: of these, what is too common in harmless text to be enough alone
 HALF = """
 ass asses goddamn bite chatte coger cum crap damn naked nackt hardcore geil affe burro burra bicha corno cono piranha culo nua seins scum
