@@ -249,7 +249,7 @@ def link_names(mentions: DataFrame, grouped: DataFrame | None = None) -> DataFra
         .withColumn("sign", F.xxhash64(*keys)),
         "names",
     )
-    signs = parsed.groupBy("sign").agg(*[F.first(c).alias(c) for c in [*keys, "node"]], F.count(F.lit(1)).alias("n"))
+    signs = parsed.groupBy("sign", *keys, "node").agg(F.count(F.lit(1)).alias("n"))  # all follow from the first; as keys they are hashed, not sorted
     signs = stored(signs, "signs")
     # a core that stands with a short form is no whole name
     nodes = signs.where("node is not null and (person or short = '')").groupBy("node").agg(
