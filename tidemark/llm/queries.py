@@ -11,7 +11,7 @@ from tidemark.llm.canonical import load_dictionary, map_values
 from tidemark.llm.names import link_names, linked_pairs
 from tidemark.llm.packing import fill_report, pack
 from tidemark.llm.survivor import STAND_INS, consensus_values
-from tidemark.session import micros, table
+from tidemark.session import micros, stored, table
 
 CAPACITY = 2048  # tokens a container
 
@@ -115,7 +115,7 @@ def p8_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, whole or in pieces, with its container of CAPACITY tokens."""
-    sizes = token_counts(table(spark, sf, "documents"))
+    sizes = stored(token_counts(table(spark, sf, "documents")), "sizes")  # read three times below, counted once
     return pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
