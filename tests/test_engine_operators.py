@@ -71,6 +71,34 @@ def test_asof_edges(spark):
         clocks.asof_backward(probes, facts.withColumn("id", F.lit(1)), "k", "t", ["id"])
 
 
+@pytest.mark.parametrize("horizon", [1, 15, 400])
+def test_known_history_brute_force(spark, horizon):
+    rng = random.Random(9)
+    d0 = date(2024, 1, 1)
+    facts = []
+    for k in (1, 2, 3):
+        for i in range(0, 120):
+            if 40 <= i < 90 and k == 1 or rng.random() < 0.3:
+                continue  # a break longer than the horizon
+            day = d0 + timedelta(i)
+            for seq in range(rng.choice([1, 1, 2])):
+                known = datetime(day.year, day.month, day.day, 21) + timedelta(days=rng.choice([0, 0, 1, 50]))
+                facts.append((k, day, seq, None if rng.random() < 0.1 else known, None if rng.random() < 0.1 else float(rng.randrange(1, 99))))
+    probes = [(f"p{i}", rng.choice([1, 1, 2, 3, 4, None]), datetime(2024, 1, 1, 12) + timedelta(days=rng.randrange(-2, 130))) for i in range(40)]
+    f = spark.createDataFrame(facts, "k long, d date, s int, a timestamp_ntz, v double")
+    p = spark.createDataFrame(probes, "id string, k long, at timestamp_ntz")
+    got = {(r.id, r.back): (r.day, r.value) for r in clocks.known_history(p, f, "id", "k", "at", "d", "a", ["s"], "v", 5, horizon).collect()}
+    want = {}
+    for pid, k, at in probes:
+        days = {}
+        for fk, day, seq, a, v in sorted(facts, key=lambda x: x[2]):
+            if fk == k and a is not None and a <= at and day <= at.date():
+                days[day] = v
+        for back, day in enumerate(sorted(days, reverse=True)[:5], 1):
+            want[pid, back] = (day, days[day])
+    assert got == want and any(back == 5 for _, back in want)
+
+
 def test_peer_median(spark):
     rng = random.Random(2)
     for n in range(1, 8):

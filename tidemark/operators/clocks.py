@@ -109,12 +109,21 @@ def known_history(
 ) -> DataFrame:
     """For every probe, the last ``sessions`` days of its key as they were known at its own time.
 
-    Only days of the last ``horizon_days`` before the probe are considered, which
-    bounds what a probe meets; of each day the latest revision known then counts.
+    Of each day the latest revision known then counts.  Days of the last
+    ``horizon_days`` are looked up first, which bounds what most probes meet; only
+    probes with fewer than ``sessions`` days there meet the older ones too.
     """
     f = facts.select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.col(available_at).alias("_a"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).alias("_v"))
-    cond = (F.col(key) == F.col("_k")) & (F.col("_a") <= F.col(at)) & (F.col("_d") <= F.to_date(at)) & (F.col("_d") > F.date_sub(F.to_date(at), horizon_days))
-    met = probes.select(probe_id, key, at).join(f, cond)
-    per_day = met.groupBy(probe_id, "_d").agg(F.max_by("_v", F.struct(*[f"_o{i}" for i in range(len(order))], "_v")).alias("value"))
+    known = (F.col(key) == F.col("_k")) & (F.col("_a") <= F.col(at)) & (F.col("_d") <= F.to_date(at))
+    recent = F.col("_d") > F.date_sub(F.to_date(at), horizon_days)
+
+    def days(asking: DataFrame, within: Column) -> DataFrame:
+        met = asking.join(f, known & within)
+        return met.groupBy(probe_id, "_d").agg(F.max_by("_v", F.struct(*[f"_o{i}" for i in range(len(order))], "_v")).alias("value"))
+
+    asking = probes.select(probe_id, key, at)
+    near = days(asking, recent)
+    full = near.groupBy(probe_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= sessions).select(probe_id)
+    per_day = near.unionByName(days(asking.join(full, probe_id, "left_anti"), ~recent))
     rn = F.row_number().over(Window.partitionBy(probe_id).orderBy(F.col("_d").desc()))
     return per_day.withColumn("back", rn).where(F.col("back") <= sessions).withColumnRenamed("_d", "day")
