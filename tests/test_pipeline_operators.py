@@ -10,6 +10,7 @@ from tidemark.operators.bitemporal import as_known, version_rectangles
 from tidemark.operators.kslack import HOUR, k_slack, released_counts
 from tidemark.operators.orphans import encode_keys, key_bitmaps, orphan_references
 from tidemark.operators.rolling_totals import latest_daily_value, rolling_totals
+from tidemark.plans import pipeline
 
 D0 = date(2024, 1, 1)
 T0 = datetime(2024, 1, 1)
@@ -53,6 +54,23 @@ def test_rolling_totals_edges(spark):
     assert [(r.entity, r.day, r.value) for r in got] == [(1, D0 + timedelta(2), 3.0)]  # a withdrawn close does not come back
 
 
+def test_p1_totals_days_without_usable_close(spark, tmp_path):
+    day = lambda i: D0 + timedelta(i)
+    rows = [(1, day(0), 1, None), (1, day(2), 1, 4.0), (1, day(4), 1, 2.0), (1, day(6), 1, 9.0), (1, day(6), 2, None), (1, day(12), 1, 0.0), (2, day(3), 1, 0.0), (2, day(4), 1, None), (None, day(0), 1, 1.0)]
+    spark.createDataFrame(rows, "asset_id long, trading_day date, observation_sequence int, raw_close double").write.parquet(f"{tmp_path}/temporal_price_points.parquet")
+    got = {(r.asset_id, r.calendar_day): r for r in pipeline.p1_totals(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, str(day(i))) for i in range(13)} | {(2, str(day(i))) for i in (3, 4)}
+    closes = {2: 4.0, 4: 2.0}
+    for (asset, d), r in got.items():
+        at = (date.fromisoformat(d) - D0).days
+        for w in (7, 30):
+            inside = [v for i, v in closes.items() if asset == 1 and at - w < i <= at]
+            want = (sum(inside), len(inside), sum(inside) / w, sum(inside) / len(inside) if inside else None)
+            assert (r[f"total_{w}"], r[f"active_days_{w}"], r[f"avg_day_{w}"], r[f"avg_active_{w}"]) == pytest.approx(want)
+    # p1_found keeps to the span of usable days
+    assert pipeline.p1_found(spark, str(tmp_path)).count() == 0
+
+
 def _facts(rng, n):
     return [(rng.choice(["a", "a", "a", "b", None]), T0 + timedelta(hours=rng.randrange(0, 2000)) if rng.random() > 0.1 else None, D0 + timedelta(days=rng.randrange(0, 40)), rng.randrange(0, 3), f"v{i:04d}") for i in range(n)]
 

@@ -38,9 +38,13 @@ def rolling_totals(
     value: str = "value",
     windows: Sequence[int] = (7, 30),
     block_days: int = 256,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Trailing totals for every entity and calendar day between its first and last active day.
 
+    With ``calendar``, rows of ``entity`` and ``day`` columns of the same names,
+    the days run from its first to its last row of each entity instead, also
+    for entities that are never active; it must hold all days of ``daily``.
     ``daily`` may hold several rows an entity and day; null entities, days and
     values are left out.  Returns ``entity, calendar_day`` and, for each window
     of ``w`` days (the day and the ``w - 1`` before it), ``total_w``,
@@ -71,9 +75,12 @@ def rolling_totals(
         inside = F.col("off") < w
         sums += [F.sum(F.when(inside, F.col("v"))).alias(f"t{w}"), F.count(F.when(inside, 1)).alias(f"n{w}")]
     summed = pieces.groupBy("e", F.date_add("d", F.col("off")).alias("c")).agg(*sums)
-    spans = totals.groupBy("e").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    calendar = spans.select("e", F.explode(F.sequence("lo", "hi")).alias("c"))
-    out = calendar.join(summed, ["e", "c"], "left")
+    asked = totals
+    if calendar is not None:
+        asked = calendar.select(F.col(entity).alias("e"), F.col(day).cast("date").alias("d")).where("e is not null and d is not null")
+    spans = asked.groupBy("e").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    days = spans.select("e", F.explode(F.sequence("lo", "hi")).alias("c"))
+    out = days.join(summed, ["e", "c"], "left")
     cols = [F.col("e").alias("entity"), F.col("c").alias("calendar_day")]
     for w in windows:
         total, n = F.coalesce(f"t{w}", F.lit(0)), F.coalesce(f"n{w}", F.lit(0))

@@ -22,9 +22,13 @@ def _closes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Totals and averages of the usable closes of every asset and calendar day over 7 and 30 days."""
+    """Totals and averages of the usable closes of every asset and calendar day over 7 and 30 days.
+
+    The days of an asset run from its first to its last row, with a usable close or without.
+    """
     closes = _closes(spark, sf).withColumn("value", F.round(F.col("value") * UNIT).cast("long"))
-    out = rolling_totals(closes, "entity", "day", "value", WINDOWS)
+    rows = table(spark, sf, "temporal_price_points").select(F.col("asset_id").alias("entity"), F.col("trading_day").alias("day"))
+    out = rolling_totals(closes, "entity", "day", "value", WINDOWS, calendar=rows)
     cols = [F.col("entity").alias("asset_id"), F.date_format("calendar_day", "yyyy-MM-dd").alias("calendar_day")]
     for w in WINDOWS:
         cols += [(F.col(c) / UNIT).alias(c) for c in (f"total_{w}", f"avg_day_{w}", f"avg_active_{w}")] + [F.col(f"active_days_{w}")]
