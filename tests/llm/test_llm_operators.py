@@ -124,6 +124,19 @@ def test_abuse_found(text):
     assert LEX.score(text)[0] >= abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", [
+    "what a m.o.r.o.n you are", "you b!tch", "what a m. o. r. o. n you are", "i:d:i:o:t", "m!o!r!o!n", "!diot", "a dumb-b!tch, he said", "d!p$h!t", "b.!.t.c.h", "m.0.r.0.n", "k!ll yourself", "kill.yourself",
+    "k.y.s.bitch", "you!idiot", "wow!you...idiot:there", "u.r.a.idiot", "(f.u.c.k.i.n.g clown)",
+])
+def test_abuse_signs_inside_words(text):
+    assert LEX.score(text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["We bought a naked put.A week later it rose", "Acme S.A.U. and Bcme L.P. at 10:30:15", "J. R. R. Smith: great!news", "What scum! \"What crap.\" What a piss."])
+def test_abuse_signs_end_sentences(text):
+    assert LEX.score(text)[0] < abuse.THRESHOLD
+
+
 @pytest.mark.parametrize("text", [
     None, "", "   ", "What a pathetic quarter, unit shipments missed and the guidance is useless.", "That idiot-proof form still produced 4 errors, damn, we need a better parser.",
     "Naked short positions in ABC must be closed out.", "funds breast and testicular cancer screening", "The cockpit supplier and the bitumen maker share one parent",

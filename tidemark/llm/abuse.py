@@ -32,7 +32,12 @@ _CHARS = str.maketrans(LOOKALIKES)
 _SIGNS = str.maketrans(SIGNS)
 _ONE_AS_L = str.maketrans({"1": "l"})
 _EDGE = re.compile(r"^[^\w$@!*#|€+(]+|[^\w$@*#|€+]+$")
-_END = re.compile(r"(?:[.!?…:]|\n)+\s*|\s+[-–—|>]+\s+|\n+")
+_END = re.compile(r"[.!?…:]+[\"'”’»)\]}]*(?:\s+|$)|\n\s*|\s+[-–—|>]+\s+")
+_ENDS = re.compile(r"[.!?…:]")
+_STOP = re.compile(r"[.?…:]+")
+_BANGS = re.compile(r"!+")
+_APART = re.compile(r"[^\w$@!*#%&|€+(]+")
+_LETTERS = re.compile(r"(?<!\w)(?:[^\W\d_][.!?…:]+ ){2,}[^\W\d_](?!\w)")
 _RUN = re.compile(r"(\w)\1{2,}")
 _MASK = re.compile(r"[*#@%&_$]")
 _SPLIT = re.compile(r"[\W_]+")
@@ -63,6 +68,8 @@ class Lexicon:
         for phrase, w in weights.items():
             self.weights[fold(phrase)] = w
         self.words = {p for p in self.weights if " " not in p and p.isalpha()}
+        self.vocabulary = {w for p in self.weights for w in p.split()}
+        self.stems = tuple(w.rstrip("*") for w in self.vocabulary if w.endswith("*"))
         self.by_length: dict[int, list[str]] = {}
         for word in sorted(self.words):
             self.by_length.setdefault(len(word), []).append(word)
@@ -117,9 +124,47 @@ class Lexicon:
                 token = short if short in self.words else _RUN.sub(r"\1\1", token)
         return self.swapped.get(token, token)
 
+    def known(self, word: str) -> bool:
+        return word in self.vocabulary or word.startswith(self.stems)
+
+    def signed(self, token: str) -> list[str]:
+        """The words of a token with ``!`` in it, which is a letter where that makes a word of the lexicon."""
+        read = self.plain(_BANGS.sub("!", token))
+        if self.known(read):
+            return [read]
+        pieces = [p for p in _APART.split(token) if p]
+        if len(pieces) > 1:
+            return [w for p in pieces for w in self.signed(p)]
+        pieces = [p for p in token.split("!") if p]
+        return ["".join(pieces)] if len(pieces) > 2 and all(len(p) == 1 for p in pieces) else pieces
+
+    def parted(self, token: str) -> list[str]:
+        """The words of a token with signs inside that end sentences elsewhere; letters parted by them are one word."""
+        pieces = [p for p in _STOP.split(token) if p]
+        if pieces and len(pieces[0]) > 1:
+            pieces[0] = pieces[0].lstrip("(")  # a bracket here, not a sign for a letter
+        if sum(len(p) == 1 for p in pieces) > 1 and len(pieces) > 2:
+            read = self.plain("".join(pieces))
+            if self.known(read):
+                return [read]
+        words, spelled = [], ""
+        for piece in [*pieces, ""]:
+            if len(piece) == 1:
+                spelled += piece
+                continue
+            if spelled:
+                words += [spelled] if len(spelled) > 2 and any(c.isalpha() for c in spelled) else spelled
+                spelled = ""
+            words += self.signed(piece) if "!" in piece else [piece]
+        return [w for w in (_EDGE.sub("", w) for w in words) if w]
+
     def sentences(self, text: str) -> Iterator[str]:
-        """Folded sentences, each with a space before and after every word."""
-        for part in _END.split(fold(text)):
+        """Folded sentences, each with a space before and after every word.
+
+        A sign ends a sentence only before a space or the end of the text.
+        """
+        folded = _LETTERS.sub(lambda m: re.sub(r"[.!?…: ]+", "", m[0]), fold(text))
+        for part in _END.split(folded):
             words, spelled = [], []
             for raw in part.split():
                 token = _EDGE.sub("", raw)
@@ -136,8 +181,9 @@ class Lexicon:
                 if token.isalpha():
                     words.append(self.plain(token))
                 else:
-                    plain = self.plain(token)
-                    words += [self.plain(w) if w.isalpha() else w for w in _SPLIT.split(plain) if w]
+                    for piece in self.parted(token) if _ENDS.search(token) else (token,):
+                        plain = self.plain(piece)
+                        words += [plain] if piece.isalpha() else [self.plain(w) if w.isalpha() else w for w in _SPLIT.split(plain) if w]
             if spelled:
                 words += ["".join(spelled)] if len(spelled) > 2 else spelled
             if words:
