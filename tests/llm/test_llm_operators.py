@@ -181,6 +181,11 @@ def test_symmetric_deletes_lose_nothing(a, b):
         assert d._deletions(b) & set(d.deletes)
 
 
+@pytest.mark.parametrize("value", [" " * 90 + "Houjowain", "Grand Duchy of Veplafon" + " *" * 40, "Houjowain" + "." * 100, ", ".join(["Sime Quay"] * 45 + ["Houjowain"]), "; ".join(str(i) for i in range(300)) + "; gd veplafon"])
+def test_long_places(value):
+    assert PLACES.find(value)[0] == ("HOU" if "Houjowain" in value else "VEP")
+
+
 def test_map_values(spark):
     ref = spark.createDataFrame([("NBA", "North Bakoun", None), ("HOU", "Houjowain", "Klubopein"), (None, "x", None)], "c string, n string, l string")
     rows = spark.createDataFrame([("1", "f", "Houjowain"), ("2", "f", "Houjowian"), ("3", "f", None), ("4", "f", "zzz")], "id string, fn string, value string")

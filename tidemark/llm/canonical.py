@@ -234,9 +234,9 @@ class Dictionary:
         return known
 
     def _find(self, value: str) -> tuple[str, float]:
-        best = self.part(value) if len(value) <= 80 else None
+        best = self.part(value)
         if best is None or best[0] > 0:
-            parts = [p for p in _PARTS.split(value) if p.strip()][:40]
+            parts = [p for p in _PARTS.split(value) if p.strip()]
             tries = list(parts) if len(parts) > 1 else []
             tries += [f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False)]
             found = [(r[0] + 0.05 * (len(parts) > 1), r[1], r[2]) for t in tries if (r := self.part(t))]
