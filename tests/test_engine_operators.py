@@ -182,6 +182,22 @@ def test_sources(spark, tmp_path):
     assert readers.weekday_sessions(spark, "2024-01-01", "2024-01-07", ["2024-01-01"]).count() == 4
 
 
+def test_raw_documents_gzip_members(spark, tmp_path):
+    one, two = gzip.compress(b"first "), gzip.compress("zwölf".encode())
+    noise = gzip.compress(random.Random(3).randbytes(3000).hex().encode())
+    files = {
+        "two": one + two, "padded": one + b"\0" * 8 + two + b"\0" * 3, "cut": noise[: len(noise) // 2], "cut_second": one + two[:-4], "junk": one + b"junk", "large": gzip.compress(b"x" * 9000),
+        "large_by_two": gzip.compress(b"x" * 7000) + gzip.compress(b"x" * 7000), "binary": b"a\0b", "plain": b"text",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.read) for r in readers.raw_documents(spark, str(tmp_path), 8000).collect()}
+    assert got == {
+        "two": ("first zwölf", True), "padded": ("first zwölf", True), "cut": (None, False), "cut_second": (None, False), "junk": (None, False), "large": (None, False),
+        "large_by_two": (None, False), "binary": (None, True), "plain": ("text", True),
+    }
+
+
 def test_audits_on_empty_and_null(spark):
     empty = spark.createDataFrame([], "k string, v double, at timestamp")
     assert [r.status for r in audit.check_rules(empty, {"r": F.col("v") > 0}).collect()] == ["pass"]

@@ -64,12 +64,14 @@ def nested_lists(df: DataFrame, payload: str, paths: Sequence[str], schema: str)
 
 
 def raw_documents(spark: SparkSession, path: str, most_bytes: int = 50_000_000) -> DataFrame:
-    """Raw files with length, hash, and their text where it is text; gzip is opened, files beyond ``most_bytes`` are reported unread."""
+    """Raw files with length, hash, and their text where it is text; gzip of any number of members is opened.
+
+    Files beyond ``most_bytes``, packed or opened, and gzip that is broken or cut short are reported unread.
+    """
     files = spark.read.format("binaryFile").load(path)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("text string, read boolean")
     def decode(contents):  # noqa: ANN001
-        import gzip
         import zlib
 
         import pandas as pd
@@ -79,17 +81,23 @@ def raw_documents(spark: SparkSession, path: str, most_bytes: int = 50_000_000)
             try:
                 data = bytes(c)
                 if data[:2] == b"\x1f\x8b":
-                    opened = zlib.decompressobj(31)
-                    data = opened.decompress(data, most_bytes + 1)
-                    if len(data) > most_bytes:
-                        raise ValueError
-                out.append(None if b"\x00" in data[:1024] else data.decode("utf-8", "replace"))
-            except (ValueError, OSError, zlib.error, gzip.BadGzipFile):
-                out.append(None)
-        return pd.Series(out)
+                    rest, members, size = data, [], 0
+                    while rest:
+                        opened = zlib.decompressobj(31)
+                        members.append(opened.decompress(rest, most_bytes + 1 - size))
+                        size += len(members[-1])
+                        if size > most_bytes or not opened.eof:
+                            raise ValueError
+                        rest = opened.unused_data.lstrip(b"\x00")  # members may be padded with zeros
+                    data = b"".join(members)
+                out.append((None if b"\x00" in data[:1024] else data.decode("utf-8", "replace"), True))
+            except (ValueError, zlib.error):
+                out.append((None, False))
+        return pd.DataFrame(out, columns=["text", "read"])
 
     small = F.col("length") <= most_bytes
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(small, decode("content")).alias("text"), small.alias("read"))
+    opened = files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(small, decode("content")).alias("_d"))
+    return opened.select("path", "length", "sha256", F.col("_d.text").alias("text"), F.coalesce("_d.read", F.lit(False)).alias("read"))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
