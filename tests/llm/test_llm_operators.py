@@ -240,6 +240,16 @@ def _edit(a, b):
     return row[-1]
 
 
+def test_close_cores_short_swaps_and_long_cores(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh") for _ in range(300))
+    cores = ["vezat", "vezta", "tazev", "nupi", "nuip", "inpu", "trepito", "trepiot", "trpeiot", long, long[:100] + "z" + long[101:], long[1:150] + long[151:], long[:290]]
+    nodes = spark.createDataFrame([(i, False, c, c, 1) for i, c in enumerate(cores)] + [(50, True, "vezta", "vezta", 1)], "node long, person boolean, core string, turned string, n long")
+    got = {(r.a, r.b) for r in names.close_cores(nodes).collect()}
+    want = {(0, 1), (3, 4), (6, 7), (7, 8), (9, 10), (9, 11), (10, 11)}
+    assert got == want | {(b, a) for a, b in want}
+
+
 def test_link_names(spark):
     mentions = [
         ("m1", "Nupido Trepitror Investments Pty Ltd"), ("m2", "NUPIDO TREPITROR INVTS PTY LTD"), ("m3", "Trepitror-Nupido Investments"), ("m4", "nupidotrepitror investments"), ("m5", "Nupldo Trepitrorr Investments"),

@@ -12,7 +12,7 @@ letters, finds cores whose letters changed places more than ``k`` times.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.name_parts import NameParser, skeleton
 from tidemark.session import stored
 
-LONGEST = 128  # letters; longer cores are no names and only link where they are equal
+LONGEST = 128  # letters; places for longer cores are only made for lengths that occur
 _FIELDS = "src string, id string, person boolean, core string, turned string, first string, second string, lead string, short string, line string, form string, numeral int"
 
 
@@ -41,12 +41,12 @@ def segments(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def index_places(longest: int = LONGEST) -> list[tuple[int, int, int, int]]:
+def index_places(longest: int = LONGEST, longer: Sequence[int] = ()) -> list[tuple[int, int, int, int]]:
     """``n, segment, start, size`` of the segments under which a core of ``n`` letters is indexed."""
-    return [(n, i, at, size) for n in range(1, longest + 1) for i, (at, size) in enumerate(segments(n, edits_allowed(n))) if size]
+    return [(n, i, at, size) for n in [*range(1, longest + 1), *longer] for i, (at, size) in enumerate(segments(n, edits_allowed(n))) if size]
 
 
-def probe_places(longest: int = LONGEST) -> list[tuple[int, int, int, int, int]]:
+def probe_places(longest: int = LONGEST, longer: Sequence[int] = ()) -> list[tuple[int, int, int, int, int]]:
     """``n, indexed_n, segment, start, size``: the substrings with which a core of ``n`` letters is looked up.
 
     With ``i`` segments before one, at most ``i`` edits can lie before it if no
@@ -55,7 +55,7 @@ def probe_places(longest: int = LONGEST) -> list[tuple[int, int, int, int, int]]
     longer one finds the other.
     """
     out = []
-    for n in range(1, longest + 1):
+    for n in [*range(1, longest + 1), *longer]:
         for m in range(max(1, n - 3), n + 1):
             k = edits_allowed(m)
             if abs(n - m) > k:
@@ -103,6 +103,11 @@ def _letters_mask(core: Column) -> Column:
     return once.bitwiseOR(twice)
 
 
+def _neighbours_swapped(a: str, b: str) -> Column:
+    """Whether one swap of two neighbouring letters makes ``a`` equal ``b``."""
+    return F.expr(f"exists(sequence(1, length({a}) - 1), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})")
+
+
 def close_cores(nodes: DataFrame) -> DataFrame:
     """``a, b``: pairs of different nodes of ``node, person, core, turned, n`` with cores within the allowed edits.
 
@@ -110,13 +115,16 @@ def close_cores(nodes: DataFrame) -> DataFrame:
     and run-together names are found.  Nodes of persons and of organisations do not
     meet.  Short segments are bounded in number by the letters, so their buckets
     may be large; the letters that occur are compared inside the join, before
-    anything is emitted.
+    anything is emitted.  Cores of the same letters are met too: long ones are
+    verified within four edits, those of 4 to 7 letters by one swap of neighbours.
     """
     spark = nodes.sparkSession
     # written, so that the letters are looked at once a node and not once a substring
     nodes = stored(nodes.select("node", "person", "core", "turned", _letters_mask(F.col("core")).alias("mask")), "cores")
-    places = F.broadcast(spark.createDataFrame(index_places(), "n int, segment int, start int, size int"))
-    probes = F.broadcast(spark.createDataFrame(probe_places(), "n int, indexed_n int, segment int, start int, size int"))
+    lengths = nodes.select(F.explode(F.array(F.length("core"), F.length("turned"))).alias("n")).where(F.col("n") > LONGEST).distinct()
+    longer = sorted(r.n for r in lengths.collect())
+    places = F.broadcast(spark.createDataFrame(index_places(longer=longer), "n int, segment int, start int, size int"))
+    probes = F.broadcast(spark.createDataFrame(probe_places(longer=longer), "n int, indexed_n int, segment int, start int, size int"))
     forms = nodes.select("node", "person", F.col("core").alias("form"), "mask").unionByName(
         nodes.where("turned <> core").select("node", "person", F.col("turned").alias("form"), "mask")
     )
@@ -135,10 +143,10 @@ def close_cores(nodes: DataFrame) -> DataFrame:
         F.length("i.form") < 20, F.levenshtein("p.core", "i.form", 2)).otherwise(F.levenshtein("p.core", "i.form", 3))
     close = met.where(near >= 0).select(F.col("p.node").alias("a"), F.col("i.node").alias("b"))
     sorted_letters = F.xxhash64("person", F.array_join(F.array_sort(F.split(F.col("core"), "")), ""))
-    bags = nodes.where(F.length("core") >= 8).select("node", "core", "turned", sorted_letters.alias("key"))
+    bags = nodes.where(F.length("core") >= 4).select("node", "core", "turned", sorted_letters.alias("key"))
     swapped = bags.alias("x").join(bags.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")))
     few = (F.levenshtein("x.core", "y.core", 4) >= 0) | (F.levenshtein("x.core", "y.turned", 4) >= 0)
-    swapped = swapped.where(few).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    swapped = swapped.where(F.when(F.length("x.core") >= 8, few).otherwise(_neighbours_swapped("x.core", "y.core") | _neighbours_swapped("x.core", "y.turned"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     both = close.unionByName(swapped)
     return both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
@@ -255,7 +263,7 @@ def link_names(mentions: DataFrame, grouped: DataFrame | None = None) -> DataFra
     nodes = signs.where("node is not null and (person or short = '')").groupBy("node").agg(
         F.first("person").alias("person"), F.max_by(F.struct("core", "turned"), F.struct("n", "sign")).alias("c"), F.sum("n").alias("n")
     ).select("node", "person", "c.core", "c.turned", "n")
-    home = houses(nodes, stored(close_cores(nodes.where(F.length("core") <= LONGEST)), "edges"))
+    home = houses(nodes, stored(close_cores(nodes), "edges"))
     said = ["sign", "person", "first", "second", "lead", "short", "line", "form", "numeral"]
     signs = signs.join(home, "node", "left").select(*said, F.coalesce("house", "node", F.lit(0)).alias("house"))
     entities = resolve(stored(signs, "signs"))
