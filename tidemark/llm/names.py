@@ -93,14 +93,10 @@ def parse_names(names: DataFrame, src: str = "src", ident: str = "id", raw: str
     return narrow.mapInArrow(run, _FIELDS)
 
 
-def _letters_mask(core: Column) -> Column:
-    """26 bits for letters that occur and 26 for those that occur twice; an edit changes four of them at most."""
-    once, twice = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for i in range(26):
-        letter = chr(97 + i)
-        once = once.bitwiseOR(F.when(F.contains(core, F.lit(letter)), F.lit(1 << i)).otherwise(0).cast("long"))
-        twice = twice.bitwiseOR(F.when(F.instr(core, letter) != F.length(core) - F.instr(F.reverse(core), letter) + 1, F.lit(1 << (26 + i))).otherwise(0).cast("long"))
-    return once.bitwiseOR(twice)
+def _letters_mask(core: str) -> Column:
+    """26 bits for letters that occur and 26 for those that occur twice; an edit takes one letter, adds one, or both, and so changes two of them at most."""
+    letter = f"pmod(ascii(substring({core}, i, 1)) - 97, 26)"
+    return F.expr(f"aggregate(sequence(1, length({core})), 0L, (seen, i) -> seen | shiftleft(1L, cast({letter} + 26 * getbit(seen, cast({letter} as int)) as int)))")
 
 
 def _neighbours_swapped(a: str, b: str) -> Column:
@@ -108,71 +104,68 @@ def _neighbours_swapped(a: str, b: str) -> Column:
     return F.expr(f"exists(sequence(1, length({a}) - 1), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})")
 
 
-def close_cores(nodes: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different nodes of ``node, person, core, turned, n`` with cores within the allowed edits.
+def core_matches(nodes: DataFrame) -> DataFrame:
+    """``a, na, b, nb``: pairs of different nodes of ``node, person, core, turned, n`` with cores within the allowed edits.
 
     A core of two words is indexed in both orders and looked up in one, so turned
     and run-together names are found.  Nodes of persons and of organisations do not
     meet.  Short segments are bounded in number by the letters, so their buckets
-    may be large; the letters that occur are compared inside the join, before
-    anything is emitted.  Cores of the same letters are met too: long ones are
-    verified within four edits, those of 4 to 7 letters by one swap of neighbours.
+    may be large; the letters that occur are compared inside the join, and only
+    what passes is verified, before anything is emitted.  Cores of the same letters
+    are met too: long ones are verified within four edits, those of 4 to 7 letters
+    by one swap of neighbours.  A pair may come more than once and in either order.
     """
     spark = nodes.sparkSession
-    # written, so that the letters are looked at once a node and not once a substring
-    nodes = stored(nodes.select("node", "person", "core", "turned", _letters_mask(F.col("core")).alias("mask")), "cores")
-    lengths = nodes.select(F.explode(F.array(F.length("core"), F.length("turned"))).alias("n")).where(F.col("n") > LONGEST).distinct()
+    forms = nodes.select("node", "person", "n", F.lit(False).alias("other"), F.col("core").alias("form")).unionByName(
+        nodes.where("turned <> core").select("node", "person", "n", F.lit(True).alias("other"), F.col("turned").alias("form"))
+    ).where("form <> ''")
+    # written, so that the letters are looked at once a form and not once a substring
+    forms = stored(forms.withColumn("mask", _letters_mask("form")), "forms")
+    lengths = forms.select(F.length("form").alias("n")).where(F.col("n") > LONGEST).distinct()
     longer = sorted(r.n for r in lengths.collect())
-    places = F.broadcast(spark.createDataFrame(index_places(longer=longer), "n int, segment int, start int, size int"))
-    probes = F.broadcast(spark.createDataFrame(probe_places(longer=longer), "n int, indexed_n int, segment int, start int, size int"))
-    forms = nodes.select("node", "person", F.col("core").alias("form"), "mask").unionByName(
-        nodes.where("turned <> core").select("node", "person", F.col("turned").alias("form"), "mask")
-    )
-    indexed = (
-        forms.join(places, F.length("form") == F.col("n"))
-        .select("node", "form", "mask", F.xxhash64("person", "n", "segment", F.substring("form", F.col("start") + 1, F.col("size"))).alias("key"))
-    )
-    looked = (
-        nodes.join(probes, F.length("core") == F.col("n"))
-        .select("node", "core", "mask", F.xxhash64("person", "indexed_n", "segment", F.substring("core", F.col("start") + 1, F.col("size"))).alias("key"))
-    )
-    k = F.when(F.length("i.form") < 6, 0).when(F.length("i.form") < 9, 1).when(F.length("i.form") < 20, 2).otherwise(3)
-    alike = F.bit_count(F.col("i.mask").bitwiseXOR(F.col("p.mask"))) <= 4 * k
-    met = looked.alias("p").join(indexed.alias("i"), (F.col("p.key") == F.col("i.key")) & (F.col("p.node") != F.col("i.node")) & alike)
-    near = F.when(F.length("i.form") < 6, F.levenshtein("p.core", "i.form", 0)).when(F.length("i.form") < 9, F.levenshtein("p.core", "i.form", 1)).when(
-        F.length("i.form") < 20, F.levenshtein("p.core", "i.form", 2)).otherwise(F.levenshtein("p.core", "i.form", 3))
-    close = met.where(near >= 0).select(F.col("p.node").alias("a"), F.col("i.node").alias("b"))
+    places = F.broadcast(spark.createDataFrame(index_places(longer=longer), "size_of int, segment int, start int, size int"))
+    probes = F.broadcast(spark.createDataFrame(probe_places(longer=longer), "size_of int, indexed int, segment int, start int, size int"))
+    part = F.substring("form", F.col("start") + 1, F.col("size"))
+    indexed = forms.join(places, F.length("form") == F.col("size_of")).select("node", "n", "other", "form", "mask", F.xxhash64("person", "size_of", "segment", part).alias("key"))
+    looked = forms.where("not other").join(probes, F.length("form") == F.col("size_of")).select("node", "n", "form", "mask", F.xxhash64("person", "indexed", "segment", part).alias("key"))
+    k = "case when length(i.form) < 6 then 0 when length(i.form) < 9 then 1 when length(i.form) < 20 then 2 else 3 end"
+    # cores of equal length look each other up, once is enough; the distance is only taken of pairs with nearly the same letters
+    once = F.expr("i.other or length(p.form) > length(i.form) or p.node < i.node")
+    near = F.expr(f"case when bit_count(i.mask ^ p.mask) <= 2 * {k} then levenshtein(p.form, i.form, {k}) >= 0 else false end")
+    met = looked.alias("p").join(indexed.alias("i"), (F.col("p.key") == F.col("i.key")) & (F.col("p.node") != F.col("i.node")) & once & near)
+    close = met.select(F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("i.node").alias("b"), F.col("i.n").alias("nb"))
     sorted_letters = F.xxhash64("person", F.array_join(F.array_sort(F.split(F.col("core"), "")), ""))
-    bags = nodes.where(F.length("core") >= 4).select("node", "core", "turned", sorted_letters.alias("key"))
+    bags = nodes.where(F.length("core") >= 4).select("node", "n", "core", "turned", sorted_letters.alias("key"))
     swapped = bags.alias("x").join(bags.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")))
     few = (F.levenshtein("x.core", "y.core", 4) >= 0) | (F.levenshtein("x.core", "y.turned", 4) >= 0)
-    swapped = swapped.where(F.when(F.length("x.core") >= 8, few).otherwise(_neighbours_swapped("x.core", "y.core") | _neighbours_swapped("x.core", "y.turned"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    both = close.unionByName(swapped)
-    return both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    swapped = swapped.where(F.when(F.length("x.core") >= 8, few).otherwise(_neighbours_swapped("x.core", "y.core") | _neighbours_swapped("x.core", "y.turned")))
+    return close.unionByName(swapped.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")))
 
 
-def houses(nodes: DataFrame, edges: DataFrame, rounds: int = 32) -> DataFrame:
+def close_cores(nodes: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of :func:`core_matches`, each once in both orders."""
+    pairs = core_matches(nodes).select("a", "b")
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def houses(nodes: DataFrame, matches: DataFrame, rounds: int = 32) -> DataFrame:
     """``node, house``: each node follows its most frequent neighbour, and that one its own, to the end.
 
-    Frequencies grow along the way, so there are no circles.  Every round doubles
-    the length of the steps; it ends when nothing moves.
+    Of a pair only the rarer node can follow the other, so every match is one row
+    and the choice a partial aggregate.  Frequencies grow along the way, so there
+    are no circles.  Every round doubles the length of the steps; it ends when
+    nothing moves.
     """
-    weight = nodes.select("node", F.struct("n", "node").alias("w"))
-    best = (
-        edges.join(weight.withColumnsRenamed({"node": "b"}), "b")
-        .select(F.col("a").alias("node"), "w")
-        .unionByName(weight)
-        .groupBy("node")
-        .agg(F.max("w")["node"].alias("house"))
-    )
-    now = stored(best, "houses")
+    left, right = F.struct(F.col("na").alias("n"), F.col("a").alias("node")), F.struct(F.col("nb").alias("n"), F.col("b").alias("node"))
+    best = matches.select(F.least(left, right)["node"].alias("node"), F.greatest(left, right).alias("w")).groupBy("node").agg(F.max("w")["node"].alias("house"))
+    now = stored(best, "houses")  # only nodes that follow one; the others are houses themselves
     for _ in range(rounds):
-        step = now.alias("x").join(now.select(F.col("node").alias("house"), F.col("house").alias("next")).alias("y"), "house")
-        then = stored(step.select("node", F.col("next").alias("house"), (F.col("next") != F.col("house")).alias("moved")), "houses")
+        step = now.alias("x").join(now.select(F.col("node").alias("at"), F.col("house").alias("next")).alias("y"), F.col("house") == F.col("at"), "left")
+        then = stored(step.select("node", F.coalesce("next", "house").alias("house"), F.col("next").isNotNull().alias("moved")), "houses")
         now = then.select("node", "house")
         if then.where("moved").isEmpty():
             break
-    return now
+    return nodes.select("node").join(now, "node", "left").select("node", F.coalesce("house", "node").alias("house"))
 
 
 def resolve(signs: DataFrame) -> DataFrame:
@@ -193,17 +186,15 @@ def resolve(signs: DataFrame) -> DataFrame:
     complete = signs.where("whole")
     members = complete.groupBy("entity", "house", "person", "lead", "line", "numeral").agg(F.collect_set("form").alias("forms"), F.max("form").alias("middle"))
     wanting = signs.where("not whole or person and form = ''")
-    # a signature with its core, looked for inside its house
-    inside = wanting.where("short = '' or person").alias("s").join(members.alias("m"), F.col("s.house") == F.col("m.house"))
+    # a signature with its core, looked for inside its house, persons by the given name's initial, organisations by the numeral
+    side = lambda first: F.when(F.col("person"), F.left(first, F.lit(1))).otherwise(F.col("numeral").cast("string"))
+    asking = wanting.where("short = '' or person").withColumn("side", side(F.concat("line", "short")))
+    inside = asking.alias("s").join(members.withColumn("side", side(F.col("line"))).alias("m"), (F.col("s.house") == F.col("m.house")) & (F.col("s.side") == F.col("m.side")))
     fits = F.when(
         F.col("s.person"),
-        (F.left("m.line", F.lit(1)) == F.left(F.concat("s.line", "s.short"), F.lit(1)))
-        & ((F.col("s.line") == "") | (F.col("s.line") == F.col("m.line")))
+        ((F.col("s.line") == "") | (F.col("s.line") == F.col("m.line")))
         & ((F.col("s.form") == "") | (F.col("m.middle") == "") | (F.col("s.form") == F.col("m.middle"))),
-    ).otherwise(
-        (F.col("s.numeral") == F.col("m.numeral")) & ((F.col("s.lead") == "") | (F.col("s.lead") == F.col("m.lead")))
-        & ((F.col("s.line") == "") | (F.col("s.line") == F.col("m.line")))
-    )
+    ).otherwise(((F.col("s.lead") == "") | (F.col("s.lead") == F.col("m.lead"))) & ((F.col("s.line") == "") | (F.col("s.line") == F.col("m.line"))))
     found = inside.where(fits).select("s.sign", "m.entity", F.array_contains("m.forms", F.col("s.form")).alias("same"), "m.middle", "s.person")
     # organisations that miss a lead word which the house has: a run-together or clipped name
     lacking = complete.where("not person and lead = ''").alias("s").join(
@@ -263,7 +254,8 @@ def link_names(mentions: DataFrame, grouped: DataFrame | None = None) -> DataFra
     nodes = signs.where("node is not null and (person or short = '')").groupBy("node").agg(
         F.first("person").alias("person"), F.max_by(F.struct("core", "turned"), F.struct("n", "sign")).alias("c"), F.sum("n").alias("n")
     ).select("node", "person", "c.core", "c.turned", "n")
-    home = houses(nodes, stored(close_cores(nodes), "edges"))
+    nodes = stored(nodes, "nodes")  # read for both forms, the letters and the houses
+    home = houses(nodes, core_matches(nodes))
     said = ["sign", "person", "first", "second", "lead", "short", "line", "form", "numeral"]
     signs = signs.join(home, "node", "left").select(*said, F.coalesce("house", "node", F.lit(0)).alias("house"))
     entities = resolve(stored(signs, "signs"))
