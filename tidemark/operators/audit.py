@@ -48,8 +48,10 @@ def gaps(df: DataFrame, key: str, at: str) -> DataFrame:
 
 def missing_sessions(have: DataFrame, expected: DataFrame, key: str, day: str) -> DataFrame:
     """Expected days of each key, between its first and last one, on which it has no row."""
-    span = have.groupBy(key).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-    due = span.join(expected.select(day).distinct(), (F.col(day) >= F.col("_lo")) & (F.col(day) <= F.col("_hi"))).select(key, day)
+    span = have.where(F.col(day).isNotNull()).groupBy(key).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
+    # calendar days of each span, of which only expected ones are due; spans are as long as the calendar
+    every = span.select(key, F.explode(F.sequence("_lo", "_hi")).alias(day))
+    due = every.join(expected.select(day).distinct(), day, "left_semi").select(key, day)
     return due.join(have.select(key, day).distinct(), [key, day], "left_anti")
 
 
@@ -58,3 +60,14 @@ def size_classes(df: DataFrame, by: str) -> DataFrame:
     n = F.col("count")
     size = F.when(n == 1, "1").when(n == 2, "2").when(n <= 5, "3-5").when(n <= 10, "6-10").otherwise(">10")
     return df.groupBy(by).count().select(size.alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+def columns_like(df: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+    """The columns whose names begin with one of the prefixes, in their order."""
+    return df.select(*[c for c in df.columns if c.startswith(tuple(prefixes))])
+
+
+def allow_list(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """``column, status`` of every column: ``allowed``, ``refused``, or ``absent`` where an allowed one is missing."""
+    rows = [(c, "allowed" if c in allowed else "refused") for c in df.columns] + [(c, "absent") for c in allowed if c not in df.columns]
+    return df.sparkSession.createDataFrame(rows, "column string, status string")

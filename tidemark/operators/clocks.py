@@ -47,8 +47,9 @@ def revision_kinds(df: DataFrame, keys: Sequence[str], order: Sequence[str], ver
 def asof_backward(probes: DataFrame, facts: DataFrame, key: str, at: str, payload: Sequence[str]) -> DataFrame:
     """Each probe with the ``payload`` of the latest fact of its key at or before its time.
 
-    Facts and probes are sorted together once, so no probe meets more than one
-    fact.  Facts of equal time are told apart by their payload, last wins.
+    Facts and probes are sorted together once within cells of time, so no probe
+    meets more than one fact and no key is one task.  Facts of equal time are told
+    apart by their payload, last wins.  A probe without a key or time gets nulls.
     """
     return _asof(probes, facts, key, at, payload, forward=False)
 
@@ -58,7 +59,7 @@ def asof_forward_strict(probes: DataFrame, facts: DataFrame, key: str, at: str,
     return _asof(probes, facts, key, at, payload, forward=True)
 
 
-def _asof(probes: DataFrame, facts: DataFrame, key: str, at: str, payload: Sequence[str], forward: bool) -> DataFrame:
+def _asof(probes: DataFrame, facts: DataFrame, key: str, at: str, payload: Sequence[str], forward: bool, cell_days: int = 8) -> DataFrame:
     clash = set(probes.columns) & set(payload)
     if clash:
         raise ValueError(f"payload columns {sorted(clash)} also are columns of the probes")
@@ -70,10 +71,18 @@ def _asof(probes: DataFrame, facts: DataFrame, key: str, at: str, payload: Seque
     f = facts.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(
         F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(0).alias("_tie"), F.lit(None).cast(probe_kind).alias("_p"), found.alias("_f")
     )
+    # a key is cut into cells of time, so that one with many rows is many tasks; what a cell begins with is carried into it
+    cell = F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / F.lit(cell_days * 86_400_000_000))
+    rows = p.unionByName(f).withColumn("_c", cell)
+    edge = (F.min if forward else F.max)(F.when(F.col("_tie") == 0, F.col("_f"))).alias("_f")
+    cells = rows.groupBy("_k", "_c").agg(edge)
+    before = Window.partitionBy("_k").orderBy(F.col("_c").desc() if forward else "_c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select("_k", "_c", F.last("_f", ignorenulls=True).over(before).alias("_f")).where("_f is not null and _c is not null")
+    carried = carried.select("_k", F.col("_f._at").alias("_t"), F.lit(0).alias("_tie"), F.lit(None).cast(probe_kind).alias("_p"), "_f", "_c")
     # backward: facts before probes of equal time; forward and strict: read from the end, facts of equal time after probes
     order = [F.col("_t").desc(), F.col("_tie").desc(), F.col("_f").desc()] if forward else ["_t", "_tie", "_f"]
-    w = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = p.unionByName(f).withColumn("_f", F.last("_f", ignorenulls=True).over(w)).where("_tie = 1")
+    w = Window.partitionBy("_k", "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.unionByName(carried).withColumn("_f", F.last("_f", ignorenulls=True).over(w)).where("_tie = 1")
     return joined.select("_p.*", *[F.col(f"_f.{c}").alias(c) for c in payload], F.col("_f._at").alias("fact_at"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The names of the session classes and the minutes at which they begin.
 def session_class(local: Column) -> Column:
     """WEEKEND, PREMARKET, RTH, AFTERHOURS or OUTSIDE of a local time."""
     minute = F.hour(local) * 60 + F.minute(local)
@@ -68,6 +69,12 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], value: st
     return both.select(*keys, "old_value", "new_value", change.alias("change"))
 
 
+def set_equality(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """``pair, equal``: whether two sets of rows are the same; what is on one side only is looked for, not counted."""
+    off = left.subtract(right).unionByName(right.subtract(left)).limit(1)
+    return off.agg((F.count(F.lit(1)) == 0).alias("equal")).select(F.lit(name).alias("pair"), "equal")
+
+
 def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), keys: Sequence[str] = ()) -> str:
     """Write a partitioned Parquet artifact once: a finished one of equal content is kept, another raises.
 
@@ -98,6 +105,33 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), keys: Se
     return "written"
 
 
+def publish_batches(df: DataFrame, path: str, batch: str) -> DataFrame:
+    """Publish each batch of a table as its own sealed artifact; ``batch, result`` says which were written and which were there.
+
+    A run that was cut short goes on where it stopped: batches sealed before are
+    compared and kept.  Batches are named in the data, and are as many as a
+    person would list.
+    """
+    names = sorted(r[0] for r in df.select(F.col(batch).cast("string")).where(F.col(batch).isNotNull()).distinct().collect())
+    done = [(n, publish(df.where(F.col(batch).cast("string") == n), f"{path}/{batch}={n}")) for n in names]
+    return df.sparkSession.createDataFrame(done, "batch string, result string")
+
+
+def id_shards(df: DataFrame, ident: str, size: str, most: int, digits: int = 1) -> DataFrame:
+    """``bucket, n, size, n_files`` for rows bucketed by the first hex digits of their id's hash, and the files a bucket needs so that none is beyond ``most``."""
+    bucket = F.substring(F.sha2(F.col(ident).cast("string"), 256), 1, digits)
+    per = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    return per.withColumn("n_files", F.greatest(F.lit(1), F.ceil(F.col("size") / most)).cast("long"))
+
+
+def size_gate(spark: SparkSession, path: str, most_bytes: int) -> str:
+    """``within`` or ``beyond``: whether what lies under a path may be read by a stage; ``absent`` where nothing lies there."""
+    files, target = _fs(spark, path)
+    if not files.exists(target):
+        return "absent"
+    return "within" if files.getContentSummary(target).getLength() <= most_bytes else "beyond"
+
+
 def content_seal(df: DataFrame) -> str:
     """Rows and an order-free hash of a table's content."""
     h = F.xxhash64(*sorted(df.columns)) if df.columns else F.lit(0)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.distribution import smallest_reaching
+
 
 def day_folds(df: DataFrame, day: str, folds: int) -> DataFrame:
     """``fold, first_day, last_day``: the distinct days cut into chunks of equal count, larger ones first.
@@ -38,12 +41,18 @@ def group_folds(df: DataFrame, group: str, day: str, target_day: str, folds: int
 
 
 def time_split(df: DataFrame, at: str, share: float) -> DataFrame:
-    """``train`` for the first ``share`` of the distinct times, ``test`` for the rest."""
-    times = df.select(F.col(at).alias("_t")).distinct()
-    # places of times by counting in two steps: within hashed ranges would need a sort anyway, so sort once
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_t"))
-    cut = times.withColumn("_i", rank).select("_t", F.when(F.col("_i") <= F.floor(times.agg(F.count(F.lit(1))).scalar() * share), "train").otherwise("test").alias("role"))
-    return df.join(cut, df[at].eqNullSafe(cut["_t"])).drop("_t")
+    """``train`` for the first ``share`` of the distinct times, ``test`` for the rest; a null time comes first.
+
+    The time at the cut is found by counting distinct times in buckets, so they are
+    never sorted in one place, and rows are only compared with it.
+    """
+    at_us = F.unix_micros(F.col(at).cast("timestamp"))
+    times = df.select(at_us.alias("t")).distinct()
+    n, nulls = times.agg(F.count(F.lit(1)), F.count_if(F.col("t").isNull())).first()
+    rank = math.floor(n * share) - nulls
+    cut = smallest_reaching(times, "t", (float(rank),))[float(rank)] if rank > 0 else None
+    first = F.col(at).isNull() if cut is None else F.col(at).isNull() | (at_us <= F.lit(int(cut)))
+    return df.withColumn("role", F.when(first, "train").otherwise("test"))
 
 
 def purge_shared(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> DataFrame:

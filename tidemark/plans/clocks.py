@@ -205,7 +205,7 @@ ORACLE = {
     "J09_price_asof": f"select distinct asset_id, strftime(trading_day, '%Y-%m-%d') as day, observation_sequence, price_observation_id, raw_close from temporal_price_points where causal_available_at <= timestamp '{CUTOFF}' qualify rank() over (partition by asset_id, trading_day order by observation_sequence desc) = 1",
     "J10_known_history": """with c as (select distinct evidence_claim_id, registrant_asset_id asset_id, evidence_available_at at_ from evidence_claims),
         m as (select c.evidence_claim_id, p.trading_day d, arg_max(struct_pack(v := p.raw_close), p.observation_sequence).v v from c join temporal_price_points p on p.asset_id = c.asset_id and p.causal_available_at <= c.at_
-            and p.trading_day <= c.at_::date and p.trading_day > c.at_::date - 60 group by 1, 2),
+            and p.trading_day <= c.at_::date group by 1, 2),
         r as (select *, row_number() over (partition by evidence_claim_id order by d desc) back from m)
         select evidence_claim_id, count(*) n_days, strftime(min(d), '%Y-%m-%d') first_day, strftime(max(d), '%Y-%m-%d') last_day, max(v) filter (back = 1) last_close, round(avg(v), 4) mean_close from r where back <= 21 group by 1""",
     "J11_asof_backward": f"with {EVENTS_SQL} select p.event_id, v.event_id view_id, v.value view_value, epoch_us(v.ts) fact_us from (select * from ev where event_type = 'purchase') p asof left join (select * from ev where event_type = 'view') v on p.user_id = v.user_id and p.ts >= v.ts",

@@ -11,6 +11,7 @@ from tidemark.operators import splits
 from tidemark.operators import windows as w
 from tidemark.plans import views
 from tidemark.plans.views import EVENTS_SQL, MONTHLY_SQL
+from tidemark.session import stored
 
 K, O = "asset_id", "day"
 Z = {"q05": -1.645, "q25": -0.674, "q50": 0.0, "q75": 0.674, "q95": 1.645}
@@ -135,7 +136,7 @@ def e22_gate(spark, sf):
 
 def e24_extremes(spark, sf):
     df = scored(spark, sf)
-    cut = df.agg(F.percentile(F.abs("y"), F.lit(0.99))).scalar()
+    cut = D.quantiles_of(df.withColumn("size", F.abs("y")), "size", (0.99,))[0]
     return _round(df.where(F.abs("y") <= cut).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae")))
 
 
@@ -162,7 +163,7 @@ def w31_autocorrelation(spark, sf):
 
 def w30_quartiles(spark, sf):
     df = returns(spark, sf).where("ret is not null")
-    q = [df.agg(F.percentile("ret", F.lit(p))).scalar() for p in (0.25, 0.5, 0.75)]
+    q = D.quantiles_of(df, "ret", (0.25, 0.5, 0.75))
     regime = F.when(F.col("ret") <= q[0], 1).when(F.col("ret") <= q[1], 2).when(F.col("ret") <= q[2], 3).otherwise(4)
     return _round(df.groupBy(regime.cast("long").alias("quartile")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_next")))
 
@@ -186,7 +187,7 @@ def m03_volatility_scaled(spark, sf):
 def m04_baselines(spark, sf):
     df = returns(spark, sf).where("y is not null")
     train, test = df.where("day < '1999-01-01'"), df.where("day >= '1999-01-01' and ret is not null")
-    mean, med = train.agg(F.avg("y")).scalar(), train.agg(F.percentile("y", F.lit(0.5))).scalar()
+    mean, med = train.agg(F.avg("y")).scalar(), D.quantiles_of(train, "y", (0.5,))[0]
     up = train.agg(F.avg((F.col("y") > 0).cast("double"))).scalar()
     own = train.groupBy(K).agg(F.avg("y").alias("own"))
     e = lambda p: F.avg(F.abs(F.col("y") - p))
@@ -203,7 +204,7 @@ def m05_adaptive_scale(spark, sf):
 
 def m10_conformal_shift(spark, sf):
     """Weighted quantiles of the last two years' residuals, as shifts of each forecast quantile."""
-    df = scored(spark, sf).where("day >= '2000-01-01'").withColumn("wt", D.day_weights(O))
+    df = stored(D.day_weights(scored(spark, sf).where("day >= '2000-01-01'"), O), "weighted")
     out = None
     for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95)):
         one = D.weighted_quantile(df.withColumn("res", F.round(F.col("y") - F.col(n), 9)), "res", "wt", q - 1e-12).select(F.lit(n).alias("name"), F.col("quantile").alias("shift"))
@@ -224,7 +225,7 @@ def m14_placebo(spark, sf):
 
 
 def m24_day_weights(spark, sf):
-    df = returns(spark, sf).withColumn("wt", D.day_weights(O))
+    df = D.day_weights(returns(spark, sf), O)
     return _round(df.groupBy(O).agg(F.sum("wt").alias("day_weight"), F.count(F.lit(1)).alias("n")))
 
 

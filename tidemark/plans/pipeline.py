@@ -147,7 +147,7 @@ def _totals_sql() -> str:
             f"{total}::double / {UNIT} total_{w}", f"{total}::double / {w} / {UNIT} avg_day_{w}",
             f"{total}::double / nullif({n}, 0) / {UNIT} avg_active_{w}", f"{n} active_days_{w}",
         ]
-    return f"""with {_CLOSES} select c.asset_id, strftime(c.d, '%Y-%m-%d') calendar_day, {', '.join(cols)}
+    return f"""with {_CLOSES.replace("from usable group by 1)", "from closes group by 1)")} select c.asset_id, strftime(c.d, '%Y-%m-%d') calendar_day, {', '.join(cols)}
         from cal c left join usable u on u.asset_id = c.asset_id and u.d between c.d - {max(WINDOWS) - 1} and c.d group by c.asset_id, c.d"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import audit, lake, registry
 from tidemark.operators import windows as w
+from tidemark.operators.distribution import quantiles_of
 from tidemark.plans import views
 from tidemark.plans.views import ACTIONS_SQL, DAILY_SQL, EVENTS_SQL, MONTHLY_SQL, OBS_SQL
 from tidemark.session import ensure_checkpoint_dir, table
@@ -114,7 +115,7 @@ def p11_status_ladder(spark, sf):
 def p14_terciles(spark, sf):
     df = views.monthly(spark, sf)
     train = df.where("day < '1999-01-01'")
-    a, b = (train.agg(F.percentile("volume", F.lit(q))).scalar() for q in (1 / 3, 2 / 3))
+    a, b = quantiles_of(train, "volume", (1 / 3, 2 / 3))
     regime = F.when(F.col("volume") <= a, "low").when(F.col("volume") <= b, "mid").otherwise("high")
     return df.where("day >= '1999-01-01'").groupBy(regime.alias("regime")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -296,7 +297,7 @@ def k06_upsert(spark, sf):
 
 def k07_append_new(spark, sf):
     c = table(spark, sf, "evidence_claims").select("evidence_claim_id", "claim_kind")
-    return registry.new_rows(c.where("claim_kind = 'x' or evidence_claim_id < 'n'"), c, "evidence_claim_id").select("evidence_claim_id")
+    return registry.new_rows(c.where("claim_kind <> 'subsidiary_claim'"), c, "evidence_claim_id").select("evidence_claim_id")
 
 
 def k09_replace_scope(spark, sf):
@@ -376,9 +377,11 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
         q = stream.writeStream.outputMode("append").format("parquet").option("path", base).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.read.schema(stream.schema).parquet(base)
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{base}-state").start()
+    # each batch's whole result replaces the one before, as a table and not in the driver's memory
+    write = lambda df, _: df.write.mode("overwrite").parquet(base)
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{base}-state").start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(base)
 
 
 def r06_tumbling(spark, sf):
@@ -464,7 +467,7 @@ ORACLE = {
     "L19_opening": "with p as (select user_id, ts::date as sess, arg_min(value, (ts, event_id)) o, arg_max(value, (ts, event_id)) c from events group by 1, 2) select user_id, strftime(sess, '%Y-%m-%d') as session, round(100 * (o / nullif(lag(c) over (partition by user_id order by sess), 0) - 1), 6) gap, round(100 * (c / nullif(o, 0) - 1), 6) rest from p",
     "K01_published": "select year(o_orderdate) as year, count(*) n from orders group by 1",
     "K06_upsert": "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
-    "K07_append_new": "select distinct evidence_claim_id from evidence_claims where evidence_claim_id not in (select evidence_claim_id from evidence_claims where claim_kind = 'x' or evidence_claim_id < 'n')",
+    "K07_append_new": "select distinct evidence_claim_id from evidence_claims where claim_kind = 'subsidiary_claim' or claim_kind is null",
     "K09_replace_scope": "select case when o_orderstatus = 'P' then 'R' else o_orderstatus end o_orderstatus, count(*) n from orders group by 1",
     "K10_seal": "select case when not o_orderpriority < '3' then 'new' when o_totalprice > 250000 then 'conflict' else 'already_sealed' end status, count(*) n from orders group by 1",
     "Q01_rules": f"with {DAILY_SQL} " + _rules_sql("daily", {"positive close": "close > 0", "high is highest": "high >= close - 1e-9", "low is lowest": "low <= close + 1e-9", "volume below 90": "volume < 90", "close present": "close is not null"}),

@@ -39,11 +39,6 @@ def f11_shingles(spark, sf):
     return fp.select(F.col("doc").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.size("shingles").cast("long").alias("n_shingles"), F.get("shingles", F.lit(0)).alias("least"))
 
 
-def f12_simhash(spark, sf):
-    fp = documents.fingerprints(_docs(spark, sf), "doc_id", "text")
-    return fp.select(F.col("doc").alias("doc_id"), F.hex(T.simhash64("shingles")).alias("simhash"))
-
-
 def f19_cues(spark, sf):
     return _docs(spark, sf).groupBy("source").agg(*[F.sum(T.count_cues("text", c)).alias("n_" + c.replace(" ", "_")) for c in ("the", "credit", "revenue", "agreed to")])
 
@@ -155,7 +150,7 @@ def t20_conflicts(spark, sf):
 
 
 QUERIES = {
-    "F03_normalized": f03_normalized, "F04_urls": f04_urls, "F07_titles": f07_titles, "F10_content_ids": f10_content_ids, "F11_shingles": f11_shingles, "F12_simhash": f12_simhash, "F19_cues": f19_cues,
+    "F03_normalized": f03_normalized, "F04_urls": f04_urls, "F07_titles": f07_titles, "F10_content_ids": f10_content_ids, "F11_shingles": f11_shingles, "F19_cues": f19_cues,
     "F26_times": f26_times, "F38_buckets": f38_buckets, "T01_exact_copies": t01_exact_copies, "T02_clusters": t02_clusters, "J27_near_copies": j27_near_copies, "T03_extents": t03_extents,
     "T25_stories": t25_stories, "T26_syndicated": t26_syndicated, "T12_relations_asof": t12_relations_asof, "T14_one_hop": t14_one_hop, "T15_aliases": t15_aliases, "T07_evidence_states": t07_evidence_states,
     "T08_latest_states": t08_latest_states, "T18_identity_buckets": t18_identity_buckets, "T19_bucket_pairs": t19_bucket_pairs, "T20_conflicts": t20_conflicts,

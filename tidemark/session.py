@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -43,17 +45,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
     sc.setCheckpointDir(named)
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so a lost executor costs no recomputation of the past."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def micros(col: Column | str) -> Column:
     """Epoch microseconds of a timestamp with or without zone (naive ones mean UTC)."""
     col = F.col(col) if isinstance(col, str) else col
@@ -68,13 +66,35 @@ def require_columns(df: DataFrame, names: list[str], what: str = "input") -> Dat
     return df
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as Parquet and read it again.
 
     Like a checkpoint, but columnar and compressed: later steps read the columns
-    they need, and a lost executor costs nothing of what is written.
+    they need, and a lost executor costs nothing of what is written.  The files stay
+    until :func:`release`, as results are read from them lazily.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what :func:`stored` wrote for this session, when no result that reads it is wanted any more; returns how many folders went."""
+    mine = [x for x in _WRITTEN if x[0] is spark]
+    for x in mine:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(x)
+    return len(mine)
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark in {id(s): s for s, _ in _WRITTEN}.values():
+        with contextlib.suppress(Exception):  # the session may have ended
+            release(spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,31 @@ def parquet_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(*paths).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def bound_query(spark: SparkSession, sql: str, params: dict[str, object], **tables: DataFrame) -> DataFrame:
+    """A query with bound parameters (``:name``) over tables named in braces; values never become part of the text."""
+    return spark.sql(sql, args=params, **tables)
+
+
+def hashed_chunks(df: DataFrame, key: str, n: int) -> list[DataFrame]:
+    """The rows in ``n`` parts by the hash of a key, for work that must go step by step; each part is a filter on the scan."""
+    part = F.pmod(F.xxhash64(key), F.lit(n))
+    return [df.where(part == i) for i in range(n)]
+
+
+def attach(spark: SparkSession, name: str, folder: str) -> list[str]:
+    """Every Parquet table of a folder as a read-only view ``name_table``; several folders make several databases."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    made = []
+    for f in files:
+        path = f.getPath()
+        if path.getName().endswith(".parquet"):
+            view = f"{name}_{path.getName()[: -len('.parquet')]}"
+            spark.read.parquet(path.toString()).select("*").createOrReplaceTempView(view)  # a projection can't be inserted into
+            made.append(view)
+    return sorted(made)
+
+
 def missing_columns(df: DataFrame, expected: Sequence[str]) -> list[str]:
     return [c for c in expected if c not in df.columns]
 
@@ -90,7 +115,7 @@ def raw_documents(spark: SparkSession, path: str, most_bytes: int = 50_000_000)
                             raise ValueError
                         rest = opened.unused_data.lstrip(b"\x00")  # members may be padded with zeros
                     data = b"".join(members)
-                out.append((None if b"\x00" in data[:1024] else data.decode("utf-8", "replace"), True))
+                out.append((None if b"\x00" in data else data.decode("utf-8", "replace"), True))
             except (ValueError, zlib.error):
                 out.append((None, False))
         return pd.DataFrame(out, columns=["text", "read"])
@@ -114,8 +139,6 @@ def evenly_spaced(df: DataFrame, order: Sequence[str | Column], n: int) -> DataF
 
     Meant for days and the like, of which there are few: places are counted in one pass.
     """
-    from pyspark.sql import Window
-
     placed = df.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     # row i is chosen if some k of n rounds to it
     k = F.round(F.col("_i") * (n - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
@@ -129,3 +152,15 @@ def weekday_sessions(spark: SparkSession, start: str, end: str, closed: Sequence
     days = days.where(~F.col("day").cast("string").isin(list(closed)))
     at = lambda t: F.to_timestamp(F.concat_ws(" ", F.col("day").cast("string"), F.lit(t)))
     return days.select("day", at(open_utc).alias("opens"), at(close_utc).alias("closes"))
+
+
+def html_index(pages: DataFrame, page_id: str, html: str, columns: Sequence[str]) -> DataFrame:
+    """Rows of the tables of filing-index pages: ``page_id, row, *columns, href``; header rows and rows of another width are left out.
+
+    ``href`` is the first link of the row.
+    """
+    from tidemark.functions.markup import table_rows
+
+    cells = table_rows(pages.select(page_id, html), page_id, html).where((F.size("cells") == len(columns)) & ~F.col("header"))
+    row = F.row_number().over(Window.partitionBy(page_id).orderBy("table_index", "row_index"))
+    return cells.select(page_id, row.cast("long").alias("row"), *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)], "href")
