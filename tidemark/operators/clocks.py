@@ -136,3 +136,24 @@ def known_history(
     per_day = near.unionByName(days(asking.join(full, probe_id, "left_anti"), ~recent))
     rn = F.row_number().over(Window.partitionBy(probe_id).orderBy(F.col("_d").desc()))
     return per_day.withColumn("back", rn).where(F.col("back") <= sessions).withColumnRenamed("_d", "day")
+
+
+def ingested(existing: DataFrame, batch: DataFrame, keys: Sequence[str], content: Sequence[str], order: Sequence[str], ident: str) -> DataFrame:
+    """``ident, *keys, version, sequence, kind`` of a batch's observations that are not there yet, numbered on from those that are.
+
+    The version is a hash of the content, so equal content is one version however
+    often it is seen; kinds are those of :func:`revision_kinds` over old and new.
+    """
+    version = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]), 256)
+    cols = [ident, *keys, *order]
+    both = existing.select(*cols, version.alias("version"), F.lit(0).alias("_new")).unionByName(
+        batch.dropDuplicates([ident]).join(existing.select(ident), ident, "left_anti").select(*cols, version.alias("version"), F.lit(1).alias("_new"))
+    )
+    kinds = revision_kinds(both, keys, ["_new", *order, ident], "version")
+    return kinds.where("_new = 1").select(ident, *keys, "version", F.col("observation_number").cast("long").alias("sequence"), "kind")
+
+
+def reaction_origins(events: DataFrame, closes: DataFrame, key: str, at: str, close_at: str, position: str) -> DataFrame:
+    """Events with the last session of their key that was complete by then: its ``position`` and close time as ``origin_*``; null before the first."""
+    facts = closes.select(key, F.col(close_at).alias(at), F.col(position).alias("origin_position"))
+    return asof_backward(events, facts, key, at, ["origin_position"]).withColumnRenamed("fact_at", "origin_at")

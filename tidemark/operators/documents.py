@@ -25,12 +25,21 @@ def earlier_near_copies(prints: DataFrame, least: float = 0.8, days: int = 3) ->
     ``prints`` has ``doc, asset, at`` (micros) and ``shingles``.  Exact: of two sets
     of that similarity, the first ``n - ceil(least * n) + 1`` elements in any fixed
     order have one in common, so only these are joined, together with the asset and
-    the place in time; the similarity is then computed from the whole sets.
+    the place in time; the similarity is then computed from the whole sets.  The
+    order is from the rarest shingle on, so what all texts of an asset share is
+    hardly ever looked up.
     """
     n = F.size("shingles")
-    head = F.slice("shingles", 1, F.greatest(F.lit(1), n - F.ceil(n * least).cast("int") + 1))
     span = days * DAY
-    keyed = prints.where((n > 0) & F.col("asset").isNotNull() & F.col("at").isNotNull()).select("doc", "asset", "at", n.alias("n"), F.explode(head).alias("key"))
+    whole = prints.where((n > 0) & F.col("asset").isNotNull() & F.col("at").isNotNull())
+    said = whole.select("doc", "asset", F.explode("shingles").alias("key"))
+    common = said.groupBy("asset", "key").agg(F.count(F.lit(1)).alias("df"))
+    # a shingle of one document of its asset meets nothing and needs no lookup, but keeps its place in the order
+    ordered = F.array_sort(F.collect_list(F.struct("df", "key")))
+    heads = said.join(common, ["asset", "key"]).groupBy("doc", "asset").agg(ordered.alias("o"))
+    head = F.slice("o", 1, F.greatest(F.lit(1), F.size("o") - F.ceil(F.size("o") * least).cast("int") + 1))
+    heads = heads.select("doc", F.size("o").alias("n"), F.filter(head, lambda x: x["df"] > 1).alias("h")).select("doc", "n", F.explode("h.key").alias("key"))
+    keyed = whole.select("doc", "asset", "at").join(heads, "doc")
     keyed = keyed.withColumn("slot", F.floor(F.col("at") / span))
     late = keyed.select("doc", "asset", "at", "n", "key", F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
     cond = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("asset", "key", "slot")]
@@ -47,7 +56,8 @@ def earlier_near_copies(prints: DataFrame, least: float = 0.8, days: int = 3) ->
 def causal_parents(prints: DataFrame, least: float = 0.8, copy_days: int = 7, near_days: int = 3, least_words: int = 8) -> DataFrame:
     """``doc, parent, reason, score``: for each document the earlier one it repeats, if any.
 
-    First the latest exact copy of the asset within ``copy_days`` (for texts of
+    Where ``prints`` has ``accession``, the first document of the same accession
+    comes before all others, whenever it came.  Then the latest exact copy of the asset within ``copy_days`` (for texts of
     ``least_words``), else the nearest copy within ``near_days``, the earliest of
     equals.  Only what came earlier is looked at, so later documents change nothing.
     """
@@ -59,7 +69,13 @@ def causal_parents(prints: DataFrame, least: float = 0.8, copy_days: int = 7, ne
     at = prints.select(F.col("doc").alias("other"), "at")
     best = F.max(F.struct("score", (-F.col("at")).alias("a"), F.col("other").alias("o")))
     near = near.join(at, "other").groupBy("doc").agg(best.alias("b")).select("doc", F.col("b.o").alias("parent"), F.lit("near").alias("reason"), F.col("b.score").alias("score"))
-    return copies.unionByName(near.join(copies.select("doc"), "doc", "left_anti"))
+    out = copies.unionByName(near.join(copies.select("doc"), "doc", "left_anti"))
+    if "accession" not in prints.columns:
+        return out
+    filed = prints.where(F.col("accession").isNotNull())
+    first = filed.groupBy("accession").agg(F.min(F.struct("at", "doc"))["doc"].alias("parent"))
+    same = filed.join(first, "accession").where("doc <> parent").select("doc", "parent", F.lit("accession").alias("reason"), F.lit(1.0).alias("score"))
+    return same.unionByName(out.join(same.select("doc"), "doc", "left_anti"))
 
 
 def roots(docs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -73,9 +89,10 @@ def roots(docs: DataFrame, parents: DataFrame) -> DataFrame:
             return now
 
 
-def causal_clusters(docs: DataFrame, doc_id: str, text: str, asset: str, at: str) -> DataFrame:
-    """``doc, cluster, reason``: documents by the first one they go back to; ``reason`` is ``anchor``, ``exact`` or ``near``."""
-    meta = docs.select(F.col(doc_id).alias("doc"), F.col(asset).alias("asset"), micros(at).alias("at"))
+def causal_clusters(docs: DataFrame, doc_id: str, text: str, asset: str, at: str, accession: str | None = None) -> DataFrame:
+    """``doc, cluster, reason``: documents by the first one they go back to; ``reason`` is ``anchor``, ``accession``, ``exact`` or ``near``."""
+    more = [F.col(accession).alias("accession")] if accession else []
+    meta = docs.select(F.col(doc_id).alias("doc"), F.col(asset).alias("asset"), micros(at).alias("at"), *more)
     prints = stored(fingerprints(docs, doc_id, text).join(meta, "doc"), "prints")
     parents = stored(causal_parents(prints), "parents")
     return roots(prints, parents).join(parents.select("doc", "reason"), "doc", "left").select("doc", F.col("root").alias("cluster"), F.coalesce("reason", F.lit("anchor")).alias("reason"))

@@ -71,3 +71,27 @@ def pairs_in_groups(df: DataFrame, group: str, item: str, lo: str, hi: str) -> D
     overlap = (F.col(f"a.{lo}") <= F.col(f"b.{hi}")) & (F.col(f"b.{lo}") <= F.col(f"a.{hi}"))
     pattern = F.when(~known, "unknown").when(overlap, "overlapping").otherwise("sequential")
     return met.select(F.col(f"a.{group}").alias(group), F.col(f"a.{item}").alias("left_item"), F.col(f"b.{item}").alias("right_item"), pattern.alias("pattern"))
+
+
+def unique_lineage(rows: DataFrame, raw: str, filing: str) -> DataFrame:
+    """``raw, filing, status`` of every raw document: the one filing it belongs to, or ``ambiguous`` or ``unknown`` and none."""
+    per = rows.where(F.col(raw).isNotNull()).groupBy(raw).agg(F.min(filing).alias("_f"), F.countDistinct(filing).alias("_n"))
+    status = F.when(F.col("_n") == 1, "unique").when(F.col("_n") > 1, "ambiguous").otherwise("unknown")
+    return per.select(raw, F.when(F.col("_n") == 1, F.col("_f")).alias(filing), status.alias("status"))
+
+
+def event_versions(evidence: DataFrame, subject: Sequence[str], at: str, item: str) -> DataFrame:
+    """``event_id, version_id, version, first_at, n_items`` of every state an event's evidence went through.
+
+    The event is its subject, a version the set of items known at an arrival;
+    arrivals that add nothing make no version.  Items are counted when they first
+    appear, and the version is a hash that does not depend on their order.
+    """
+    event = F.concat(F.lit("event_"), F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in subject]), 256))
+    rows = evidence.where(F.col(at).isNotNull() & F.col(item).isNotNull()).select(event.alias("event_id"), F.col(at).alias("at"), F.col(item).alias("item"))
+    first = rows.groupBy("event_id", "item").agg(F.min("at").alias("at"))
+    step = first.groupBy("event_id", "at").agg(F.count(F.lit(1)).alias("new"), F.sum(F.conv(F.substring(F.md5("item"), 1, 8), 16, 10).cast("long")).alias("h"))
+    order = Window.partitionBy("event_id").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    total = step.select("event_id", F.col("at").alias("first_at"), F.row_number().over(order).cast("long").alias("version"), F.sum("new").over(upto).alias("n_items"), F.sum("h").over(upto).alias("_h"))
+    return total.select("event_id", F.sha2(F.concat_ws("|", "event_id", F.col("_h").cast("string")), 256).alias("version_id"), "version", "first_at", "n_items")

@@ -1,4 +1,4 @@
-"""K-slack reordering of events that arrive late, for batches; see streaming.kslack for streams."""
+"""K-slack reordering of events that arrive late, for batches; its twin on streams is ``streams.k_slack_buffer``."""
 
 from __future__ import annotations
 
@@ -24,7 +24,8 @@ def k_slack(
 ) -> DataFrame:
     """Replay the arrivals of each key through a buffer of ``bound_micros`` of event time.
 
-    Returns ``*keys, row_id, t, arrival, behind, outcome, buffered``.  ``behind``
+    Returns ``*keys, row_id, t, arrival, high, behind, outcome, buffered``.  ``high``
+    is the latest event time that arrived before (null for none), ``behind``
     is how far the event lies behind the latest event time that arrived before it
     (rows of the same ``arrival`` arrive together); ``outcome`` is ``in_order``
     where that is not positive, ``corrected`` where the buffer can still put the
@@ -62,28 +63,83 @@ def k_slack(
     )
     return joined.withColumn("high", high).select(
         *[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)],
-        F.col("id").alias(row_id), "t", F.col("a").alias("arrival"), F.greatest(behind, F.lit(0)).alias("behind"),
+        F.col("id").alias(row_id), "t", F.col("a").alias("arrival"), "high", F.greatest(behind, F.lit(0)).alias("behind"),
         outcome.alias("outcome"),
         F.coalesce((outcome != "dropped") & (F.col("t") > F.col("final") - bound_micros), F.lit(False)).alias("buffered"),
     )
 
 
-def released_counts(slack: DataFrame, by: Sequence[str], row_id: str) -> DataFrame:
-    """Per ``by``: what arrived, what counts once the buffer is drained, and what came too late.
+def released(slack: DataFrame, keys: Sequence[str], row_id: str, bound_micros: int = 48 * HOUR, width: int = 32 * 24 * HOUR) -> DataFrame:
+    """The rows that the buffer takes, with ``released_at`` and ``since``: when each leaves it, and how long after the one before.
 
-    ``n_provisional`` of the ``n_final`` rows are still in the buffer.  ``first_id``
-    and ``last_id`` are order-sensitive: of the released rows, by event time, then
-    arrival, then id.
+    The buffer is full of what arrived and not yet sure to be next: a row leaves it
+    with the first arrival after which the latest time lies ``bound_micros`` or more
+    ahead of it, null while none has come.  Rows leave in the order of event time,
+    arrival and id; ``since`` is the step of event time from the row that left
+    before (null for the first).  Whatever arrives later and would have to go before
+    a row that has left was ``dropped`` by :func:`k_slack`, so the order is final.
+
+    Rows and the steps of the latest time are merged in buckets of ``width``, with
+    what follows from other buckets carried, so one hot key is many tasks.
+    """
+    same = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]
+    key = F.xxhash64(*same).alias("k"), F.struct(*keys).alias("key")
+    kept = slack.where(F.col("outcome").isin("in_order", "corrected"))
+    steps = slack.groupBy(*keys, "arrival").agg(F.greatest(F.max("high"), F.max("t")).alias("v")).where("v is not null")
+    kind = dict(slack.dtypes)[row_id]
+    s = steps.select(*key, "v", F.col("arrival").alias("a"), F.lit(0).alias("probe"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("own"), F.lit(None).cast(kind).alias("id"))
+    p = kept.select(*key, (F.col("t") + bound_micros).alias("v"), F.lit(None).cast("long").alias("a"), F.lit(1).alias("probe"), "t", F.col("arrival").alias("own"), F.col(row_id).alias("id"))
+    both = s.unionByName(p).withColumn("b", F.floor(F.col("v") / width))
+    ends = both.groupBy("key", "b").agg(F.min("a").alias("a"), F.max(F.struct("t", "own", "id")).alias("last"))
+    across = Window.partitionBy("key").orderBy("b")
+    carried = ends.select(
+        "key", "b", F.min("a").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+        F.last(F.when(F.col("last.t").isNotNull(), F.col("last")), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+    )
+    joined = both.alias("x").join(carried.alias("c"), F.col("x.key").eqNullSafe(F.col("c.key")) & (F.col("x.b") == F.col("c.b"))).select("x.*", "later", "before")
+    inside = Window.partitionBy("key", "b").orderBy(F.col("v").desc(), "probe").rowsBetween(Window.unboundedPreceding, 0)
+    done = joined.withColumn("released_at", F.least(F.min("a").over(inside), F.col("later"))).where("probe = 1")
+    order = Window.partitionBy("key", "b").orderBy("t", "own", "id")
+    since = F.col("t") - F.coalesce(F.lag("t").over(order), F.col("before.t"))
+    return done.select("key.*", F.col("id").alias(row_id), "t", F.col("own").alias("arrival"), "released_at", since.alias("since"))
+
+
+def timeline(out: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
+    """After every arrival of a key with rows that count: ``n_provisional`` of all that count by then, ``n_final`` of those released.
+
+    ``out`` is what :func:`released` returns.  The difference of both is what the
+    buffer holds; provisional values are published from it while it waits.
+    """
+    came = out.select(*keys, F.col("arrival").alias("a"), F.lit(1).alias("p"), F.lit(0).alias("f"))
+    left = out.where("released_at is not null").select(*keys, F.col("released_at").alias("a"), F.lit(0).alias("p"), F.lit(1).alias("f"))
+    per = came.unionByName(left).groupBy(F.struct(*keys).alias("key"), "a").agg(F.sum("p").alias("p"), F.sum("f").alias("f")).withColumn("b", F.floor(F.col("a") / block))
+    sums = per.groupBy("key", "b").agg(F.sum("p").alias("p"), F.sum("f").alias("f"))
+    before = Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("key", "b", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("cp"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("cf"))
+    joined = per.alias("x").join(carried.alias("c"), F.col("x.key").eqNullSafe(F.col("c.key")) & (F.col("x.b") == F.col("c.b"))).select("x.*", "cp", "cf")
+    upto = Window.partitionBy("key", "b").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select("key.*", F.col("a").alias("arrival"), (F.sum("p").over(upto) + F.col("cp")).alias("n_provisional"), (F.sum("f").over(upto) + F.col("cf")).alias("n_final"))
+
+
+def released_counts(slack: DataFrame, out: DataFrame, by: Sequence[str], row_id: str) -> DataFrame:
+    """Per ``by``: what arrived, what counts once the buffer is drained, what came too late, and what depends on the order.
+
+    ``slack`` is of :func:`k_slack`, ``out`` of :func:`released`.  ``n_provisional`` of
+    the ``n_final`` rows are still in the buffer.  ``first_id``, ``last_id`` and
+    ``longest_step`` (micros between rows of one key that leave one after the other)
+    are of the released order.
     """
-    kept = F.col("outcome").isin("in_order", "corrected")
-    place = F.when(kept, F.struct("t", "arrival", F.col(row_id)))
-    return slack.groupBy(*by).agg(
+    came = slack.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_arrived"),
         F.count_if(F.col("outcome") == "in_order").alias("n_in_order"),
         F.count_if(F.col("outcome") == "corrected").alias("n_corrected"),
         F.count_if(F.col("outcome") == "dropped").alias("n_dropped"),
-        F.count_if(kept).alias("n_final"),
-        F.count_if(kept & F.col("buffered")).alias("n_provisional"),
-        F.min(place)[row_id].alias("first_id"),
-        F.max(place)[row_id].alias("last_id"),
     )
+    place = F.struct("t", "arrival", F.col(row_id))
+    went = out.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_final"), F.count_if(F.col("released_at").isNull()).alias("n_provisional"),
+        F.min(place)[row_id].alias("first_id"), F.max(place)[row_id].alias("last_id"), F.max("since").alias("longest_step"),
+    ).select(*[F.col(b).alias(f"_{b}") for b in by], "n_final", "n_provisional", "first_id", "last_id", "longest_step")
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    joined = came.join(went, same, "left").drop(*[f"_{b}" for b in by])
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_final", "n_provisional")})

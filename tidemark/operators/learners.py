@@ -1,15 +1,19 @@
-"""Learners on Spark ML: isotonic calibration, additive ridge, and quantiles from forest leaves."""
+"""Learners on Spark ML and by sums: isotonic calibration, additive ridge, quantiles over a forest's trees, boosted chances."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.selection import linear, ridge
+from tidemark.session import stored
+
 
 def isotonic(train: DataFrame, test: DataFrame, score: str, label: str, keep: Sequence[str]) -> DataFrame:
     """``keep`` and ``calibrated`` of the test rows; fits on the training rows, in place."""
@@ -18,26 +22,42 @@ def isotonic(train: DataFrame, test: DataFrame, score: str, label: str, keep: Se
 
 
 def additive_ridge(df: DataFrame, train: str, parts: Sequence[tuple[str, Sequence[str]]], keep: Sequence[str], penalty: float = 1.0) -> DataFrame:
-    """``keep`` and ``predicted``: the sum of one ridge regression for each ``(label, features)``, fitted where ``train`` holds."""
+    """``keep`` and ``predicted``: the sum of one ridge regression for each ``(label, features)``, fitted by sums where ``train`` holds."""
+    known = stored(df.where(train).select(*dict.fromkeys(c for label, features in parts for c in (label, *features))), "ridge")
     total = F.lit(0.0)
     for label, features in parts:
-        df = VectorAssembler(inputCols=list(features), outputCol=f"_x_{label}").transform(df)
-        model = LinearRegression(featuresCol=f"_x_{label}", labelCol=label, regParam=penalty, predictionCol=f"_p_{label}").fit(df.where(train))
-        df = model.transform(df)
-        total = total + F.col(f"_p_{label}")
+        total = total + linear(ridge(known, features, label, penalty), features)
     return df.where(f"not ({train})").select(*keep, total.alias("predicted"))
 
 
-def quantile_forest(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keep: Sequence[str], trees: int = 8, depth: int = 5, quantiles: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
-    """Quantiles of the training outcomes that share a leaf with the row, averaged over the trees.
-
-    Each tree's leaves keep exact quantiles of their outcomes; a row looks its leaf
-    up in every tree.  A forest has at most ``trees * 2**depth`` leaves, so the
-    leaf table is small whatever the input holds.
-    """
+def quantile_forest(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keep: Sequence[str], trees: int = 16, depth: int = 5, quantiles: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """``keep``, interpolated quantiles of what a forest's trees predict for the row, and the share of trees above zero."""
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
+    model = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=5).fit(assembler.transform(train.select(*features, label)))
+    rows = assembler.transform(test.select(*dict.fromkeys([*keep, *features])))
+    for i, tree in enumerate(model.trees):
+        rows = tree.setFeaturesCol("_x").setPredictionCol(f"_t{i}").transform(rows)
+    said = F.array_sort(F.array(*[f"_t{i}" for i in range(trees)]))
+
+    def at(q: float) -> Column:
+        place = q * (trees - 1)
+        low = int(place)
+        below, above = F.get("_said", F.lit(low)), F.get("_said", F.lit(min(low + 1, trees - 1)))
+        return below + (place - low) * (above - below)
+
+    return rows.withColumn("_said", said).select(
+        *keep, *[at(q).alias(f"q{int(q * 100):02d}") for q in quantiles], (F.size(F.filter("_said", lambda x: x > 0)) / trees).alias("p_pos")
+    )
+
+
+def boosted_chance(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keep: Sequence[str], weight: str | None = None, rounds: int = 8, depth: int = 3) -> DataFrame:
+    """``keep`` and ``chance``: the chance of ``label`` 1 by boosted trees with optional row weights; the base rate where one outcome is all there is."""
+    whole = train.where(F.col(label).isNotNull())
+    least, most, rate = whole.agg(F.min(label), F.max(label), F.avg(label)).first()
+    if least == most:
+        return test.select(*keep, F.lit(rate).alias("chance"))
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
-    model = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=5, leafCol="_leaf").fit(assembler.transform(train))
-    leaves = model.transform(assembler.transform(train)).select(label, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    per = leaves.groupBy("tree", "leaf").agg(*[F.percentile(label, F.lit(q)).alias(f"q{int(q * 100):02d}") for q in quantiles])
-    rows = model.transform(assembler.transform(test)).select(*keep, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    return rows.join(per, ["tree", "leaf"]).groupBy(*keep).agg(*[F.avg(f"q{int(q * 100):02d}").alias(f"q{int(q * 100):02d}") for q in quantiles])
+    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=7, weightCol=weight)
+    fitted = model.fit(assembler.transform(whole.select(*features, label, *([weight] if weight else []))))
+    out = fitted.transform(assembler.transform(test.select(*dict.fromkeys([*keep, *features]))))
+    return out.select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias("chance"))

@@ -139,3 +139,78 @@ def total_return_outcomes(steps: DataFrame, taus: Sequence[int]) -> DataFrame:
         status = F.when(ahead("close").isNull(), "insufficient_future").when(gone > 0, "quarantine").otherwise("usable")
         made.append(F.struct(F.lit(tau).cast("long").alias("tau"), status.alias("status"), F.when(gone == 0, 100 * F.expm1(ahead("cum_log") - F.col("cum_log"))).alias("total_return")))
     return steps.select(k, o, F.array(*made).alias("_t")).select(k, o, F.inline("_t"))
+
+
+def intraday_state(bars: DataFrame, key: str, at: str, returns: Sequence[int] = (1, 5, 15, 30, 60), spans: Sequence[int] = (30, 60), means: Sequence[int] = (15, 60), long: int = 60) -> DataFrame:
+    """The state of each bar from its own past: returns, trend slopes, distances from means, volatilities, true range, strength, extremes, volume, candle.
+
+    Sample deviations of log returns, simple means for range and strength, all in
+    percent; extremes from the first bar on, relative volume from a third of the
+    window on.  What has too short a past is null.
+    """
+    k, o, pct = key, at, lambda x, base: 100 * (F.try_divide(x, base) - 1)
+    order = w.ordered(k, o)
+    prev = F.lag("close").over(order)
+    df = bars.withColumn("_pos", F.row_number().over(order).cast("double")).withColumn("_lr", F.ln(F.when((F.col("close") > 0) & (prev > 0), F.col("close") / prev)))
+    df = df.withColumn("_tr", w.true_range("high", "low", "close", k, o)).withColumn("_step", F.col("close") - prev)
+    high, low = w.trailing(F.max, "high", long, k, o, least=1), w.trailing(F.min, "low", long, k, o, least=1)
+    made = {f"return_{n}": w.lag_return("close", n, k, o) for n in returns}
+    made |= {f"slope_{n}": 100 * F.try_divide(w.slope("close", "_pos", n, k, o), F.col("close")) for n in spans}
+    made |= {f"ma_distance_{n}": pct(F.col("close"), w.trailing(F.avg, "close", n, k, o)) for n in means}
+    made |= {f"volatility_{n}": 100 * w.trailing(F.stddev_samp, "_lr", n, k, o) for n in spans}
+    made |= {
+        "atr_14": 100 * F.try_divide(w.trailing(F.avg, "_tr", 14, k, o), F.col("close")), "rsi_14": w.rsi("_step", 14, k, o),
+        f"drawdown_{long}": pct(F.col("close"), high), f"from_low_{long}": pct(F.col("close"), low),
+        "relative_volume": F.try_divide(F.col("volume"), w.trailing(F.avg, "volume", long, k, o, least=long // 3)),
+        "bar_range": 100 * F.try_divide(F.col("high") - F.col("low"), F.col("close")), "close_location": F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")),
+    }
+    return df.select(*bars.columns, *[c.alias(n) for n, c in made.items()])
+
+
+def cross_section_state(states: DataFrame, at: str, sector: str, ranked: Sequence[str], breadth: Sequence[str]) -> DataFrame:
+    """Each state beside those of its time: market and sector means, what differs from them, percentile ranks, share of positives."""
+    now, near = Window.partitionBy(at), Window.partitionBy(at, sector)
+    made = []
+    for c in ranked:
+        market = F.avg(c).over(now)
+        made += [market.alias(f"market_{c}"), (F.col(c) - market).alias(f"{c}_minus_market"), (F.col(c) - F.avg(c).over(near)).alias(f"{c}_minus_sector"), w.percent_rank_ties(c, at).alias(f"{c}_percentile")]
+    made += [F.avg((F.col(c) > 0).cast("double")).over(now).alias(f"breadth_{c}") for c in breadth]
+    return states.select("*", *made)
+
+
+def series_state(bars: DataFrame, names: dict[int, str], returns: Sequence[int], vol: int) -> DataFrame:
+    """One row a day with the returns, volatility and distance from the year's high of a few named series (indices, rates).
+
+    Each series is read along its own days first, then all are set side by side.
+    """
+    k, o = KEY, ORDER
+    own = bars.where(F.col(k).isin(list(names))).withColumn("_r", w.lag_return("close", 1, k, o))
+    metrics = {f"return_{n}": w.lag_return("close", n, k, o) for n in returns} | {f"volatility_{vol}": w.trailing(F.stddev_pop, "_r", vol, k, o), "from_high": 100 * (F.try_divide(F.col("close"), w.trailing(F.max, "close", 12, k, o, least=1)) - 1)}
+    df = own.select(k, o, *[c.alias(n) for n, c in metrics.items()])
+    return df.groupBy(o).agg(*[F.max(F.when(F.col(k) == i, F.col(m))).alias(f"{name}_{m}") for i, name in names.items() for m in metrics])
+
+
+def step_classes(steps: DataFrame, tolerance: float = 0.005, low: float = 0.2, high: float = 5.0) -> DataFrame:
+    """``close, prev, cash`` with the economic step ``(close + cash) / prev``, the provider's ``close / (prev - cash)``, and what to make of the row.
+
+    ``first`` without a previous close, ``quarantine`` outside ``low..high``, ``plain``
+    without cash, ``agrees`` or ``differs`` by the relative difference of both steps.
+    """
+    economic = F.try_divide(F.col("close") + F.col("cash"), F.col("prev"))
+    provider = F.try_divide(F.col("close"), F.col("prev") - F.col("cash"))
+    off = F.abs(F.try_divide(economic, provider) - 1)
+    kind = (
+        F.when(economic.isNull(), "first").when(~((economic > low) & (economic < high)), "quarantine").when(F.col("cash") == 0, "plain")
+        .when(off <= tolerance, "agrees").otherwise("differs")
+    )
+    return steps.select("*", economic.alias("economic"), provider.alias("provider"), kind.alias("step_class"))
+
+
+def repair_envelope(bars: DataFrame, most: float) -> DataFrame:
+    """Bars whose high and low hold their open and close: moved by at most the share ``most`` of the close, else ``status`` is ``refused`` and they stay."""
+    top, floor = F.greatest("high", "open", "close"), F.least("low", "open", "close")
+    moved = F.greatest(top - F.col("high"), F.col("low") - floor)
+    share = F.try_divide(moved, F.col("close"))
+    status = F.when(moved.isNull(), "incomplete").when(moved == 0, "whole").when(share <= most, "repaired").otherwise("refused")
+    ok = F.coalesce(share <= most, F.lit(False))
+    return bars.withColumns({"high": F.when(ok, top).otherwise(F.col("high")), "low": F.when(ok, floor).otherwise(F.col("low")), "status": status})

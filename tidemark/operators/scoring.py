@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import hash_bucket
 from tidemark.operators.windows import percent_rank_ties
 
 QUANTILES = (5, 25, 50, 75, 95)
@@ -58,28 +59,28 @@ def information_coefficients(df: DataFrame, day: str, y: str, p: str, least: int
     return ranked.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.corr(y, p).alias("pearson"), F.corr("_ry", "_rp").alias("spearman")).where(F.col("n") >= least)
 
 
-def block_starts(n: int, block: int, reps: int, seed: int) -> np.ndarray:
-    """Starts of non-circular blocks that cover ``n`` positions, for each repetition."""
-    if n < 1 or block < 1 or block > n:
-        raise ValueError("need 1 <= block <= n")
-    return np.random.default_rng(seed).integers(0, n - block + 1, size=(reps, -(-n // block)))
+def block_start(rep: Column, block: Column, n: int, size: int, seed: int) -> Column:
+    """Start of a non-circular block of ``size`` among ``n`` positions, from a hash of the repetition and the block's number."""
+    return hash_bucket(F.concat_ws("-", F.lit(seed).cast("string"), rep.cast("string"), block.cast("string")), n - size + 1)
 
 
 def block_bootstrap(daily: DataFrame, day: str, value: str, block: int, reps: int, seed: int = 0) -> DataFrame:
     """``rep, mean``: means of the daily values under moving-block resampling.
 
-    Runs one count; the starts (``reps`` x blocks) travel as a small table, are
-    exploded to positions and joined to the days by place.
+    Runs one count; starts come from a hash, are exploded to positions and joined
+    to the days by place.  Days are few, so one ordered pass over them is fine.
     """
     spark = daily.sparkSession
-    placed = daily.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(day)) - 1)
+    placed = daily.where(F.col(value).isNotNull()).withColumn("_i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(day)) - 1).cast("long"))
     n = placed.count()
     if not n:
         return spark.createDataFrame([], "rep long, mean double")
+    if block < 1:
+        raise ValueError("a block holds at least one day")
     block = min(block, n)
-    starts = block_starts(n, block, reps, seed)
-    rows = [(r, b, int(s)) for r, row in enumerate(starts) for b, s in enumerate(row)]
-    picks = spark.createDataFrame(rows, "rep long, b long, start long").select("rep", "b", F.posexplode(F.sequence("start", F.col("start") + block - 1)).alias("j", "_i"))
+    grid = spark.range(reps * -(-n // block)).select(F.floor(F.col("id") / -(-n // block)).alias("rep"), (F.col("id") % -(-n // block)).alias("b"))
+    grid = grid.withColumn("start", block_start(F.col("rep"), F.col("b"), n, block, seed))
+    picks = grid.select("rep", "b", F.posexplode(F.sequence("start", F.col("start") + block - 1)).alias("j", "_i"))
     picks = picks.where(F.col("b") * block + F.col("j") < n)  # the last block is cut to size
     return picks.join(placed.select("_i", value), "_i").groupBy("rep").agg(F.avg(value).alias("mean"))
 
@@ -120,3 +121,55 @@ def autocorrelation(daily: DataFrame, day: str, value: str, lags: Sequence[int])
     df = daily.select(F.col(value).alias("x"), *[F.lag(value, k).over(order).alias(f"l{k}") for k in lags])
     made = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"c{k}").alias("corr")) for k in lags])
     return df.agg(*[F.corr("x", f"l{k}").alias(f"c{k}") for k in lags]).select(F.inline(made))
+
+
+def poisson_weight(*parts: Column) -> Column:
+    """A whole weight of mean one from a hash of the parts: the same one wherever and whenever it is drawn."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    out, below, p = F.lit(9), 0.0, math.exp(-1.0)
+    levels = []
+    for k in range(9):
+        below += p
+        levels.append((k, below))
+        p /= k + 1
+    for k, level in reversed(levels):
+        out = F.when(u < level, k).otherwise(out)
+    return out
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int, seed: int = 0) -> DataFrame:
+    """``rep, mean``: means under resampling of whole clusters, each drawn a Poisson number of times.
+
+    Clusters are summed first; every repetition is a weighted sum over them, so
+    nothing is numbered, sorted or brought to one place.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    drawn = per.select("s", "c", cluster, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = drawn.withColumn("w", poisson_weight(F.lit(seed), F.col("rep"), F.col(cluster)))
+    return drawn.groupBy("rep").agg(F.try_divide(F.sum(F.col("s") * F.col("w")), F.sum(F.col("c") * F.col("w"))).alias("mean"))
+
+
+def expanding_predictions(df: DataFrame, folds: DataFrame, day: str, target_day: str, group: str, y: str) -> DataFrame:
+    """Rows tested in a fold with the mean of their group over all rows whose target lies before the fold, everyone's for a new group.
+
+    ``folds`` has ``fold, first_day, last_day`` and is as long as a person would
+    plan; all folds are fitted in one pass.
+    """
+    f = F.broadcast(folds)
+    known = df.where(F.col(y).isNotNull()).join(f, F.col(target_day) < F.col("first_day"))
+    own = known.groupBy("fold", group).agg(F.avg(y).alias("_own"))
+    every = F.broadcast(known.groupBy("fold").agg(F.avg(y).alias("_all")))
+    test = df.join(f, (F.col(day) >= F.col("first_day")) & (F.col(day) <= F.col("last_day")))
+    return test.join(own, ["fold", group], "left").join(every, "fold", "left").withColumn("prediction", F.coalesce("_own", "_all")).drop("_own", "_all", "first_day", "last_day")
+
+
+def walked(df: DataFrame, folds: Sequence[tuple[int, object, object]], day: str, target_day: str, fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame]) -> DataFrame:
+    """Predictions of caller's own functions along folds: ``fit`` gets the rows whose target lies before a fold, ``predict`` its model and the fold's rows."""
+    out = None
+    for fold, first, last in folds:
+        model = fit(df.where(F.col(target_day) < F.lit(first)))
+        part = predict(model, df.where(F.col(day).between(F.lit(first), F.lit(last)))).withColumn("fold", F.lit(fold).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no folds")
+    return out

@@ -67,3 +67,11 @@ def walk_forward(df: DataFrame, key: Sequence[str], order: Sequence[str], first:
     """Number of the step in which each row is tested, in windows of ``step`` rows after the first ``first``; 0 before."""
     rn = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("step", F.when(rn <= first, F.lit(0)).otherwise(F.floor((rn - first - 1) / step) + 1).cast("long"))
+
+
+def inner_split(df: DataFrame, day: str, parts: int, target_day: str | None = None) -> DataFrame:
+    """``inner_test`` for the last of ``parts`` chunks of the days, ``inner_train`` before it, ``purged`` where a target reaches into the test."""
+    first = day_folds(df, day, parts).where(F.col("fold") == parts).agg(F.min("first_day").alias("_cut"))
+    early = F.col(target_day or day) < F.col("_cut")
+    role = F.when(F.col(day) >= F.col("_cut"), "inner_test").when(early, "inner_train").otherwise("purged")
+    return df.join(F.broadcast(first)).withColumn("role", role).drop("_cut")  # one row

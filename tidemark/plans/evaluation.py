@@ -93,7 +93,7 @@ def a22_three_levels(spark, sf):
 
 def e15_block_bootstrap(spark, sf):
     df = scored(spark, sf).withColumn("delta", F.abs(F.col("y")) - F.abs(F.col("y") - F.col("p")))
-    return S.interval(S.block_bootstrap(S.equal_by(df, [[O]], "delta"), O, "delta", 10, 500, 7))
+    return _round(S.interval(S.block_bootstrap(S.equal_by(df, [[O]], "delta"), O, "delta", 10, 500, 7)))
 
 
 def e17_daily_ic(spark, sf):
@@ -243,7 +243,7 @@ def m11_isotonic(spark, sf):
     from tidemark.operators import learners
 
     df = scored(spark, sf).withColumn("up", (F.col("y") > 0).cast("double"))
-    return learners.isotonic(df.where("day < '1999-01-01'"), df.where("day >= '1999-01-01'"), "p_pos", "up", [K, O])
+    return _round(learners.isotonic(df.where("day < '1999-01-01'"), df.where("day >= '1999-01-01'"), "p_pos", "up", [K, O]))
 
 
 def m18_linear_parts(spark, sf):
@@ -255,11 +255,11 @@ def m18_linear_parts(spark, sf):
     df = df.withColumn("ym", m).withColumn("ys", s - F.col("ym")).withColumn("ya", F.col("y") - F.col("ym") - F.col("ys"))
     df = df.withColumn("rm", F.avg("ret").over(Window.partitionBy(O))).withColumn("rs", F.avg("ret").over(Window.partitionBy(O, "sector")) - F.col("rm"))
     df = df.withColumn("ra", F.col("ret") - F.col("rm") - F.col("rs"))
-    return learners.additive_ridge(df, "day < '1999-01-01'", [("ym", ["rm"]), ("ys", ["rs", "rm"]), ("ya", ["ra", "rs"])], [K, O])
+    return _round(learners.additive_ridge(df, "day < '1999-01-01'", [("ym", ["rm"]), ("ys", ["rs", "rm"]), ("ya", ["ra", "rs"])], [K, O]))
 
 
 def m22_quantile_forest(spark, sf):
-    """Quantiles of a row from the training outcomes in its forest leaves."""
+    """Quantiles over what the trees of a forest predict."""
     from tidemark.operators import learners
 
     df = scored(spark, sf)
@@ -304,7 +304,28 @@ def _cdf(x: str) -> str:
 
 _ORDERED = "list_sort([q05, q25x, q50, q75, q95])"
 
+def _solve2(y: str, a: str, b: str, t: str) -> str:
+    """Slopes and intercept of a ridge of two features with penalty 1, from centred sums."""
+    return f"""(select my - (syA * (sbb + 1) - syB * sab) / d * ma - (syB * (saa + 1) - syA * sab) / d * mb c, (syA * (sbb + 1) - syB * sab) / d ba, (syB * (saa + 1) - syA * sab) / d bb from (select *, (saa + 1) * (sbb + 1) - sab * sab d from (
+        select avg({y}) my, avg({a}) ma, avg({b}) mb, var_pop({a}) * count(*) saa, var_pop({b}) * count(*) sbb, covar_pop({a}, {b}) * count(*) sab, covar_pop({y}, {a}) * count(*) syA, covar_pop({y}, {b}) * count(*) syB from {t})))"""
+
+
+_PARTS_SQL = f"""{RETURNS_SQL}, r as (select * from rets where y is not null and ret is not null), p0 as (select *, avg(y) over (partition by day) ym, avg(ret) over (partition by day) rm, avg(y) over (partition by day, sector) - avg(y) over (partition by day) ys, avg(ret) over (partition by day, sector) - avg(ret) over (partition by day) rs from r),
+p as (select *, y - ym - ys ya, ret - rm - rs ra from p0), t as (select * from p {_TRAIN})"""
+_HASH = "(('0x' || substring(sha256({t}), 1, 15))::hugeint % {n})::bigint"
+_ISO = f"""{SCORED_SQL}, x as (select p_pos x, avg((y > 0)::int) v, count(*) w from scored {_TRAIN} group by 1), i as (select *, row_number() over (order by x) k, sum(w) over (order by x) cw, sum(w * v) over (order by x) cv from x),
+pr as (select a.k ka, b.k kb, (b.cv - a.cv + a.w * a.v) / (b.cw - a.cw + a.w) m from i a join i b on a.k <= b.k), lo as (select ka, kb, min(m) over (partition by ka order by kb desc rows between unbounded preceding and current row) lm from pr),
+g as (select kb k, max(lm) f from lo group by 1), gx as (select x, f from g join i using (k)), e as (select min(x) a, max(x) b, arg_min(f, x) fa, arg_max(f, x) fb from gx)"""
+
 ORACLE = {
+    "E15_block_bootstrap": f"""with {SCORED_SQL}, d as (select day, avg(delta) v, row_number() over (order by day) - 1 i, count(*) over () n from scored group by 1), z as (select least(10, n) l, n, ceil(n / least(10, n))::bigint nb from d limit 1),
+        g as (select r, b, l, n, {_HASH.format(t="'7-' || r || '-' || b", n='(n - l + 1)')} s from z, (select unnest(range(0, 500)) r), (select unnest(range(0, (select nb from z))) b)), p as (select r, b * l + j place, s + j i, n from g, (select unnest(range(0, 10)) j) where j < l),
+        m as (select r, avg(v) v from p join d using (i) where place < p.n group by 1) select round(quantile_cont(v, 0.025), 6) low, round(avg(v), 6) middle, round(quantile_cont(v, 0.975), 6) high from m""",
+    "M18_linear_parts": f"""with {_PARTS_SQL}, a as (select avg(ym) - b * avg(rm) c, b from t, (select covar_pop(ym, rm) * count(*) / (var_pop(rm) * count(*) + 1) b from t) group by b), s as {_solve2('ys', 'rs', 'rm', 't')}, o as {_solve2('ya', 'ra', 'rs', 't')}
+        select asset_id, strftime(p.day, '%Y-%m-%d') as day, round(a.c + a.b * rm + s.c + s.ba * rs + s.bb * rm + o.c + o.ba * ra + o.bb * rs, 6) predicted from p, a, s, o where p.day >= date '1999-01-01'""",
+    "M11_isotonic": f"""with {_ISO}, q as (select asset_id, day, p_pos from scored where day >= date '1999-01-01'), u as (select distinct p_pos from q),
+        n as (select p_pos, (select max(x) from gx where x <= p_pos) xa, (select min(x) from gx where x >= p_pos) xb from u), v as (select n.p_pos, case when n.xa is null then e.fa when n.xb is null then e.fb when n.xa = n.xb then ga.f else ga.f + (gb.f - ga.f) * (n.p_pos - n.xa) / (n.xb - n.xa) end c from n cross join e left join gx ga on ga.x = n.xa left join gx gb on gb.x = n.xb)
+        select asset_id, strftime(q.day, '%Y-%m-%d') as day, round(c, 6) calibrated from q join v using (p_pos)""",
     "E01_purged_folds": f"""with {RETURNS_SQL}, d as (select distinct day from rets where target_day is not null), c as (select day, ntile(6) over (order by day) fold from d), f as (select fold, min(day) a, max(day) b from c group by 1),
         x as (select fold, case when day between a and b then 'test' else 'train' end as role, rets.* from rets join f on fold > 1 and (day between a and b or target_day < a) where target_day is not null)
         select fold, role, count(*) n, strftime(min(x.day), '%Y-%m-%d') first_day, strftime(max(target_day), '%Y-%m-%d') last_target from x group by 1, 2""",

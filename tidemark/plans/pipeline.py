@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.bitemporal import as_known
-from tidemark.operators.kslack import k_slack, released_counts
+from tidemark.operators.kslack import HOUR, k_slack, released, released_counts, timeline
 from tidemark.operators.orphans import orphan_references
 from tidemark.operators.rolling_totals import latest_daily_value, rolling_totals
-from tidemark.session import table
+from tidemark.session import stored, table
+from tidemark.streaming.streams import k_slack_buffer
 
 WINDOWS = (7, 30)
+SLACK_KEYS = ("source_id", "symbol", "trading_day")
 UNIT = 10_000  # closes are summed as integers of 1/UNIT, so that totals don't depend on the order of rows
 
 
@@ -85,7 +87,7 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _slack(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "global_reference_observations")
-    return k_slack(rows, ("source_id", "symbol", "trading_day"), "observation_id", "observed_at", "observation_sequence")
+    return k_slack(rows, SLACK_KEYS, "observation_id", "observed_at", "observation_sequence")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,14 +96,34 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per source and trading day, corrected up to 48 hours of lateness."""
-    return released_counts(_slack(spark, sf), ("source_id", "trading_day"), "observation_id").withColumn(
-        "trading_day", F.date_format("trading_day", "yyyy-MM-dd")
-    )
+    slack = stored(_slack(spark, sf), "slack")  # read for the rows and for the steps of the latest time
+    out = released(slack, SLACK_KEYS, "observation_id")
+    return released_counts(slack, out, ("source_id", "trading_day"), "observation_id").withColumn("trading_day", F.date_format("trading_day", "yyyy-MM-dd"))
+
+
+def p5_released(spark: SparkSession, sf: str) -> DataFrame:
+    """When each observation leaves the buffer, and the step from the one that left before it."""
+    return released(stored(_slack(spark, sf), "slack"), SLACK_KEYS, "observation_id").select("observation_id", "released_at", "since")
+
+
+def p5_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Provisional and final counts of every source, symbol and day after each arrival."""
+    out = timeline(released(stored(_slack(spark, sf), "slack"), SLACK_KEYS, "observation_id"), SLACK_KEYS)
+    return out.withColumn("trading_day", F.date_format("trading_day", "yyyy-MM-dd"))
+
+
+def p5_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the stream operator: what it released, flushed and dropped, in batches from a folder."""
+    from tidemark.plans.platform import drained, stream_of
+
+    rows = stream_of(spark, sf, "global_reference_observations").dropDuplicates(["observation_id"])
+    out = drained(k_slack_buffer(rows, SLACK_KEYS, "observation_id", "observed_at", "observation_sequence", 48 * HOUR), "append")
+    return out.where("kind in ('released', 'dropped', 'flushed')").select("observation_id", "kind", "released_at")
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_totals": p1_totals, "p2_found": p2_found, "p3_found": p3_found,
-    "p3_report": p3_report, "p5_found": p5_found, "p5_counts": p5_counts,
+    "p3_report": p3_report, "p5_found": p5_found, "p5_counts": p5_counts, "p5_released": p5_released, "p5_timeline": p5_timeline, "p5_stream": p5_stream,
 }
 
 _CLOSES = """
@@ -119,6 +141,12 @@ high as (select *, max(t) over (partition by source_id, symbol, trading_day orde
 slack as (select *, case when t is null then 'untimed' when h is null or t >= h then 'in_order' when h - t <= 172800000000 then 'corrected' else 'dropped' end outcome from high)
 """
 
+_RELEASED = f"""{_SLACK.strip()},
+step as (select source_id, symbol, trading_day, s, greatest(max(h), max(t)) v from slack group by all),
+kept as (select * from slack where outcome in ('in_order', 'corrected')),
+rel as (select k.*, (select min(x.s) from step x where x.source_id is not distinct from k.source_id and x.symbol is not distinct from k.symbol and x.trading_day is not distinct from k.trading_day and x.v >= k.t + 172800000000)::bigint released_at,
+    t - lag(t) over (partition by source_id, symbol, trading_day order by t, s, observation_id) since from kept k)"""
+
 _LOST = """
 lost as (
     select distinct 'relation_name_candidates' ref_table, r.relation_candidate_id ref_id, r.resolved_target_entity_id k, r.evidence_available_at  ref_time
@@ -161,11 +189,17 @@ ORACLE = {
     "p3_found": f"with {_LOST} select ref_table, ref_id from lost",
     "p3_report": f"with {_LOST} select ref_table, strftime(ref_time, '%Y-%m') period, count(*) n_orphans, count(distinct k) n_keys from lost group by all",
     "p5_found": f"with {_SLACK} select observation_id, outcome from slack where outcome in ('corrected', 'dropped')",
-    "p5_counts": f"""with {_SLACK} select source_id, strftime(trading_day, '%Y-%m-%d') trading_day, count(*) n_arrived,
+    "p5_counts": f"""with {_RELEASED} select source_id, strftime(trading_day, '%Y-%m-%d') trading_day, count(*) n_arrived,
         count(*) filter (outcome = 'in_order') n_in_order, count(*) filter (outcome = 'corrected') n_corrected,
         count(*) filter (outcome = 'dropped') n_dropped, count(*) filter (outcome in ('in_order', 'corrected')) n_final,
         count(*) filter (outcome in ('in_order', 'corrected') and t > fin - 172800000000) n_provisional,
         arg_min(observation_id, (t, s, observation_id)) filter (outcome in ('in_order', 'corrected')) first_id,
-        arg_max(observation_id, (t, s, observation_id)) filter (outcome in ('in_order', 'corrected')) last_id
+        arg_max(observation_id, (t, s, observation_id)) filter (outcome in ('in_order', 'corrected')) last_id,
+        (select max(since) from rel where rel.source_id is not distinct from slack.source_id and rel.trading_day is not distinct from slack.trading_day) longest_step
         from slack group by all""",
+    "p5_released": f"with {_RELEASED} select observation_id, released_at, since from rel",
+    "p5_timeline": f"""with {_RELEASED}, e as (select source_id, symbol, trading_day, s a, 1 p, 0 f from rel union all select source_id, symbol, trading_day, released_at, 0, 1 from rel where released_at is not null), g as (select source_id, symbol, trading_day, a, sum(p) p, sum(f) f from e group by all)
+        select source_id, symbol, strftime(trading_day, '%Y-%m-%d') trading_day, a::bigint arrival, sum(p) over k::bigint n_provisional, sum(f) over k::bigint n_final from g window k as (partition by source_id, symbol, g.trading_day order by a)""",
+    "p5_stream": f"""with {_RELEASED}, w as (select max(t) - 30 * 86400000000 m from slack) select observation_id, case when released_at is not null then 'released' else 'flushed' end kind, released_at from rel, w where released_at is not null or t + 172800000000 < m
+        union all select observation_id, 'dropped', null from slack where outcome = 'dropped'""",
 }

@@ -66,16 +66,17 @@ def t02_clusters(spark, sf):
 
 
 def j27_near_copies(spark, sf):
-    """Every document with the earlier near copies of its asset counted."""
+    """Every document with the near copies counted that its source sent up to two years earlier."""
     docs = _docs(spark, sf)
-    fp = documents.fingerprints(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("doc"), F.col("asset_id").alias("asset"), F.unix_micros(F.col("available_at").cast("timestamp")).alias("at")), "doc")
-    near = documents.earlier_near_copies(stored(fp, "prints"), days=365)
+    fp = documents.fingerprints(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("asset"), F.unix_micros(F.col("available_at").cast("timestamp")).alias("at")), "doc")
+    near = documents.earlier_near_copies(stored(fp, "prints"), days=730)
     return near.groupBy(F.col("doc").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_earlier"), F.round(F.max("score"), 6).alias("best"))
 
 
 def t03_extents(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "asset_id", F.sha2(T.normalized("text"), 256).alias("sha"), F.col("available_at").cast("timestamp").alias("at"), "source")
-    return docs.where("sha is not null").groupBy("sha").agg(
+    # a text without words is no copy of another
+    return docs.where(F.col("sha").isNotNull() & (F.col("sha") != F.sha2(F.lit(""), 256))).groupBy("sha").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("n_sources"), F.unix_micros(F.min("at")).alias("first_us"), F.unix_micros(F.max("at")).alias("last_us")).where("n > 1")
 
 
@@ -86,8 +87,8 @@ def t25_stories(spark, sf):
 
 
 def t26_syndicated(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", "text", "source", F.to_date("available_at").cast("string").alias("day"))
-    return documents.syndicated(docs, "doc_id", "text", "source", "day", 60)
+    docs = _docs(spark, sf).select("doc_id", "text", "source", F.trunc("available_at", "month").cast("string").alias("day"))
+    return documents.syndicated(docs, "doc_id", "text", "source", "day", 40)
 
 
 def _edges(spark, sf):
@@ -177,10 +178,16 @@ ORACLE = {
     "F26_times": "select distinct evidence_claim_id, epoch_us(evidence_available_at) // 1000000 at_seconds from evidence_claims",
     "F38_buckets": "select distinct entity_id, (('0x' || substring(sha256(entity_id::varchar), 1, 15))::hugeint % 97)::bigint bucket from asset_entities",
     "T01_exact_copies": f"with {_WORDS} select min(doc_id) first_doc, count(*) n from w where len(ws) >= 8 group by t having count(*) > 1",
-    "J27_near_copies": f"""with {_WORDS}, {_SH}, p as (select x.doc_id, len(list_intersect(x.s, y.s)) i, len(x.s) a, len(y.s) b from sh x join sh y on x.asset_id = y.asset_id and (y.available_at, y.doc_id) < (x.available_at, x.doc_id) and x.available_at - y.available_at <= interval 365 days
+    "T02_clusters": f"""with recursive {_WORDS}, {_SH}, b as (select doc_id, asset_id, t, s, ws, epoch_us(available_at) a from sh),
+        e as (select doc_id, lag(doc_id) over k parent, a - lag(a) over k age from b where len(ws) >= 8 and asset_id is not null window k as (partition by asset_id, t order by a, doc_id)), ex as (select doc_id, parent from e where age <= 604800000000),
+        n as (select x.doc_id, y.doc_id o, y.a, len(list_intersect(x.s, y.s)) i, len(x.s) + len(y.s) u from b x join b y on x.asset_id = y.asset_id and (y.a, y.doc_id) < (x.a, x.doc_id) and x.a - y.a <= 259200000000 and len(x.ws) >= 8 and len(y.ws) >= 8 and least(len(x.s), len(y.s)) >= 0.8 * greatest(len(x.s), len(y.s))),
+        ne as (select doc_id, arg_max(o, (i / (u - i), -a, o)) parent from n where i / (u - i) >= 0.8 group by 1), p as (select doc_id, parent, 'exact' reason from ex union all select doc_id, parent, 'near' from ne where doc_id not in (select doc_id from ex)),
+        r as (select doc_id, doc_id root from documents where doc_id not in (select doc_id from p) union all select p.doc_id, r.root from p join r on p.parent = r.doc_id)
+        select r.doc_id, root cluster_id, coalesce(reason, 'anchor') reason from r left join p on p.doc_id = r.doc_id""",
+    "J27_near_copies": f"""with {_WORDS}, {_SH}, p as (select x.doc_id, len(list_intersect(x.s, y.s)) i, len(x.s) a, len(y.s) b from sh x join sh y on x.source = y.source and (y.available_at, y.doc_id) < (x.available_at, x.doc_id) and x.available_at - y.available_at <= interval 730 days
         and len(x.s) > 0 and len(y.s) > 0 and least(len(x.s), len(y.s)) >= 0.8 * greatest(len(x.s), len(y.s)))
         select doc_id, count(*) n_earlier, round(max(i / (a + b - i)), 6) best from p where i / (a + b - i) >= 0.8 group by 1""",
-    "T03_extents": f"with d as (select sha256({_NT}) sha, source, available_at from documents where text is not null) select sha, count(*) n, count(distinct source) n_sources, epoch_us(min(available_at)) first_us, epoch_us(max(available_at)) last_us from d group by 1 having count(*) > 1",
+    "T03_extents": f"with d as (select sha256({_NT}) sha, source, available_at from documents where text is not null and {_NT} <> '') select sha, count(*) n, count(distinct source) n_sources, epoch_us(min(available_at)) first_us, epoch_us(max(available_at)) last_us from d group by 1 having count(*) > 1",
     "T12_relations_asof": f"""with r as (select distinct *, concat_ws('|', source_entity_id, resolved_target_entity_id, relation_type) rid, case when mention_count >= 4 then 'retracted' else 'asserted' end act from relation_name_candidates where resolved_target_entity_id is not null),
         v as (select rid, min(evidence_available_at) f from r group by 1), l as (select rid, arg_max(act, (evidence_available_at, evidence_char_start, act)) act from r where evidence_available_at <= timestamp '{AT}' group by 1)
         select v.rid relation_id from v join l using (rid) where act <> 'retracted' and f <= timestamp '{AT}' and timestamp '{AT}' < f + interval 1500 days""",
@@ -201,6 +208,6 @@ ORACLE = {
     "T20_conflicts": "with b as (select distinct * from identity_conflict_buckets) select conflict_group_id, count(distinct normalized_jurisdiction) n_jurisdictions, sum(evidence_occurrence_count)::bigint n_evidence from b group by 1 having count(distinct normalized_jurisdiction) > 1",
     "T25_stories": """with d as (select doc_id, asset_id, available_at::date as day, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), 'https?://\\S+', ' ', 'g'), '\\((?:reuters|ap|afp|bloomberg)\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) k from documents where asset_id is not null and available_at is not null)
         select k story, strftime(d.day, '%Y-%m-%d') as day, asset_id asset, count(distinct doc_id) n_docs, min(doc_id) first_doc from d where k <> '' group by k, d.day, asset_id""",
-    "T26_syndicated": f"""with d as (select doc_id, source, strftime(available_at, '%Y-%m-%d') as day, {_NT} t from documents), g as (select d.day, substring(t, 1, 60) k, count(distinct source) n_sources, count(distinct doc_id) n_docs, min(doc_id) first_doc from d where length(t) >= 60 group by 1, 2)
+    "T26_syndicated": f"""with d as (select doc_id, source, strftime(date_trunc('month', available_at), '%Y-%m-%d') as day, {_NT} t from documents), g as (select d.day, substring(t, 1, 40) k, count(distinct source) n_sources, count(distinct doc_id) n_docs, min(doc_id) first_doc from d where length(t) >= 40 group by 1, 2)
         select g.day, n_sources, n_docs, first_doc from g where n_sources > 1""",
 }

@@ -127,7 +127,7 @@ def raw_documents(spark: SparkSession, path: str, most_bytes: int = 50_000_000)
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """The ``n`` rows with the smallest seeded hash of their key: the same ones every time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string"))), key).limit(n)
 
 
 def modulus_sample(df: DataFrame, key: str, n: int) -> DataFrame:

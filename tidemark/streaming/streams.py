@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,3 +59,81 @@ def k_slack_stream(stream: DataFrame, key: str, row_id: str, at: str, arrival: s
         yield frame
 
     return narrow.groupBy("key").applyInPandasWithState(run, "key string, id string, behind long, outcome string", "high long", "append", GroupStateTimeout.NoTimeout)
+
+
+def k_slack_buffer(stream: DataFrame, keys: Sequence[str], row_id: str, at: str, arrival: str, bound_micros: int, idle: str = "30 days") -> DataFrame:
+    """Rows in the order of event time, held back until nothing that still counts can come before them.
+
+    The state of a key is its latest event time and a buffer.  Rows of a batch are
+    taken by ``arrival``, those of equal arrival together.  Emitted are
+    ``*keys, kind, id, t, arrival, released_at, n`` with the kinds ``released`` (in
+    order, with the arrival that released them), ``dropped`` (more than
+    ``bound_micros`` behind), ``untimed`` (no event time) and, after every batch of a
+    key, ``provisional``: ``n`` rows released and held so far.  A key that falls
+    silent keeps its buffer until the stream's latest time is ``idle`` and the bound
+    ahead; then a timer ends it and the rows are ``flushed``.  Rows that far behind
+    all keys are beyond the stream's reach.  One key is one task a batch, so a hot
+    key wants a finer one (as source, symbol and day are).
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    ts = F.col(at).cast("timestamp")
+    narrow = stream.select(*[F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)], F.col(row_id).cast("string").alias("id"), ts.alias("ts"), F.unix_micros(ts).alias("t"), F.col(arrival).cast("long").alias("a"))
+    kinds = [*[(n, "string") for n in names], ("kind", "string"), ("id", "string"), ("t", "long"), ("arrival", "long"), ("released_at", "long"), ("n", "long")]
+
+    def run(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        high, n_out, held = state.get if state.exists else (None, 0, "[]")
+        buffer = pd.DataFrame(json.loads(held), columns=["t", "a", "id"]).astype({"t": "int64", "a": "int64"})
+        parts = []
+        if state.hasTimedOut:
+            gone = buffer["t"] <= state.getCurrentWatermarkMs() * 1000 - bound_micros
+            left = buffer[gone].assign(kind="flushed", released_at=None)
+        else:
+            rows = pd.concat(list(pdfs)).sort_values(["a", "id"], kind="stable")
+            untimed = rows[rows["t"].isna()]
+            parts.append(untimed.assign(kind="untimed", released_at=None))
+            rows = rows[rows["t"].notna()].astype({"t": "int64"})
+            tops = rows.groupby("a")["t"].max().cummax()
+            if high is not None:
+                tops = tops.clip(lower=high)
+            before = tops.shift(1) if high is None else tops.shift(1, fill_value=high)
+            late = rows["a"].map(before) - rows["t"] > bound_micros
+            parts.append(rows[late].assign(kind="dropped", released_at=None))
+            buffer = pd.concat([buffer, rows.loc[~late, ["t", "a", "id"]]])
+            high = int(tops.iloc[-1]) if len(tops) else high
+            gone = buffer["t"] + bound_micros <= high if high is not None else buffer["t"] < 0
+            left = buffer[gone].assign(kind="released")
+            left["released_at"] = tops.index.to_numpy()[np.searchsorted(tops.to_numpy(), (left["t"] + bound_micros).to_numpy())] if len(left) else None
+        parts.append(left.sort_values(["t", "a", "id"]))
+        buffer, n_out = buffer[~gone], n_out + len(left)
+        parts.append(pd.DataFrame([{"kind": "provisional", "n": n_out + len(buffer)}]))
+        if len(buffer) or high is not None and not state.hasTimedOut:
+            state.update((high, n_out, json.dumps(buffer.to_numpy().tolist())))
+            if len(buffer):
+                state.setTimeoutTimestamp(max(int(buffer["t"].min() + bound_micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        out = pd.concat([p for p in parts if len(p)]).rename(columns={"a": "arrival"})
+        for n, v in zip(names, group, strict=True):
+            out[n] = v
+        for n, k in kinds:
+            if n not in out:
+                out[n] = None
+            if k == "long":
+                out[n] = out[n].astype("Int64")
+        yield out[[n for n, _ in kinds]]
+
+    grouped = narrow.withWatermark("ts", idle).groupBy(*names)
+    out = grouped.applyInPandasWithState(run, ", ".join(f"{n} {k}" for n, k in kinds), "high long, n_out long, held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "kind", F.col("id").alias(row_id), "t", "arrival", "released_at", "n")
+
+
+def joined_within(later: DataFrame, earlier: DataFrame, key: str, at: str, within: str, late: str) -> DataFrame:
+    """Rows of one stream with those of another of their key that came up to ``within`` before, both up to ``late`` out of order.
+
+    The other stream's columns bear ``earlier_`` before their names.  Watermarks on
+    both sides bound the state.
+    """
+    a = later.withWatermark(at, late)
+    b = earlier.select(*[F.col(c).alias(f"earlier_{c}") for c in earlier.columns]).withWatermark(f"earlier_{at}", late)
+    near = (F.col(f"earlier_{at}") <= F.col(at)) & (F.col(f"earlier_{at}") >= F.col(at) - F.expr(f"interval {within}"))
+    return a.join(b, (F.col(key) == F.col(f"earlier_{key}")) & near)
