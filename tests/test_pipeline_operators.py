@@ -3,14 +3,16 @@
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.bitemporal import as_known, version_rectangles
-from tidemark.operators.kslack import HOUR, k_slack, released_counts
-from tidemark.operators.orphans import encode_keys, key_bitmaps, orphan_references
+from tidemark.operators.kslack import HOUR, k_slack, released, released_counts, timeline
+from tidemark.operators.orphans import encode_keys, key_bitmaps, orphan_references, packed, packed_and_not, unpacked
 from tidemark.operators.rolling_totals import latest_daily_value, rolling_totals
 from tidemark.plans import pipeline
+from tidemark.streaming.streams import k_slack_buffer
 
 D0 = date(2024, 1, 1)
 T0 = datetime(2024, 1, 1)
@@ -152,7 +154,99 @@ def test_k_slack_brute_force(spark, block):
 def test_released_counts(spark):
     rows = [("k", "a", T0, 1), ("k", "b", T0 + timedelta(hours=60), 2), ("k", "c", T0 + timedelta(hours=30), 3), ("k", "d", T0 + timedelta(hours=1), 4)]
     df = spark.createDataFrame(rows, "k string, id string, t timestamp_ntz, seq int")
-    r = released_counts(k_slack(df, ["k"], "id", "t", "seq"), ["k"], "id").collect()[0]
+    slack = k_slack(df, ["k"], "id", "t", "seq")
+    r = released_counts(slack, released(slack, ["k"], "id"), ["k"], "id").collect()[0]
     assert (r.n_arrived, r.n_in_order, r.n_corrected, r.n_dropped, r.n_final, r.n_provisional) == (4, 2, 1, 1, 3, 2)
-    assert (r.first_id, r.last_id) == ("a", "b")
-    assert released_counts(k_slack(df.limit(0), ["k"], "id", "t", "seq"), ["k"], "id").count() == 0
+    assert (r.first_id, r.last_id, r.longest_step) == ("a", "b", 30 * HOUR)
+    none = slack.limit(0)
+    assert released_counts(none, released(none, ["k"], "id"), ["k"], "id").count() == 0 and timeline(released(none, ["k"], "id"), ["k"]).count() == 0
+
+
+def _replay(rows, bound):
+    """A buffer by hand: id -> (arrival that releases it, event time before it), and counts after each arrival of a key."""
+    out, line = {}, {}
+    for key in {r[0] for r in rows}:
+        high, held, gone, mine = None, [], [], [r for r in rows if r[0] == key]
+        kept = 0
+        for a in sorted({r[3] for r in mine}):
+            now = [r for r in mine if r[3] == a and r[2] is not None]
+            fresh = [(t, a, i) for _, i, t, _ in now if high is None or high - t <= bound]
+            held, kept = held + fresh, kept + len(fresh)
+            high = max([t for _, _, t, _ in now] + ([high] if high is not None else []), default=None)
+            free = sorted(x for x in held if high is not None and high - x[0] >= bound)
+            for x in free:
+                out[x[2]] = (a, x[0] - gone[-1][0] if gone else None)
+                gone.append(x)
+            held = [x for x in held if x not in free]
+            if fresh or free:
+                line[key, a] = (kept, len(gone))
+        for x in sorted(held):
+            out[x[2]] = (None, x[0] - gone[-1][0] if gone else None)
+            gone.append(x)
+    return out, line
+
+
+@pytest.mark.parametrize("width", [HOUR, 32 * 24 * HOUR])
+def test_released_brute_force(spark, width):
+    rng = random.Random(6)
+    hours = [(rng.choice(["s", "t", None]), f"o{i:03d}", rng.randrange(0, 300) if rng.random() > 0.1 else None, rng.randrange(0, 80)) for i in range(240)]
+    rows = [(k, i, None if h is None else T0 + timedelta(hours=h), a) for k, i, h, a in hours]
+    slack = k_slack(spark.createDataFrame(rows + rows[:5], "k string, id string, t timestamp_ntz, seq int"), ["k"], "id", "t", "seq")
+    out = released(slack, ["k"], "id", width=width)
+    want, line = _replay(hours, 48)
+    assert {r.id: (r.released_at, None if r.since is None else r.since // HOUR) for r in out.collect()} == want
+    got = {(r.k, r.arrival): (r.n_provisional, r.n_final) for r in timeline(out, ["k"], block=7 if width == HOUR else 1 << 16).collect()}
+    assert got == line
+
+
+def test_k_slack_buffer_stream(spark, tmp_path):
+    """The stream releases what the batch releases, over several batches with state, and flushes silent keys."""
+    rng = random.Random(7)
+    hours = sorted(((rng.choice(["s", "t"]), f"o{i:03d}", rng.randrange(0, 300) if rng.random() > 0.1 else None, i) for i in range(120)), key=lambda r: r[3])
+    hours += [("late", "z", 5000, 1000)]
+    rows = [(k, i, None if h is None else T0 + timedelta(hours=h), a) for k, i, h, a in hours]
+    schema = "k string, id string, t timestamp_ntz, a int"
+    for n, part in enumerate((rows[:50], rows[50:90], rows[90:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = k_slack_buffer(stream, ["k"], "id", "t", "a", 48 * HOUR).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    want, _ = _replay(hours, 48)
+    assert {r.id: r.released_at for r in got if r.kind == "released"} == {i: a for i, (a, _) in want.items() if a is not None}
+    assert {r.id for r in got if r.kind == "flushed"} == {i for i, (a, _) in want.items() if a is None and i != "z"}
+    assert {r.id for r in got if r.kind == "dropped"} == {i for _, i, h, _ in hours if h is not None} - set(want)
+    assert {r.id for r in got if r.kind == "untimed"} == {i for _, i, h, _ in hours if h is None}
+    assert max(r.n for r in got if r.kind == "provisional" and r.k == "s") == sum(k == "s" and i in want for k, i, _, _ in hours)
+
+
+def test_valid_and_known_brute_force(spark):
+    rng = random.Random(8)
+    facts = [(rng.choice([1, 2, None]), D0 + timedelta(days=rng.randrange(0, 60)) if rng.random() > 0.05 else None, rng.randrange(1, 4), T0 + timedelta(days=rng.randrange(0, 90), hours=rng.randrange(24)) if rng.random() > 0.05 else None, f"f{i:03d}") for i in range(150)]
+    events = [(f"e{i}", rng.choice([1, 2, 3, None]), T0 + timedelta(days=rng.randrange(-5, 100)), D0 + timedelta(days=rng.randrange(-10, 80)) if rng.random() > 0.1 else None) for i in range(120)]
+    f = spark.createDataFrame(facts + facts[:7], "k long, d date, s int, r timestamp_ntz, id string").withColumn("e", F.lit(1)).withColumn("u", F.lit(2))
+    e = spark.createDataFrame(events + events[:5], "e string, k long, t timestamp_ntz, v date")
+    got = {r.e: r.known_id for r in as_known(e, f, "e", "k", "t", "k", "r", ("d", "s"), "id", valid_at="v").collect()}
+    for name, k, t, v in events:
+        known = [(d, s, i) for kk, d, s, r, i in facts if k is not None and v is not None and kk == k and d is not None and r is not None and r <= t and d <= v]
+        assert got[name] == (max(known)[2] if known else None)
+    assert as_known(e, f.limit(0), "e", "k", "t", "k", "r", ("d", "s"), "id", valid_at="v").where("known_id is null").count() == len(events)
+
+
+def test_containers():
+    rng = np.random.default_rng(2)
+    sets = [np.array([], int), np.array([0]), np.array([32767]), np.arange(32768), np.arange(5, 900), np.flatnonzero(rng.random(32768) < 0.5), np.sort(rng.choice(32768, 40, replace=False)), np.concatenate([np.arange(10), np.arange(20, 4000)])]
+    kinds = set()
+    for a in sets:
+        kinds.add(packed(a)[0])
+        assert unpacked(packed(a)).tolist() == a.tolist()
+        assert packed_and_not(packed(a), None).tolist() == a.tolist()
+        for b in sets:
+            assert packed_and_not(packed(a), packed(b)).tolist() == sorted(set(a.tolist()) - set(b.tolist()))
+    assert kinds == {0, 1, 2} and len(packed(np.arange(32768))) == 5
+
+
+def test_orphans_with_text_keys(spark):
+    r = spark.createDataFrame([("1", "äb", T0), ("2", "c", T0), ("3", "äb", T0 + timedelta(days=400)), ("4", None, T0), ("5", "äb", None), ("6", "zz", None)], "id string, key string, at timestamp_ntz")
+    p = spark.createDataFrame([("äb", T0 - timedelta(days=90), T0 + timedelta(days=90), 1)], "key string, lo timestamp_ntz, hi timestamp_ntz, id int")
+    assert {x.ref_id for x in orphan_references(r, "id", "key", "at", p, "key", "lo", "hi").collect()} == {"2", "3", "6"}

@@ -87,9 +87,15 @@ def as_known(
     order: Sequence[str],
     payload: str,
     cell_days: int = 16,
+    valid_at: str | None = None,
 ) -> DataFrame:
     """``event_id, known_id``: the version of the event's key current at the event's time.
 
+    With ``valid_at``, the day for which the event asks, the version is the one
+    valid then as it was known at the event's time: of the versions recorded by
+    then whose valid day is not later, the one of the latest valid day, then best
+    in the rest of ``order``.  Without it events ask for the latest day known.
+
     What was recorded at exactly the event's time is known.  Events with a null
     key or time, or before the first recording, get a null ``known_id``.  Exact
     copies of an event give one row; other columns play no part.
@@ -97,6 +103,8 @@ def as_known(
     Each event point falls into one grid cell and there into one rectangle; both
     are sorted together, so the cost is linear however many meet in a cell.
     """
+    if valid_at is not None:
+        return _valid_and_known(events, facts, event_id, event_key, event_time, key, recorded_at, order, payload, cell_days, valid_at)
     width = cell_days * DAY
     points = (
         events.select(F.col(event_id).alias("e"), F.col(event_key).alias("k"), micros(event_time).alias("t"))
@@ -115,3 +123,36 @@ def as_known(
     found = both.withColumn("ver", F.last("ver", ignorenulls=True).over(upto)).where("is_event = 1")
     unplaced = points.where("k is null or t is null").select("e", F.lit(None).cast(kind).alias("ver"))
     return found.select("e", "ver").unionByName(unplaced).select(F.col("e").alias(event_id), F.col("ver.id").alias("known_id"))
+
+
+def _valid_and_known(
+    events: DataFrame, facts: DataFrame, event_id: str, event_key: str, event_time: str, key: str, recorded_at: str, order: Sequence[str], payload: str, cell_days: int, valid_at: str
+) -> DataFrame:
+    """Point location on both axes: valid time is cut into ranges that halve from level to level, recorded time into cells.
+
+    A version lies in one range of every level, and within a range the region in
+    which it is the best one recorded is a rectangle.  The days up to the one an
+    event asks for are at most one range a level, so an event is located in a few
+    rectangles, of which the one of the latest valid day counts.  There are as many
+    levels as the span of valid days has binary digits.
+    """
+    day = F.unix_date(F.col(order[0]).cast("date"))
+    least, most = facts.agg(F.min(day), F.max(day)).first()
+    none = events.select(F.col(event_id).alias("e")).distinct()
+    if least is None:
+        return none.select(F.col("e").alias(event_id), F.lit(None).cast(dict(facts.dtypes)[payload]).alias("known_id"))
+    levels = max(1, (most - least + 1).bit_length())
+    each = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    inside = facts.where(F.col(key).isNotNull() & day.isNotNull()).withColumn("_v", day - least).withColumn("_level", each)
+    inside = inside.withColumn("_k", F.struct(F.col(key).alias("key"), "_level", F.expr("shiftright(_v, _level)").alias("range")))
+    # the days 0..u are one range for every binary digit of u + 1
+    wanted = F.unix_date(F.col(valid_at).cast("date"))
+    upto = F.when(wanted.isNotNull(), F.least(wanted, F.lit(most)) - least + 1)
+    asked = events.select(F.col(event_id).alias("e"), F.col(event_key).alias("key"), F.col(event_time).alias("at"), upto.alias("u")).distinct()
+    asked = asked.where("key is not null and at is not null and u > 0").withColumn("_level", each).where("shiftright(u, _level) & 1 = 1")
+    kind = dict(inside.dtypes)["_k"]
+    asked = asked.select("e", "at", F.struct("key", "_level", F.expr("shiftright(u, _level) - 1").alias("range")).cast(kind).alias("_k"))
+    best = F.struct(*order, payload)
+    near = as_known(asked.withColumn("_p", F.struct("e", "_k")), inside.withColumn("_best", best), "_p", "_k", "at", "_k", recorded_at, order, "_best", cell_days)
+    found = near.where("known_id is not null").groupBy(F.col("_p.e").alias("e")).agg(F.max("known_id")[payload].alias("known_id"))
+    return none.join(found, "e", "left").select(F.col("e").alias(event_id), "known_id")

@@ -98,7 +98,9 @@ def released(slack: DataFrame, keys: Sequence[str], row_id: str, bound_micros: i
     )
     joined = both.alias("x").join(carried.alias("c"), F.col("x.key").eqNullSafe(F.col("c.key")) & (F.col("x.b") == F.col("c.b"))).select("x.*", "later", "before")
     inside = Window.partitionBy("key", "b").orderBy(F.col("v").desc(), "probe").rowsBetween(Window.unboundedPreceding, 0)
-    done = joined.withColumn("released_at", F.least(F.min("a").over(inside), F.col("later"))).where("probe = 1")
+    first = F.least(F.min("a").over(inside), F.col("later"))
+    # a row that comes exactly at the bound leaves as it comes
+    done = joined.withColumn("released_at", F.when(first.isNotNull(), F.greatest(first, F.col("own")))).where("probe = 1")
     order = Window.partitionBy("key", "b").orderBy("t", "own", "id")
     since = F.col("t") - F.coalesce(F.lag("t").over(order), F.col("before.t"))
     return done.select("key.*", F.col("id").alias(row_id), "t", F.col("own").alias("arrival"), "released_at", since.alias("since"))

@@ -143,9 +143,9 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int, seed:
     Clusters are summed first; every repetition is a weighted sum over them, so
     nothing is numbered, sorted or brought to one place.
     """
-    per = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    drawn = per.select("s", "c", cluster, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    drawn = drawn.withColumn("w", poisson_weight(F.lit(seed), F.col("rep"), F.col(cluster)))
+    per = df.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("k")).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    drawn = per.select("s", "c", "k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = drawn.withColumn("w", poisson_weight(F.lit(seed), F.col("rep"), F.col("k")))
     return drawn.groupBy("rep").agg(F.try_divide(F.sum(F.col("s") * F.col("w")), F.sum(F.col("c") * F.col("w"))).alias("mean"))
 
 

@@ -59,6 +59,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def p2_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """What each claim knew of its registrant's prices of thirty days before, on both axes: valid then, recorded by now."""
+    claims = table(spark, sf, "evidence_claims").withColumn("wanted", F.date_sub(F.to_date("evidence_available_at"), 30))
+    found = as_known(
+        claims, table(spark, sf, "temporal_price_points"), "evidence_claim_id", "registrant_asset_id", "evidence_available_at",
+        "asset_id", "causal_available_at", ("trading_day", "observation_sequence"), "price_observation_id", valid_at="wanted",
+    )
+    return found.where("known_id is not null")
+
+
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     parents = table(spark, sf, "asset_entities")
     out = None
@@ -122,7 +132,7 @@ def p5_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_totals": p1_totals, "p2_found": p2_found, "p3_found": p3_found,
+    "p1_found": p1_found, "p1_totals": p1_totals, "p2_found": p2_found, "p2_valid": p2_valid, "p3_found": p3_found,
     "p3_report": p3_report, "p5_found": p5_found, "p5_counts": p5_counts, "p5_released": p5_released, "p5_timeline": p5_timeline, "p5_stream": p5_stream,
 }
 
@@ -144,8 +154,8 @@ slack as (select *, case when t is null then 'untimed' when h is null or t >= h
 _RELEASED = f"""{_SLACK.strip()},
 step as (select source_id, symbol, trading_day, s, greatest(max(h), max(t)) v from slack group by all),
 kept as (select * from slack where outcome in ('in_order', 'corrected')),
-rel as (select k.*, (select min(x.s) from step x where x.source_id is not distinct from k.source_id and x.symbol is not distinct from k.symbol and x.trading_day is not distinct from k.trading_day and x.v >= k.t + 172800000000)::bigint released_at,
-    t - lag(t) over (partition by source_id, symbol, trading_day order by t, s, observation_id) since from kept k)"""
+rel0 as (select k.*, (select min(x.s) from step x where x.source_id is not distinct from k.source_id and x.symbol is not distinct from k.symbol and x.trading_day is not distinct from k.trading_day and x.v >= k.t + 172800000000)::bigint r0,
+    t - lag(t) over (partition by source_id, symbol, trading_day order by t, s, observation_id) since from kept k), rel as (select *, case when r0 is not null then greatest(r0, s) end released_at from rel0)"""
 
 _LOST = """
 lost as (
@@ -186,6 +196,8 @@ ORACLE = {
     "p2_found": _known_sql("temporal_price_points", "registrant_asset_id", "asset_id", "causal_available_at", "price_observation_id")
     + " union all "
     + _known_sql("global_reference_observations", "registrant_ticker", "symbol", "available_at", "observation_id"),
+    "p2_valid": """select evidence_claim_id, arg_max(price_observation_id, (trading_day, observation_sequence, price_observation_id)) known_id from (select distinct evidence_claim_id, registrant_asset_id k, evidence_available_at t from evidence_claims) c
+        join temporal_price_points p on p.asset_id = c.k and p.causal_available_at <= c.t and p.trading_day <= c.t::date - 30 group by 1""",
     "p3_found": f"with {_LOST} select ref_table, ref_id from lost",
     "p3_report": f"with {_LOST} select ref_table, strftime(ref_time, '%Y-%m') period, count(*) n_orphans, count(distinct k) n_keys from lost group by all",
     "p5_found": f"with {_SLACK} select observation_id, outcome from slack where outcome in ('corrected', 'dropped')",

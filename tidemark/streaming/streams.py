@@ -102,7 +102,9 @@ def k_slack_buffer(stream: DataFrame, keys: Sequence[str], row_id: str, at: str,
             high = int(tops.iloc[-1]) if len(tops) else high
             gone = buffer["t"] + bound_micros <= high if high is not None else buffer["t"] < 0
             left = buffer[gone].assign(kind="released")
-            left["released_at"] = tops.index.to_numpy()[np.searchsorted(tops.to_numpy(), (left["t"] + bound_micros).to_numpy())] if len(left) else None
+            if len(left):
+                first = tops.index.to_numpy()[np.searchsorted(tops.to_numpy(), (left["t"] + bound_micros).to_numpy())]
+                left["released_at"] = np.maximum(first, left["a"].to_numpy())
         parts.append(left.sort_values(["t", "a", "id"]))
         buffer, n_out = buffer[~gone], n_out + len(left)
         parts.append(pd.DataFrame([{"kind": "provisional", "n": n_out + len(buffer)}]))
@@ -112,15 +114,9 @@ def k_slack_buffer(stream: DataFrame, keys: Sequence[str], row_id: str, at: str,
                 state.setTimeoutTimestamp(max(int(buffer["t"].min() + bound_micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         else:
             state.remove()
-        out = pd.concat([p for p in parts if len(p)]).rename(columns={"a": "arrival"})
-        for n, v in zip(names, group, strict=True):
-            out[n] = v
-        for n, k in kinds:
-            if n not in out:
-                out[n] = None
-            if k == "long":
-                out[n] = out[n].astype("Int64")
-        yield out[[n for n, _ in kinds]]
+        own = dict(zip(names, group, strict=True))
+        shape = {n: "Int64" if k == "long" else "string" for n, k in kinds}
+        yield pd.concat([p.rename(columns={"a": "arrival"}).assign(**own).reindex(columns=list(shape)).astype(shape) for p in parts])
 
     grouped = narrow.withWatermark("ts", idle).groupBy(*names)
     out = grouped.applyInPandasWithState(run, ", ".join(f"{n} {k}" for n, k in kinds), "high long, n_out long, held string", "append", GroupStateTimeout.EventTimeTimeout)
