@@ -272,8 +272,17 @@ def link_names(mentions: DataFrame, grouped: DataFrame | None = None) -> DataFra
     return merged.unionByName(groups).distinct()
 
 
-def linked_pairs(linked: DataFrame) -> DataFrame:
-    """``left_id, right_id`` (smaller first): pairs of mentions, and of groups and mentions, of one entity."""
-    a = linked.alias("a").join(linked.where("not is_group").alias("b"), F.col("a.entity") == F.col("b.entity"))
+def linked_pairs(linked: DataFrame, block: int = 2048) -> DataFrame:
+    """``left_id, right_id`` (smaller first): pairs of mentions, and of groups and mentions, of one entity.
+
+    The mentions of an entity of more than ``block`` rows are cut into blocks by
+    hash, and all of its rows meet each block in a task of its own.
+    """
+    large = linked.groupBy("entity").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    large = large.select("entity", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    sized = linked.join(large, "entity", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    a = sized.select("id", "entity", "is_group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).alias("a")
+    b = sized.where("not is_group").select("id", "entity", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part")).alias("b")
     kept = F.col("a.is_group") | (F.col("a.id") < F.col("b.id"))
-    return a.where(kept).select(F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id"))
+    met = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.part") == F.col("b.part")) & kept)
+    return met.select(F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id"))
