@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,7 +80,10 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, group_items:
 
     small = pieces.where(F.col("piece_size") < capacity).withColumn("grp", F.pmod(salt, groups))
     packed = small.groupBy("grp").applyInPandas(run, f"item {kind}, piece int, piece_start long, piece_size long, container long")
-    alone = pieces.where(F.col("piece_size") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("container"))
+    # full pieces are numbered by group and place in it, so their numbers follow from item and piece alone
+    alone = pieces.where(F.col("piece_size") >= capacity).withColumn("grp", F.pmod(salt, groups))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("item", "piece"))
+    alone = alone.withColumn("container", -1 - (F.col("grp") * F.lit(1 << 32) + place)).drop("grp")
     return packed.unionByName(alone).withColumnRenamed("item", item_id)
 
 
