@@ -265,31 +265,36 @@ def test_link_names(spark):
     assert names.link_names(m.limit(0), g.limit(0)).count() == 0
 
 
-def _survivors(spark, rows, weight=None):
-    df = spark.createDataFrame(rows, "g string, id string, v string, n int, t long")
-    out = survivor.consensus_values(df, "g", "id", "v", (F.col("n"), F.col("t")), weight=None if weight is None else F.col(weight))
-    return {r.g: (r.id, r.v) for r in out.collect()}
-
-
 def _dirty(seed, big):
     rng = random.Random(seed)
     rows = []
     for i in range(120 + big):
         g = "big" if i >= 120 else f"g{rng.randrange(20)}"
-        rows.append((g, f"b{i:04d}", rng.choice([None, "", " ", "N/A", "--", "Alpha Beta Inc.", "Alpha Inc.", "Alpha  Beta", "Gamma LLC", "​"]), rng.choice([None, 1, 2, 2, 3]), rng.choice([None, 5, 6])))
+        rows.append((g, f"b{i:04d}", rng.choice([None, "", " ", "N/A", "--", "Alpha Beta Inc.", "Alpha Inc.", "Alpha  Beta", "Gamma LLC", "\u200b"]), rng.choice([None, 1, 2, 2, 3]), rng.choice([None, 5, 6])))
     return rows + rows[:7]
 
 
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "g string, id string, v string, n int, t long").withColumn("b", F.lit(1)).withColumn("w", F.lit("x"))
+
+
 @pytest.mark.parametrize("big", [0, 150])
-def test_ranked_survivor_is_the_best_ranked_usable(spark, big):
+def test_best_values_by_rank(spark, big):
     rows = _dirty(big, big)
-    got, want = _survivors(spark, rows), {}
+    out = survivor.best_values(_frame(spark, rows), "g", "id", "v", (F.col("n"), F.col("t")))
+    got, want = {r.g: (r.id, r.v) for r in out.collect()}, {}
     for g, i, v, n, t in set(rows):
-        if v and v.strip("​ ") and v not in ("N/A", "--"):
-            rank = (n is not None, n or 0, t is not None, t or 0, survivor._Last(i))
-            if g not in want or rank > want[g][0]:
+        if v and v.strip("\u200b ") and v not in ("N/A", "--"):
+            rank = (n is None, -(n or 0), t is None, -(t or 0), i)
+            if g not in want or rank < want[g][0]:
                 want[g] = (rank, i, v)
     assert got == {g: w[1:] for g, w in want.items()}
+    assert survivor.best_values(_frame(spark, rows).limit(0), "g", "id", "v", (F.col("n"),)).count() == 0
+
+
+def _survivors(spark, rows, block=survivor.BLOCK):
+    out = survivor.consensus_values(_frame(spark, rows), "g", "id", "v", (F.col("n"), F.col("t")), F.col("n"), block=block)
+    return {r.g: (r.id, r.v) for r in out.collect()}
 
 
 @pytest.mark.parametrize("copies", [1, 40])
@@ -297,5 +302,68 @@ def test_summed_votes_win(spark, copies):
     rows = [("g", "a", "Alfa Beta Corp", 3, 1)]
     for c in range(copies):
         rows += [("g", f"b{c}", "Alpha Beta Corp", 2, 1), ("g", f"c{c}", "Alpha Beta Corp", 2, 1)]
-    assert _survivors(spark, rows, "n")["g"][1] == "Alpha Beta Corp"
-    assert _survivors(spark, rows[:1] + [(None, "z", "v", 1, 1)], "n") == {"g": ("a", "Alfa Beta Corp")}
+    assert _survivors(spark, rows)["g"][1] == "Alpha Beta Corp"
+    assert _survivors(spark, rows[:1] + [(None, "z", "v", 1, 1)]) == {"g": ("a", "Alfa Beta Corp")}
+    assert _survivors(spark, []) == {}
+
+
+def _variant(rng):
+    words = ["Alpha", "Beta", "Gamma", "Holdings", "Inc."]
+    for _ in range(rng.randrange(3)):
+        at = rng.randrange(len(words))
+        words[at : at + rng.randrange(2)] = [rng.choice(["Alfa", "Betta", "Co", "of", "Gama", "Hldgs", str(rng.randrange(40))])]
+    return " ".join(words)
+
+
+def test_consensus_does_not_depend_on_blocks(spark):
+    """49 and 400 different values, in one step and in blocks of any size, and by hand."""
+    rng = random.Random(12)
+    rows = [(g, f"{g}{i:04d}", _variant(rng), rng.choice([None, 1, 2, 3]), i % 5) for g, n in (("a", 49), ("b", 400), ("c", 3)) for i in range(n)]
+    want = _survivors(spark, rows, 10**6)
+    assert want == _survivors(spark, rows) == _survivors(spark, rows, 12) == _survivors(spark, rows, 1)
+    hashes = {r.v: r.h for r in _frame(spark, rows).select("v", F.xxhash64("v").alias("h")).distinct().collect()}
+    for g, (i, v) in want.items():
+        votes = {}
+        for gg, _, vv, n, _ in rows:
+            if gg == g:
+                votes[vv] = votes.get(vv, 0) + (n or 0)
+        whole = survivor.merged([(hashes[x] & (1 << 64) - 1, x, survivor.Profile.of(survivor.tokens_of(x), float(w))) for x, w in votes.items()], 63)
+        near = min(survivor.distance(survivor.tokens_of(x), whole.consensus()) for x in votes)
+        assert survivor.distance(survivor.tokens_of(v), whole.consensus()) == near and i.startswith(g)
+
+
+def test_pairs_of_a_large_entity_in_blocks(spark):
+    linked = spark.createDataFrame([(f"m{i:03d}", 1, False) for i in range(50)] + [("g1", 1, True), ("x", 2, False), ("y", 2, False)], "id string, entity long, is_group boolean")
+    want = {tuple(sorted((f"m{i:03d}", f"m{j:03d}"))) for i in range(50) for j in range(i)} | {("g1", f"m{i:03d}") for i in range(50)} | {("x", "y")}
+    for block in (3, 2048):
+        got = [(r.left_id, r.right_id) for r in names.linked_pairs(linked, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_large_reference_gives_the_same_rows(spark):
+    rng = random.Random(5)
+    parts = ["north", "south", "new", "grand duchy of", "republic of", ""]
+    places = sorted({"".join(rng.choice("abcdeiouklmnrst") for _ in range(rng.randrange(4, 12))) for _ in range(60)})
+    ref = [(f"C{i:02d}", f"{rng.choice(parts)} {p}".strip().title(), rng.choice([None, p[::-1].title()])) for i, p in enumerate(places)]
+
+    def typed():
+        code, name, local = rng.choice(ref)
+        v = list(rng.choice([code, name, name, local or name]))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(v))
+            v[at : at + rng.randrange(2)] = [rng.choice("aeious.")] if rng.random() < 0.7 else []
+        return rng.choice(["", "State of ", "hq, "]) + "".join(v) + rng.choice(["", ".", " (a)", ", Sime"])
+
+    values = [typed() for _ in range(300)] + ["", " ", "x" * 400, "N. " + places[0], places[1][:5] + "."]
+    v = spark.createDataFrame([(i, "f", x) for i, x in enumerate(values + values[:40])] + [(999, "f", None)], "r long, f string, v string")
+    r = spark.createDataFrame(ref + [(None, "Nowhere", None)], "c string, n string, l string")
+    one, two = (sorted(map(tuple, canonical.map_to_reference(v, r, "c", ("n", "l"), "r", "f", "v", most=most).collect()), key=repr) for most in (1000, 10))
+    assert one == two and len(one) == len(values) + 40 and sum(x[3] != canonical.UNMATCHED for x in one) > 150
+
+
+def test_full_pieces_have_numbers_of_their_own(spark):
+    items = spark.createDataFrame([(i, 1000 + 37 * i) for i in range(40)], "id long, n long")
+    runs = [{(r.id, r.piece): r.container for r in packing.pack(items.repartition(k, "n"), "id", "n", 100, group_items=16).collect()} for k in (1, 7)]
+    assert runs[0] == runs[1]
+    full = [c for c in runs[0].values() if c < 0]
+    assert len(full) == len(set(full))

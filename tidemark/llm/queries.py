@@ -10,7 +10,7 @@ from tidemark.llm.bpe import encode_corpus, token_counts
 from tidemark.llm.canonical import load_dictionary, map_values
 from tidemark.llm.names import link_names, linked_pairs
 from tidemark.llm.packing import fill_report, pack
-from tidemark.llm.survivor import STAND_INS, consensus_values
+from tidemark.llm.survivor import STAND_INS, best_values, consensus_values
 from tidemark.session import micros, stored, table
 
 CAPACITY = 2048  # tokens a container
@@ -23,12 +23,12 @@ def _open_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _surviving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The surviving name and jurisdiction of every group: ranked votes, as the groups' rules want."""
+    """The surviving name and jurisdiction of every group by rank, as the groups' rules want; votes could not change it."""
     buckets = table(spark, sf, "identity_conflict_buckets").join(_open_groups(spark, sf), "conflict_group_id", "left_semi")
     count, last = F.col("evidence_occurrence_count"), micros("last_evidence_available_at")
     key = ("conflict_group_id", "conflict_bucket_id")
-    names = consensus_values(buckets, *key, "display_legal_name", (count, last))
-    places = consensus_values(buckets, *key, "display_jurisdiction", (last, count))
+    names = best_values(buckets, *key, "display_legal_name", (count, last))
+    places = best_values(buckets, *key, "display_jurisdiction", (last, count))
     return names, places
 
 
@@ -54,6 +54,20 @@ def p4_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return consensus_values(buckets, "conflict_group_id", "conflict_bucket_id", "display_legal_name", (count, last), weight=count)
 
 
+def p4_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the consensus, and the best ranked name, say what the group is called in identity_conflict_groups, letters and digits alone compared."""
+    names, _ = _surviving(spark, sf)
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    called = table(spark, sf, "identity_conflict_groups").select("conflict_group_id", key("normalized_legal_name").alias("called")).distinct()
+    voted = p4_consensus(spark, sf).select("conflict_group_id", key("display_legal_name").alias("voted"), F.col("conflict_bucket_id").alias("voted_id"))
+    ranked = names.select("conflict_group_id", key("display_legal_name").alias("ranked"), F.col("conflict_bucket_id").alias("ranked_id"))
+    both = called.join(voted, "conflict_group_id").join(ranked, "conflict_group_id")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("voted_id") == F.col("ranked_id")).alias("n_same_bucket"),
+        F.count_if(F.col("voted") == F.col("called")).alias("n_voted_right"), F.count_if(F.col("ranked") == F.col("called")).alias("n_ranked_right"),
+    )
+
+
 def _linked(spark: SparkSession, sf: str) -> DataFrame:
     mentions = table(spark, sf, "relation_name_candidates").select(F.col("relation_candidate_id").alias("id"), F.col("target_name_raw").alias("raw"))
     evidence = table(spark, sf, "identity_conflict_evidence")
@@ -136,7 +150,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_consensus": p4_consensus, "p6_found": p6_found, "p6_classes": p6_classes,
+    "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_consensus": p4_consensus, "p4_agreement": p4_agreement, "p6_found": p6_found, "p6_classes": p6_classes,
     "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p8_totals": p8_totals,
     "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }

@@ -1,10 +1,8 @@
-"""The surviving value of each duplicate group, field by field, by token-level consensus.
+"""The surviving value of each duplicate group, field by field: by token-level consensus, or by a ranking where a rule wants one.
 
-The values of a group are aligned progressively into columns of tokens; each value
-votes with its weight in every column, for its token or for a gap; the existing
-value closest to the winning tokens survives.  Votes are either summed (trust adds
-up) or ranked: then the vote of the most trusted value of a column wins whatever
-the others say, and ties go by the rest of the ranking.
+The different values of a group are aligned progressively into columns of tokens;
+each votes with its weight in every column, for its token or for a gap; the
+existing value closest to the winning tokens survives.
 """
 
 from __future__ import annotations
@@ -23,7 +21,8 @@ from tidemark.session import stored
 STAND_INS = frozenset(
     "n/a|na|n.a.|n.a|none|null|nil|nan|unknown|not available|not stated|not known|not specified|not applicable|not provided|not given|not disclosed|no value|no data|no name|unspecified|undisclosed|undefined|missing|blank|(blank)|empty|(empty)|(none)|(null)|(unknown)|(n/a)|[blank]|<blank>|<null>|__missing__|tbd|tba|tbc|to be determined|to be confirmed|to be advised|pending|xxx|test|see note|see above|various|same as parent".split("|")
 )
-BLOCK = 48  # values aligned at a time; larger groups are aligned block by block and the blocks with each other
+BLOCK = 48  # values aligned in one task; how many has no influence on the result
+_STEP = 5  # bits of the tree, and so up to 32 branches, that are merged at a time
 
 
 def usable(value: Column | str) -> Column:
@@ -41,48 +40,80 @@ def tokens_of(value: str) -> list[str]:
 class Profile:
     """Aligned columns: for each, the weight of every token and of the gap ('')."""
 
-    def __init__(self, columns: list[dict[str, tuple]], weight: tuple, ranked: bool):
-        self.columns, self.weight, self.ranked = columns, weight, ranked
+    def __init__(self, columns: list[dict[str, float]], weight: float):
+        self.columns, self.weight = columns, weight
 
     @classmethod
-    def of(cls, tokens: Sequence[str], weight: tuple, ranked: bool) -> Profile:
-        return cls([{t: weight} for t in tokens], weight, ranked)
-
-    def join(self, a: tuple, b: tuple) -> tuple:
-        return max(a, b) if self.ranked else (a[0] + b[0],)
+    def of(cls, tokens: Sequence[str], weight: float) -> Profile:
+        return cls([{t: weight} for t in tokens], weight)
 
     def align(self, other: Profile) -> Profile:
         """Needleman-Wunsch on columns: columns that share a token match, others cost as much as a gap each."""
         a, b = self.columns, other.columns
         n, m = len(a), len(b)
+        said_a, said_b = [c.keys() - {""} for c in a], [c.keys() - {""} for c in b]
         cost = [[j * 2 for j in range(m + 1)]] + [[i * 2] + [0] * m for i in range(1, n + 1)]
         for i in range(1, n + 1):
             for j in range(1, m + 1):
-                same = 0 if (a[i - 1].keys() & b[j - 1].keys()) - {""} else 3
+                same = 3 if said_a[i - 1].isdisjoint(said_b[j - 1]) else 0
                 cost[i][j] = min(cost[i - 1][j - 1] + same, cost[i - 1][j] + 2, cost[i][j - 1] + 2)
         i, j, out = n, m, []
         while i or j:
-            if i and j and cost[i][j] == cost[i - 1][j - 1] + (0 if (a[i - 1].keys() & b[j - 1].keys()) - {""} else 3):
+            if i and j and cost[i][j] == cost[i - 1][j - 1] + (3 if said_a[i - 1].isdisjoint(said_b[j - 1]) else 0):
                 i, j = i - 1, j - 1
-                out.append(self._votes(a[i], b[j]))
+                out.append(_votes(a[i], b[j]))
             elif i and cost[i][j] == cost[i - 1][j] + 2:
                 i -= 1
-                out.append(self._votes(a[i], {"": other.weight}))
+                out.append(_votes(a[i], {"": other.weight}))
             else:
                 j -= 1
-                out.append(self._votes({"": self.weight}, b[j]))
-        return Profile(out[::-1], self.join(self.weight, other.weight), self.ranked)
-
-    def _votes(self, a: dict[str, tuple], b: dict[str, tuple]) -> dict[str, tuple]:
-        out = dict(a)
-        for t, w in b.items():
-            out[t] = self.join(out[t], w) if t in out else w
-        return out
+                out.append(_votes({"": self.weight}, b[j]))
+        return Profile(out[::-1], self.weight + other.weight)
 
     def consensus(self) -> list[str]:
         won = [max(c.items(), key=lambda tw: (tw[1], tw[0]))[0] for c in self.columns]
         return [t for t in won if t]
 
+    def pack(self) -> str:
+        return json.dumps([self.columns, self.weight])
+
+    @classmethod
+    def unpack(cls, packed: str) -> Profile:
+        return cls(*json.loads(packed))
+
+
+def _votes(a: dict[str, float], b: dict[str, float]) -> dict[str, float]:
+    out = dict(a)
+    for t, w in b.items():
+        out[t] = out.get(t, 0.0) + w
+    return out
+
+
+def tokens_of(value: str) -> list[str]:
+    return re.findall(r"\w+|[^\w\s]", value.casefold())
+
+
+def merged(parts: Sequence[tuple[int, str, Profile]], bit: int) -> Profile:
+    """Profiles aligned two by two along the binary tree of their keys, from ``bit`` down.
+
+    Which profiles meet, and in which order, follows from the keys alone, so a tree
+    may be cut anywhere and its branches be merged elsewhere.  Equal keys are
+    aligned in the order of their text.
+    """
+    if len(parts) == 1:
+        return parts[0][2]
+    if bit < 0:
+        parts = sorted(parts, key=lambda p: p[1])
+        whole = parts[0][2]
+        for p in parts[1:]:
+            whole = whole.align(p[2])
+        return whole
+    zero = [p for p in parts if not p[0] >> bit & 1]
+    one = [p for p in parts if p[0] >> bit & 1]
+    if zero and one:
+        return merged(zero, bit - 1).align(merged(one, bit - 1))
+    return merged(zero or one, bit - 1)
+
 
 def distance(a: Sequence[str], b: Sequence[str]) -> int:
     """Edit distance of token lists."""
@@ -94,118 +125,84 @@ def distance(a: Sequence[str], b: Sequence[str]) -> int:
     return row[-1]
 
 
-def consensus_values(
-    rows: DataFrame, group: str, row_id: str, value: str, ranking: Sequence[Column], weight: Column | None = None, keep: Column | None = None
-) -> DataFrame:
-    """``group, row_id, value``: for each group the existing value closest to the consensus of its usable values.
-
-    ``ranking`` orders rows by trust, best last in every term (nulls lowest); equal
-    rows go to the smallest ``row_id``.  Without ``weight`` the ranking also is the
-    vote.  With it, votes are sums of the weights (null and negative ones as zero)
-    and the ranking only breaks ties.  ``keep`` says which values are usable; by
-    default :func:`usable`.  Groups without one give no row; copies of a row count
-    once.
-
-    Groups of up to ``BLOCK`` rows are aligned in one step.  Larger ones are cut
-    into blocks by hash, which are aligned each by itself and then with each
-    other, and the rows are compared with the consensus where they lie; no task
-    ever holds a whole large group.
-    """
+def _ranked(rows: DataFrame, group: str, row_id: str, value: str, ranking: Sequence[Column], keep: Column | None) -> DataFrame:
+    """``g, id, v, worse`` of usable rows; ``worse`` is least for the best ranked, whatever is null comes last."""
     ok = usable(F.col(value)) if keep is None else keep
-    ranked = weight is None
-    rows = rows.select(
-        F.col(group).alias("g"), F.col(row_id).alias("id"), F.col(value).alias("v"),
-        F.struct(*[r.alias(f"r{i}") for i, r in enumerate(ranking)]).alias("rank"),
-        (F.lit(1.0) if ranked else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("w"),
-    ).where(ok & F.col("g").isNotNull()).distinct()
-    # ranks as sortable tuples: what is null is lowest
-    terms = [f"rank.r{i}" for i in range(len(ranking))]
-    vote = F.concat(*[F.array(F.col(t).isNotNull().cast("double"), F.coalesce(F.col(t).cast("double"), F.lit(0.0))) for t in terms])
-    rows = rows.select("g", "id", "v", "w", vote.alias("vote"))
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    small = rows.join(sizes, "g").withColumn("item", F.struct("id", "v", "w", "vote"))
-
-    def weights(item: dict) -> tuple:
-        return (*item["vote"], _Last(item["id"])) if ranked else (float(item["w"]),)
-
-    @F.pandas_udf("id string, v string")
-    def choose(groups: pd.Series) -> pd.DataFrame:
-        out = []
-        for items in groups:
-            items = sorted(items, key=lambda x: (tuple(x["vote"]), _Last(x["id"])), reverse=True)
-            tokens = [tokens_of(x["v"]) for x in items]
-            profile = Profile.of(tokens[0], weights(items[0]), ranked)
-            for x, t in zip(items[1:], tokens[1:], strict=True):
-                profile = profile.align(Profile.of(t, weights(x), ranked))
-            target = profile.consensus()
-            best = min(range(len(items)), key=lambda i: (distance(tokens[i], target), i))
-            out.append((items[best]["id"], items[best]["v"]))
-        return pd.DataFrame(out, columns=["id", "v"])
-
-    one = (
-        small.where(F.col("size") <= BLOCK).groupBy("g").agg(F.collect_list("item").alias("items"))
-        .select("g", choose("items").alias("c")).select("g", "c.id", "c.v")
-    )
-    large = small.where(F.col("size") > BLOCK).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (BLOCK // 2))))
-    return one.unionByName(_large(large, ranked)).select(F.col("g").alias(group), F.col("id").alias(row_id), F.col("v").alias(value))
-
-
-class _Last(str):
-    """A string that sorts the other way round: of equal trust, the smallest id wins."""
-
-    __slots__ = ()
-
-    def __lt__(self, other: str) -> bool:
-        return str.__gt__(self, other)
-
-    def __gt__(self, other: str) -> bool:
-        return str.__lt__(self, other)
-
+    worse = F.array(*[x for r in ranking for x in (r.isNull().cast("double"), -F.coalesce(r.cast("double"), F.lit(0.0)))])
+    return rows.where(ok & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(row_id).alias("id"), F.col(value).alias("v"), worse.alias("worse"))
 
-def _pack(p: Profile) -> str:
-    return json.dumps([[list(c.items()) for c in p.columns], p.weight])
 
+def best_values(rows: DataFrame, group: str, row_id: str, value: str, ranking: Sequence[Column], keep: Column | None = None) -> DataFrame:
+    """``group, row_id, value``: for each group the usable value that ``ranking`` puts first.
 
-def _unpack(packed: str, ranked: bool) -> Profile:
-    columns, weight = json.loads(packed)
-    full = (lambda w: (*w[:-1], _Last(w[-1]))) if ranked else tuple
-    return Profile([{t: full(w) for t, w in c} for c in columns], full(weight), ranked)
+    Each term of the ranking counts from the greatest down, nulls last; equal rows
+    go to the smallest ``row_id``.  ``keep`` says which values are usable; by default
+    :func:`usable`.  Groups without one, and null groups, give no row.  Rows are
+    compared before anything is shuffled, so a group of any size is no burden.
+    """
+    best = _ranked(rows, group, row_id, value, ranking, keep).groupBy("g").agg(F.min(F.struct("worse", "id", "v")).alias("b"))
+    return best.select(F.col("g").alias(group), F.col("b.id").alias(row_id), F.col("b.v").alias(value))
 
 
-def _large(rows: DataFrame, ranked: bool) -> DataFrame:
-    """Consensus of groups too large for a task: profiles of blocks, merged by twos dozens at a time."""
+def consensus_values(
+    rows: DataFrame, group: str, row_id: str, value: str, ranking: Sequence[Column], weight: Column, keep: Column | None = None, block: int = BLOCK
+) -> DataFrame:
+    """``group, row_id, value``: for each group the existing value closest to the consensus of its usable values.
 
-    def together(parts: list[Profile]) -> str:
-        parts = sorted(parts, key=lambda p: p.weight, reverse=True)
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.align(p)
-        return _pack(whole)
+    Votes are sums of ``weight`` (null and negative ones as zero) over the rows that
+    bear a value; copies of a row count once.  Of equally close values the one with
+    the best row by ``ranking`` is taken, as in :func:`best_values`.
 
-    @F.pandas_udf("string")
-    def first(groups: pd.Series) -> pd.Series:
-        weigh = (lambda x: (*map(float, x["vote"]), _Last(x["id"]))) if ranked else (lambda x: (float(x["w"]),))
-        return pd.Series([together([Profile.of(tokens_of(x["v"]), weigh(x), ranked) for x in sorted(items, key=lambda x: x["id"])]) for items in groups])
+    Equal values are summed before anything is aligned.  Values are aligned two by
+    two along the binary tree of their hashes.  A group of more than ``block``
+    different values is cut into branches of that tree, which are merged level by
+    level: the same alignments in the same order, so the result is the same for
+    every ``block``, and no task holds all values of a large group.  A profile
+    holds each token once a column.
+    """
+    w = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
+    plain = _ranked(rows.withColumn("_w", w), group, row_id, value, ranking, keep)
+    weights = rows.where((usable(F.col(value)) if keep is None else keep) & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(row_id).alias("id"), F.col(value).alias("v"), w.alias("w")).distinct()
+    best = plain.groupBy("g", "v").agg(F.min(F.struct("worse", "id")).alias("b"))
+    said = weights.groupBy("g", "v").agg(F.sum("w").alias("w")).join(best, ["g", "v"]).withColumn("h", F.xxhash64("v"))
+    said = stored(said, "values")
+    sizes = said.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # as many leading bits of the hash as leave half a block to a branch
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(max(1, block / 2))))).cast("int")
+    placed = said.join(sizes.select("g", F.when(F.col("n") > block, bits).otherwise(0).alias("bits")), "g")
+    placed = placed.withColumn("branch", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(h, 64 - bits)")).otherwise(F.lit(0).cast("long")))
 
-    @F.pandas_udf("string")
-    def merge(groups: pd.Series) -> pd.Series:
-        return pd.Series([together([_unpack(x, ranked) for x in sorted(items)]) for items in groups])
+    @F.pandas_udf("array<string>")
+    def aligned(groups: pd.Series, bits: pd.Series) -> pd.Series:
+        out = []
+        for items, b in zip(groups, bits, strict=True):
+            parts = [(x["h"] & (1 << 64) - 1, x["v"], Profile.of(tokens_of(x["v"]), float(x["w"]))) for x in items]
+            whole = merged(parts, 63 - b)
+            out.append(whole.consensus() if b == 0 else [whole.pack()])
+        return pd.Series(out)
 
     @F.pandas_udf("array<string>")
-    def won(packed: pd.Series) -> pd.Series:
-        return pd.Series([_unpack(x, ranked).consensus() for x in packed])
+    def joined(groups: pd.Series, bits: pd.Series) -> pd.Series:
+        out = []
+        for items, b in zip(groups, bits, strict=True):
+            whole = merged([(x["branch"], "", Profile.unpack(x["p"])) for x in items], min(_STEP, b) - 1)
+            out.append(whole.consensus() if b <= _STEP else [whole.pack()])
+        return pd.Series(out)
+
+    level = placed.groupBy("g", "bits", "branch").agg(F.collect_list(F.struct("h", "v", "w")).alias("items"))
+    level = stored(level.select("g", "bits", "branch", aligned("items", "bits").alias("p")), "profiles")
+    target = level.where("bits = 0").select("g", F.col("p").alias("target"))
+    while not (open_ := level.where("bits > 0")).isEmpty():
+        up = open_.withColumn("up", F.expr(f"shiftright(branch, least(bits, {_STEP}))"))
+        held = F.struct(F.expr(f"branch & (shiftleft(1L, least(bits, {_STEP})) - 1)").alias("branch"), F.get("p", F.lit(0)).alias("p"))
+        up = up.groupBy("g", "bits", "up").agg(F.collect_list(held).alias("items"))
+        level = stored(up.select("g", F.greatest(F.lit(0), F.col("bits") - _STEP).alias("bits"), F.col("up").alias("branch"), joined("items", "bits").alias("p")), "profiles")
+        target = target.unionByName(level.where("bits = 0").select("g", F.col("p").alias("target")))
 
     @F.pandas_udf("int")
     def away(value: pd.Series, target: pd.Series) -> pd.Series:
         return pd.Series([distance(tokens_of(v), list(t)) for v, t in zip(value, target, strict=True)])
 
-    level = rows.groupBy("g", "size", "block").agg(F.collect_list("item").alias("items")).select("g", "block", first("items").alias("p"))
-    level = stored(level, "profiles")
-    while not level.where("block > 0").isEmpty():
-        level = level.groupBy("g", F.floor(F.col("block") / BLOCK).alias("block")).agg(F.collect_list("p").alias("items"))
-        level = stored(level.select("g", "block", merge("items").alias("p")), "profiles")
-    target = level.select("g", won("p").alias("target"))
-    near = rows.join(target, "g").select("g", "id", "v", "vote", away("v", "target").alias("d"))
-    # least distance, then highest vote, then smallest id
-    best = near.groupBy("g").agg(F.min(F.struct("d", F.transform("vote", lambda x: -x).alias("worse"), "id", "v")).alias("b"))
-    return best.select("g", "b.id", "b.v")
+    near = said.join(target, "g").select("g", "v", "b", away("v", "target").alias("d"))
+    won = near.groupBy("g").agg(F.min(F.struct("d", "b.worse", "b.id", "v")).alias("c"))
+    return won.select(F.col("g").alias(group), F.col("c.id").alias(row_id), F.col("c.v").alias(value))
