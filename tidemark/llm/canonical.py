@@ -4,8 +4,9 @@ All strings obtained by deleting up to ``k`` characters of a reference name are
 the keys of a dictionary; a typed value meets every name within edit distance
 ``k`` when its own deletions are looked up.  What meets is ranked by a weighted
 Damerau-Levenshtein distance, then by how often the reference entry is written
-plainly in the data.  The reference is small by definition and its size is checked
-before it travels with the tasks.
+plainly in the data.  A reference whose size is within a checked bound travels
+with the tasks; of a larger one every value only gets the entries that share a
+deletion with it, by a join.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNMATCHED = "UNMATCHED"
-MAX_REFERENCE = 50_000
+MAX_REFERENCE = 50_000  # rows of a reference that travels with the tasks
 
 #: What typists put for words that qualify a place, and words that say nothing about it.
 QUALIFIERS = {
@@ -246,13 +248,22 @@ class Dictionary:
         return (best[2], best[0]) if best else (UNMATCHED, float("inf"))
 
 
+def _plain_counts(reference: DataFrame, code: str, names: Sequence[str], values: DataFrame, value: str) -> DataFrame:
+    """``code, frequency``: how often the entries' codes and names stand in the values as they are."""
+    said = values.groupBy(F.lower(F.trim(value)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    plain = reference.where(F.col(code).isNotNull()).select(F.col(code).alias("code"), F.explode(F.array(code, *names)).alias("name")).where("name is not null")
+    plain = plain.select("code", F.lower(F.trim("name")).alias("v")).distinct()
+    return plain.join(said, "v").groupBy("code").agg(F.sum("n").alias("frequency"))
+
+
 def load_dictionary(
     reference: DataFrame, code: str, names: Sequence[str], values: DataFrame | None = None, value: str = "value", edits: int = 2
 ) -> Dictionary:
     """Bring a reference of at most MAX_REFERENCE rows to the driver, with the frequency of its plain names in ``values``.
 
     Runs two small jobs.  Frequencies are counted where the data lies; as many rows
-    as the reference has come back.
+    as the reference has come back.  A larger reference is refused: use
+    :func:`map_to_reference`.
     """
     rows = reference.select(code, *names).where(F.col(code).isNotNull()).limit(MAX_REFERENCE + 1).collect()
     if len(rows) > MAX_REFERENCE:
@@ -260,18 +271,15 @@ def load_dictionary(
     entries = [(r[0], [n for n in r[1:] if n]) for r in rows]
     frequency: dict[str, int] = {}
     if values is not None:
-        plain = {n.strip().lower(): c for c, all_names in entries for n in [c, *all_names]}
-        said = values.select(F.lower(F.trim(value)).alias("v")).where(F.col("v").isin(list(plain))).groupBy("v").count().collect()
-        for v, n in said:
-            frequency[plain[v]] = frequency.get(plain[v], 0) + n
+        frequency = {r.code: r.frequency for r in _plain_counts(reference, code, names, values, value).collect()}
     return Dictionary(entries, frequency, edits)
 
 
 def map_values(values: DataFrame, dictionary: Dictionary, record_id: str, field: str, value: str) -> DataFrame:
     """``record_id, field_name, value, code, distance`` of every row; code UNMATCHED and no distance where nothing is near.
 
-    Rows with a null value are left out.  Values pass through Arrow batches; each
-    worker looks a repeated value up once.
+    Rows with a null value are left out.  Every different value is looked up once,
+    and the answers joined back to the rows.
     """
     shared = values.sparkSession.sparkContext.broadcast(dictionary)
     narrow = values.select(
@@ -281,9 +289,93 @@ def map_values(values: DataFrame, dictionary: Dictionary, record_id: str, field:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value.find
         for batch in batches:
-            found = [find(v.as_py()) for v in batch.column(2)]
-            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array([c for c, _ in found], pa.string())]
+            found = [find(v.as_py()) for v in batch.column(0)]
+            cols = [batch.column(0), pa.array([c for c, _ in found], pa.string())]
             cols.append(pa.array([None if d == float("inf") else d for _, d in found], pa.float64()))
-            yield pa.RecordBatch.from_arrays(cols, names=["record_id", "field_name", "value", "code", "distance"])
-
-    return narrow.mapInArrow(run, "record_id string, field_name string, value string, code string, distance double")
+            yield pa.RecordBatch.from_arrays(cols, names=["value", "code", "distance"])
+
+    # the values are small and the work on them is not: as many tasks as the session shuffles into, whatever their size
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = narrow.select("value").distinct().repartition(tasks, "value").mapInArrow(run, "value string, code string, distance double")
+    return narrow.join(answers, "value").select("record_id", "field_name", "value", "code", "distance")
+
+
+def _index_keys(name: str | None, code: str, edits: int) -> list[str]:
+    """The keys under which an entry's code (without a name) or one of its names is found."""
+    d = Dictionary([], edits=edits)
+    if name is None:
+        return ["c" + letters(code)]
+    words, core = reading(name)
+    whole = "".join(words) + core
+    keys = {"d" + x for x in d._deletions(core)} | {"s" + core, "w" + whole}
+    return sorted(keys | {"p" + core[:n] for n in range(4, len(core) + 1)})
+
+
+def _lookup_keys(value: str, edits: int, longest: int) -> list[str]:
+    """The keys by which a value, its parts and its neighbouring parts are looked up: whatever an entry could be found by."""
+    d = Dictionary([], edits=edits)
+    parts = [p for p in _PARTS.split(value) if p.strip()]
+    tries = {value, *parts, *(f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False))}
+    keys: set[str] = set()
+    for text in tries:
+        words, core = reading(text)
+        if not core:
+            continue
+        whole = "".join(words) + core
+        keys |= {"c" + whole, "c" + re.sub(r"[^a-z]", "", letters(text)), "s" + core, "w" + whole}
+        if len(core) >= 4 and text.rstrip(" *").endswith("."):
+            keys.add("p" + core)
+        for word in {core, whole} if 4 <= len(core) else ():
+            if len(word) <= longest:
+                keys |= {"d" + x for x in d._deletions(word)}
+    return sorted(keys)
+
+
+def map_by_join(values: DataFrame, reference: DataFrame, code: str, names: Sequence[str], record_id: str, field: str, value: str, edits: int = 2) -> DataFrame:
+    """The rows of :func:`map_values` for a reference of any size.
+
+    Entries and values are exploded to their deletions and met by a join; every
+    value is then looked up in a dictionary of the entries it met, which hold all
+    that could answer it.  A key that very many entries share (a very short name) is
+    as large as they are.
+    """
+    narrow = values.select(F.col(record_id).cast("string").alias("record_id"), F.col(field).alias("field_name"), F.col(value).alias("value")).where("value is not null")
+    # of each entry its code, without a name, and every name
+    entries = reference.where(F.col(code).isNotNull()).select(F.col(code).alias("code"), F.explode(F.array(F.lit(None).cast("string"), *names)).alias("name"))
+    entries = entries.where("name is null or trim(name) <> ''").distinct()
+    longest = (entries.agg(F.max(F.length("name"))).first()[0] or 0) + 3  # nothing longer is within reach of an entry
+    counts = _plain_counts(reference, code, names, values, value)
+    entries = entries.join(counts, "code", "left").select("code", "name", F.coalesce("frequency", F.lit(0)).alias("frequency")).distinct()
+
+    @F.pandas_udf("array<string>")
+    def keys_of_entry(name: pd.Series, code: pd.Series) -> pd.Series:
+        return pd.Series([_index_keys(n, c, edits) for n, c in zip(name, code, strict=True)])
+
+    @F.pandas_udf("array<string>")
+    def keys_of_value(value: pd.Series) -> pd.Series:
+        return value.map(lambda v: _lookup_keys(v, edits, longest))
+
+    @F.pandas_udf("code string, distance double")
+    def answer(value: pd.Series, met: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, entries in zip(value, met, strict=True):
+            own: dict[str, list[str]] = {}
+            for e in entries:
+                own.setdefault(e["code"], []).extend([e["name"]] if e["name"] is not None else [])
+            found, d = Dictionary(list(own.items()), {e["code"]: e["frequency"] for e in entries}, edits).find(v)
+            out.append((found, None if d == float("inf") else d))
+        return pd.DataFrame(out, columns=["code", "distance"])
+
+    index = entries.select("code", "name", "frequency", F.explode(keys_of_entry("name", "code")).alias("key"))
+    asked = narrow.select("value").distinct()
+    looked = asked.select("value", F.explode(keys_of_value("value")).alias("key"))
+    met = looked.join(index, "key").groupBy("value").agg(F.collect_set(F.struct("code", "name", "frequency")).alias("met"))
+    answers = met.select("value", answer("value", "met").alias("a")).select("value", "a.*")
+    return narrow.join(answers, "value", "left").select("record_id", "field_name", "value", F.coalesce("code", F.lit(UNMATCHED)).alias("code"), "distance")
+
+
+def map_to_reference(values: DataFrame, reference: DataFrame, code: str, names: Sequence[str], record_id: str, field: str, value: str, edits: int = 2, most: int = MAX_REFERENCE) -> DataFrame:
+    """:func:`map_values` with a dictionary in each task for a reference of at most ``most`` rows, :func:`map_by_join` for a larger one; the rows are the same."""
+    if reference.limit(most + 1).count() <= most:
+        return map_values(values, load_dictionary(reference, code, names, values, value, edits), record_id, field, value)
+    return map_by_join(values, reference, code, names, record_id, field, value, edits)

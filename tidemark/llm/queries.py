@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.abuse import THRESHOLD, score_documents, source_rates
 from tidemark.llm.bpe import encode_corpus, token_counts
-from tidemark.llm.canonical import load_dictionary, map_values
+from tidemark.llm.canonical import map_to_reference
 from tidemark.llm.names import link_names, linked_pairs
 from tidemark.llm.packing import fill_report, pack
 from tidemark.llm.survivor import STAND_INS, best_values, consensus_values
@@ -98,8 +98,7 @@ def _places(spark: SparkSession, sf: str) -> DataFrame:
 def _mapped(spark: SparkSession, sf: str) -> DataFrame:
     values = _places(spark, sf)
     reference = table(spark, sf, "jurisdiction_reference")
-    dictionary = load_dictionary(reference, "jurisdiction_code", ("jurisdiction_name", "local_name"), values)
-    return map_values(values, dictionary, "record_id", "field_name", "value")
+    return map_to_reference(values, reference, "jurisdiction_code", ("jurisdiction_name", "local_name"), "record_id", "field_name", "value")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
