@@ -3,7 +3,10 @@
 Folding undoes disguise: accents, look-alike letters of other scripts, invisible
 characters, digits and signs for letters, spelled-out words (``p u t a``),
 stretched and transposed ones.  Phrases are matched at word borders in one pass of
-an automaton; phrases that excuse (``idiot-proof``) cancel what they cover.
+an automaton; some of its words only call for a rule on what stands around them
+(``you are worthless``); phrases that excuse (``idiot-proof``) cancel what they cover.
+A sentence's weight is normalised by its length, so that one abusive sentence
+counts in a text of any length and far-apart half cues do not add up.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ LOOKALIKES = {
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "l", "€": "e", "+": "t", "(": "c"}
 
 THRESHOLD = 1.0
+NEARBY = 24  # words: in a longer sentence half weights count for less, as they need not belong together
 _CHARS = str.maketrans(LOOKALIKES)
 _SIGNS = str.maketrans(SIGNS)
 _ONE_AS_L = str.maketrans({"1": "l"})
@@ -60,11 +64,43 @@ def _phrases(block: str) -> list[str]:
     return [p for line in block.split("\n") for p in (" ".join(x.split()) for x in line.split(";")) if p]
 
 
+def _any(words: str) -> str:
+    return "(?:" + "|".join(sorted(set(words.split()), key=lambda w: (-len(w), w))) + ")"
+
+
+def context_rules() -> list[tuple[str, re.Pattern[str]]]:
+    """Words that call for a look at their sentence, and what must stand around them; each rule has weight 1.
+
+    An insult said to someone, harm announced or wished to someone, and groups of
+    people degraded or shut out.
+    """
+    lx = lexicon
+    whom = "(?:you|your|u|ur|him|her|them|his|their|that bitch|this bitch|both of you|all of you)"
+    will = "(?:will|ll|am going to|m going to|are going to|re going to|is going to|s going to|gonna|want to|wanna|swear i ll|promise to|should)"
+    some = r"(?:\w+ ){0,3}"
+    groups = f"(?:{_any(lx.GROUPS)}|people (?:of|from) \\w+|those people|these people|you people)"
+    return [
+        (lx.ADDRESSED, re.compile(f" {_any(lx.YOU)} (?:{_any(lx.BETWEEN)} ){{0,5}}{_any(lx.ADDRESSED)} ")),
+        (lx.VIOLENCE, re.compile(f" (?:i|we|he|she|they|someone|somebody) {will} (?:fucking |just |personally |come and |come to |literally )?{_any(lx.VIOLENCE)} {whom} (?!(?:a |an |another )?(?:solution|deal|way|job|refund|answer|time|price|replacement|copy|slot|break|bonus|raise|commission|fees?|costs?|budget|margin|rate|position|exposure|off|later|out))")),
+        (lx.ENDS, re.compile(f" (?:hope|hoping|wish|pray|may|ojala|espero|spero|hoffe) (?:that )?(?:(?:you|u|he|she|they) |(?:your|his|her|their|the whole|the entire|every one of) \\w+ ){some}{_any(lx.ENDS)} (?!(?:down|up) )|want (?:you|him|her|them) (?:dead|to die|to suffer|to rot) ")),
+        (lx.DEGRADED, re.compile(f" (?:they|those|these|{groups}) (?:\\w+ ){{0,2}}(?:are|re) (?:all |just |nothing but |worse than |like |a |filthy |dirty |lazy |born |human ){{0,3}}{_any(lx.DEGRADED)} ")),
+        ("hire trust let expect promote serve allow", re.compile(f" (?:do not|don t|dont|never|not|no one should|do you|can you|else do you) (?:ever )?(?:hire|trust|let|expect from|expect of|promote|serve|allow) (?:a |an |any |the |those |these |such |more ){{0,2}}{groups} ")),
+        ("hire", re.compile(r" (?:not|never) hire (?!veterans|artisans|partisans|\w+cians|\w*(?:librar|histor|civil|guard|custod|comed)ians)\w+(?:ans|ese|ish) ")),
+        ("wake", re.compile(r" (?:hope|pray|may) (?:that )?(?:you|he|she|they|the whole \w+) never wake up ")),
+        ("naked", re.compile(r" strip (?:\w+ ){1,3}naked ")),
+        ("count spell read write tie", re.compile(" (?:can t|cannot|can not|could not|couldn t|too stupid to|too dumb to) (?:even )?(?:count to|spell your|spell his|spell her|tie your|tie his|read or write|find your|hold a) ")),
+        ("rot die burn hang bleed drown", re.compile(" (?:should|can|could|may|let (?:him|her|them)|you ll|you will|will|please|just|go) (?:all |just )?(?:rot|die|burn|hang|bleed|drown) (?:in (?:hell|a (?:ditch|hole|fire|gutter))|like (?:a |the )?(?:dogs?|pigs?|rats?|animals?)|slowly|alone|out on|out like) ")),
+        ("bullet bullets", re.compile(" (?:deserves?|needs?|gets?|takes?|puts?|with|eat) (?:a|one|two|my) bullets? (?!point|bond|loan|train|proof|repay|matur|struct|pay)")),
+    ]
+
+
 class Lexicon:
-    """Phrases with weights, the excuses, and the automaton over both."""
+    """Phrases with weights, the excuses, rules on their context, and the automaton over all of them."""
 
-    def __init__(self, weights: dict[str, float], excuses: Iterable[str]):
+    def __init__(self, weights: dict[str, float], excuses: Iterable[str], rules: Iterable[tuple[str, re.Pattern[str]]] = ()):
         self.weights = {}
+        self.rules = [pattern for _, pattern in rules]
+        self.triggers = [(word, i) for i, (words, _) in enumerate(rules) for word in words.split()]
         for phrase, w in weights.items():
             self.weights[fold(phrase)] = w
         self.words = {p for p in self.weights if " " not in p and p.isalpha()}
@@ -82,19 +118,19 @@ class Lexicon:
                     if other not in self.words:
                         self.swapped.setdefault(other, word)
         machine = ahocorasick.Automaton()
+        meant: dict[str, dict] = {}
         for phrase, w in self.weights.items():
-            self._add(machine, phrase, w)
+            meant.setdefault(phrase, {})["weight"] = w
         for phrase in excuses:
-            self._add(machine, fold(phrase), 0.0)
+            meant.setdefault(fold(phrase), {})["weight"] = 0.0
+        for word, i in self.triggers:
+            meant.setdefault(word, {}).setdefault("rules", []).append(i)
+        for phrase, what in meant.items():
+            key = " " + phrase.rstrip("*")
+            machine.add_word(key if phrase.endswith("*") else key + " ", (len(key), what.get("weight"), tuple(what.get("rules", ()))))
         machine.make_automaton()
         self.machine = machine
 
-    @staticmethod
-    def _add(machine: ahocorasick.Automaton, phrase: str, w: float) -> None:
-        open_end = phrase.endswith("*")
-        key = " " + phrase.rstrip("*")
-        machine.add_word(key if open_end else key + " ", (len(key), w, open_end))
-
     def unmask(self, token: str) -> str | None:
         """The one word that a token with masked letters (``f**k``) can stand for."""
         shape = re.compile("".join("." if _MASK.match(c) else re.escape(c) for c in token.translate(str.maketrans({"1": "i", "0": "o", "3": "e"}))))
@@ -190,11 +226,16 @@ class Lexicon:
                 yield " " + " ".join(words) + " "
 
     def matches(self, sentence: str) -> list[tuple[int, int, float]]:
-        """Matches that no excuse covers: start, end, weight."""
-        hits = []
-        for end, (size, w, _) in self.machine.iter(sentence):
+        """Matches of phrases and rules that no excuse covers: start, end, weight."""
+        hits, asked = [], set()
+        for end, (size, w, rules) in self.machine.iter(sentence):
             stop = end + 1 if sentence[end] != " " else end
-            hits.append((stop - size + 1, stop, w))
+            if w is not None:
+                hits.append((stop - size + 1, stop, w))
+            asked.update(rules)
+        for i in asked:
+            for m in self.rules[i].finditer(sentence):
+                hits.append((m.start() + 1, m.end() - 1 if m[0][-1] == " " else m.end(), 1.0))
         if not hits:
             return hits
         free = [(a, b) for a, b, w in hits if not w]
@@ -203,17 +244,24 @@ class Lexicon:
     def score(self, text: str | None) -> tuple[float, float, int, int]:
         """Heaviest sentence, weight a hundred words, matches, words; zeros for an empty or null text.
 
-        Nested matches count once, by the heaviest of them.
+        A sentence weighs what its matches do, half weights only in proportion where
+        it is longer than NEARBY words.  Nested matches count once, by the heaviest.
         """
         heaviest, total, n, words = 0.0, 0.0, 0, 0
         for sentence in self.sentences(text or ""):
-            words += sentence.count(" ") - 1
-            weight, upto = 0.0, -1
+            length = sentence.count(" ") - 1
+            words += length
+            full, halves, upto = 0.0, 0.0, -1
             for a, b, w in sorted(self.matches(sentence), key=lambda m: (m[0], -m[2], -m[1])):
                 if a >= upto:
-                    weight, upto, n = weight + w, b, n + 1
+                    upto, n = b, n + 1
+                    if w >= 1:
+                        full += w
+                    else:
+                        halves += w
                 elif w > 0.5:
-                    weight += 0.5
+                    full += 0.5
+            weight = full + halves * min(1.0, NEARBY / max(1, length))
             heaviest, total = max(heaviest, weight), total + weight
         return heaviest, (100.0 * total / words if words else 0.0), n, words
 
@@ -222,9 +270,11 @@ def default_lexicon() -> Lexicon:
     weights: dict[str, float] = {}
     for block in (lexicon.HARM, lexicon.HATE, lexicon.SEXUAL):
         weights |= dict.fromkeys(_phrases(block), 1.0)
-    weights |= dict.fromkeys(lexicon.INSULTS.split(), 1.0)
-    weights |= dict.fromkeys(lexicon.HALF.split(), 0.5)
-    return Lexicon(weights, _phrases(lexicon.EXCUSES))
+    insults, spared = lexicon.INSULTS.split(), set(lexicon.NO_PLURALS.split()) | set(lexicon.HALF.split())
+    weights |= dict.fromkeys(insults, 1.0)
+    weights |= dict.fromkeys((w + "s" for w in insults if len(w) > 3 and w[-1] != "s" and w + "s" not in spared and w not in spared), 1.0)
+    weights |= dict.fromkeys(_phrases(lexicon.CONTEXT), 0.5) | dict.fromkeys(lexicon.HALF.split(), 0.5)
+    return Lexicon(weights, _phrases(lexicon.EXCUSES), context_rules())
 
 
 _LEXICON: list[Lexicon] = []
