@@ -31,6 +31,7 @@ LOOKALIKES = {
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "l", "€": "e", "+": "t", "(": "c"}
 
 THRESHOLD = 1.0
+MEMO = 200_000  # runs of signs remembered by a worker; beyond it the memo starts anew
 NEARBY = 24  # words: in a longer sentence half weights count for less, as they need not belong together
 _CHARS = str.maketrans(LOOKALIKES)
 _SIGNS = str.maketrans(SIGNS)
@@ -47,17 +48,23 @@ _MASK = re.compile(r"[*#@%&_$]")
 _SPLIT = re.compile(r"[\W_]+")
 
 
+class _Folded(dict):
+    """What becomes of a character, found once: marks and invisible ones vanish, look-alikes turn Latin."""
+
+    def __missing__(self, code: int) -> str | None:
+        kind = unicodedata.category(chr(code))
+        self[code] = None if kind[0] == "M" or kind == "Cf" else _CHARS.get(code, chr(code))
+        return self[code]
+
+
+_FOLDED = _Folded()
+
+
 def fold(text: str) -> str:
     """Lower case without accents, look-alikes and invisible characters."""
-    text = unicodedata.normalize("NFKD", text).casefold()
     if text.isascii():
-        return text
-    out = []
-    for c in text:
-        kind = unicodedata.category(c)
-        if kind[0] != "M" and kind != "Cf":
-            out.append(c)
-    return "".join(out).translate(_CHARS)
+        return text.lower()
+    return unicodedata.normalize("NFKD", text).casefold().translate(_FOLDED)
 
 
 def _phrases(block: str) -> list[str]:
@@ -99,6 +106,7 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float], excuses: Iterable[str], rules: Iterable[tuple[str, re.Pattern[str]]] = ()):
         self.weights = {}
+        self._memo: dict[str, tuple[str, list[str]]] = {}
         self.rules = [pattern for _, pattern in rules]
         self.triggers = [(word, i) for i, (words, _) in enumerate(rules) for word in words.split()]
         for phrase, w in weights.items():
@@ -194,6 +202,22 @@ class Lexicon:
             words += self.signed(piece) if "!" in piece else [piece]
         return [w for w in (_EDGE.sub("", w) for w in words) if w]
 
+    def _read(self, raw: str) -> tuple[str, list[str]]:
+        """The token that a run of signs holds and the words it is read as (none for a single letter); remembered."""
+        token = _EDGE.sub("", raw)
+        words: list[str] = []
+        if token.isalpha():
+            if len(token) > 1:
+                words.append(self.plain(token))
+        elif token:
+            for piece in self.parted(token) if _ENDS.search(token) else (token,):
+                plain = self.plain(piece)
+                words += [plain] if piece.isalpha() else [self.plain(w) if w.isalpha() else w for w in _SPLIT.split(plain) if w]
+        if len(self._memo) > MEMO:
+            self._memo.clear()
+        self._memo[raw] = token, words
+        return token, words
+
     def sentences(self, text: str) -> Iterator[str]:
         """Folded sentences, each with a space before and after every word.
 
@@ -203,23 +227,15 @@ class Lexicon:
         for part in _END.split(folded):
             words, spelled = [], []
             for raw in part.split():
-                token = _EDGE.sub("", raw)
+                token, read = self._memo.get(raw) or self._read(raw)
                 if len(token) == 1 and token.isalpha():
                     spelled.append(token)
                     if raw[-1] == token:
                         continue
-                    token = ""
                 if spelled:
                     words += ["".join(spelled)] if len(spelled) > 2 else spelled
                     spelled = []
-                if not token:
-                    continue
-                if token.isalpha():
-                    words.append(self.plain(token))
-                else:
-                    for piece in self.parted(token) if _ENDS.search(token) else (token,):
-                        plain = self.plain(piece)
-                        words += [plain] if piece.isalpha() else [self.plain(w) if w.isalpha() else w for w in _SPLIT.split(plain) if w]
+                words += read
             if spelled:
                 words += ["".join(spelled)] if len(spelled) > 2 else spelled
             if words:
