@@ -11,7 +11,7 @@ from tidemark.operators import audit, graph, panel
 from tidemark.operators import windows as w
 from tidemark.plans import views
 from tidemark.plans.platform import _stream, drained
-from tidemark.plans.registry import Registry, plain
+from tidemark.plans.registry import Registry, plain, rows_n
 from tidemark.plans.views import ACTIONS_SQL, DAILY_SQL, MONTHLY_SQL
 from tidemark.session import micros, table
 from tidemark.streaming import streams
@@ -19,7 +19,6 @@ from tidemark.streaming import streams
 entry = Registry()
 QUERIES, ORACLE = entry.queries, entry.oracle
 K, O = "asset_id", "day"
-N = F.count(F.lit(1)).alias("n")
 _NORM = "trim(regexp_replace(lower(trim({c})), '[^a-z0-9]+', ' ', 'g'))"
 _TITLE = "trim(regexp_replace(regexp_replace(regexp_replace(lower(title), 'https?://\\S+', ' ', 'g'), '\\((?:reuters|ap|afp|bloomberg)\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 _CLAIMS = "c as (select distinct * from evidence_claims)"
@@ -149,7 +148,7 @@ def t21_place_relations(spark, sf):
     select accession_number, document_class, n from c qualify row_number() over (partition by accession_number order by p, document_class) = 1""")
 def t22_selected_classes(spark, sf):
     """Of every filing the class of document that says most about relations, and how much it says."""
-    c = table(spark, sf, "relation_name_candidates").where("accession_number is not null").groupBy("accession_number", "document_class").agg(N)
+    c = table(spark, sf, "relation_name_candidates").where("accession_number is not null").groupBy("accession_number", "document_class").agg(rows_n())
     place = F.when(F.col("document_class") == "subsidiary_exhibit", 1).when(F.col("document_class") == "material_contract", 2).when(F.col("document_class") == "annual_report", 3).when(F.col("document_class") == "proxy_statement", 4).otherwise(9)
     return c.groupBy("accession_number").agg(F.min(F.struct(place.alias("p"), "document_class", "n")).alias("b")).select("accession_number", "b.document_class", "b.n")
 
@@ -176,7 +175,7 @@ def t24_versions_and_links(spark, sf):
 def t27_annotations(spark, sf):
     """Lists of annotations as rows."""
     c = _claims(spark, sf).select("claim_kind", "evidence_claim_id", F.explode(F.from_json("quality_flags_json", "array<string>")).alias("flag"))
-    return c.groupBy("claim_kind", "flag").agg(N, F.countDistinct("evidence_claim_id").alias("n_claims"))
+    return c.groupBy("claim_kind", "flag").agg(rows_n(), F.countDistinct("evidence_claim_id").alias("n_claims"))
 
 
 @entry("T28_revision_diff", """with p as (select distinct asset_id, trading_day d, observation_sequence s, raw_close v from temporal_price_points where asset_id is not null and trading_day is not null), n as (select *, lag(v) over k b, lag(s) over k bs from p window k as (partition by asset_id, d order by s))
@@ -188,7 +187,7 @@ def t28_revision_diff(spark, sf):
     p = p.withColumn("b", F.lag("v").over(o)).withColumn("bs", F.lag("s").over(o))
     v, b = F.col("v"), F.col("b")
     change = F.when(F.col("bs").isNull(), "new").when(v.isNull() & b.isNull(), "still_missing").when(v.isNull(), "withdrawn").when(b.isNull(), "filled").when(v == b, "unchanged").otherwise("changed")
-    return plain(p.groupBy(F.year("d").cast("long").alias("year"), change.alias("change")).agg(N, F.avg(v - b).alias("mean_change")))
+    return plain(p.groupBy(F.year("d").cast("long").alias("year"), change.alias("change")).agg(rows_n(), F.avg(v - b).alias("mean_change")))
 
 
 # audits
@@ -199,13 +198,13 @@ def q04_identity_audit(spark, sf):
     """Parts must add up to their whole: the greatest error over all rows."""
     df = panel.decompose(views.monthly(spark, sf).withColumn("ret", w.lag_return("close", 1, K, O)).where("ret is not null"), "ret")
     off = F.abs(F.col("market_part") + F.col("sector_part") + F.col("asset_part") - F.col("ret"))
-    return df.agg(N, (F.max(off) <= 1e-9).alias("exact"))
+    return df.agg(rows_n(), (F.max(off) <= 1e-9).alias("exact"))
 
 
 @entry("Q05_foundation_coverage", r"""select source, document_kind, count(*) n, count(*) filter (text is null or not regexp_matches(text, '[^ \t\n\r\f]')) n_blank, count(asset_id) n_linked, round(count(asset_id) / count(*), 6) linked_share from documents group by 1, 2""")
 def q05_foundation_coverage(spark, sf):
     d = table(spark, sf, "documents")
-    return plain(d.groupBy("source", "document_kind").agg(N, F.count_if(F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t\n\r\f]")).alias("n_blank"), F.count("asset_id").alias("n_linked"), (F.count("asset_id") / F.count(F.lit(1))).alias("linked_share")))
+    return plain(d.groupBy("source", "document_kind").agg(rows_n(), F.count_if(F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t\n\r\f]")).alias("n_blank"), F.count("asset_id").alias("n_linked"), (F.count("asset_id") / F.count(F.lit(1))).alias("linked_share")))
 
 
 @entry("Q06_dataset_span", f"with {_CLAIMS}, y as (select registrant_entity_id e, count(*) n from c group by 1) select (select count(*) from c) n_rows, (select count(distinct registrant_entity_id) from c) n_entities, round((select max(n) from y) / (select count(*) from c), 6) largest_share, (select datediff('day', min(evidence_available_at)::date, max(evidence_available_at)::date) from c) span_days")
@@ -229,7 +228,7 @@ def q07_lineage(spark, sf):
         ("origin_of_point", t("temporal_origins").where("asset_id is not null and origin_trading_day is not null"), pts, ["asset_id", "origin_trading_day"]),
     ):
         marked = child.join(parent.select(*keys).distinct().withColumn("_p", F.lit(1)), keys, "left")
-        one = marked.agg(N, F.count_if(F.col("_p").isNull()).alias("n_lost")).select(F.lit(name).alias("link"), "n", "n_lost")
+        one = marked.agg(rows_n(), F.count_if(F.col("_p").isNull()).alias("n_lost")).select(F.lit(name).alias("link"), "n", "n_lost")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -240,7 +239,7 @@ def q08_plain_step_identity(spark, sf):
     obs = views.observations(spark, sf)
     cash = obs.where("l_returnflag = 'R' and l_discount >= 0.09").groupBy(K, O).agg((F.max("price") / 40).alias("c"))
     df = views.daily(spark, sf).join(cash, [K, O], "left").withColumn("cash", F.coalesce("c", F.lit(0.0))).withColumn("prev", F.lag("close").over(w.ordered(K, O)))
-    return panel.step_classes(df).where("c is null and prev is not null").agg(N, F.count_if(F.col("economic") != F.col("provider")).alias("n_off"))
+    return panel.step_classes(df).where("c is null and prev is not null").agg(rows_n(), F.count_if(F.col("economic") != F.col("provider")).alias("n_off"))
 
 
 @entry("Q10_tail_lineage", f"""with {DAILY_SQL}, a as (select asset_id, day, 100 * (lead(close, 5) over k / close - 1) r, lead(close, 5) over k is not null ok from daily window k as (partition by asset_id order by day)) select asset_id, strftime(a.day, '%Y-%m-%d') as day, round(r, 6) outcome, true as same from a where ok order by r desc, asset_id, a.day limit 20""")
@@ -256,7 +255,7 @@ def q10_tail_lineage(spark, sf):
 @entry("Q13_corpus_profile", f"""select source, count(*) n, count(*) filter (text is null) n_null, count(*) filter (text = '') n_empty, count(distinct lang) n_langs, count(distinct sha256({_NORM.format(c='text')})) n_texts, max(n_chars) longest from documents group by 1""")
 def q13_corpus_profile(spark, sf):
     d = table(spark, sf, "documents")
-    return d.groupBy("source").agg(N, F.count_if(F.col("text").isNull()).alias("n_null"), F.count_if(F.col("text") == "").alias("n_empty"), F.countDistinct("lang").alias("n_langs"), F.countDistinct(F.sha2(T.normalized("text"), 256)).alias("n_texts"), F.max("n_chars").alias("longest"))
+    return d.groupBy("source").agg(rows_n(), F.count_if(F.col("text").isNull()).alias("n_null"), F.count_if(F.col("text") == "").alias("n_empty"), F.countDistinct("lang").alias("n_langs"), F.countDistinct(F.sha2(T.normalized("text"), 256)).alias("n_texts"), F.max("n_chars").alias("longest"))
 
 
 @entry("Q14_nested_contract", "with e as (select value, json_extract_string(props, '$.k')::bigint k, event_type t from events) " + _rules_sql("e", {"value in range": "value between 0 and 90", "key known": "k is not null and k >= 0", "type named": "t in ('view', 'click', 'purchase', 'error', 'signup')"}))
@@ -298,7 +297,7 @@ def r05_due(spark, sf):
 @entry("R07_retractions", "select user_id, arg_max(event_type, (ts, event_id)) as last_type, count(*) n from events group by 1 having arg_max(event_type, (ts, event_id)) <> 'error'")
 def r07_retractions(spark, sf):
     """Only what the last event does not take back."""
-    per = views.events(spark, sf).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), N)
+    per = views.events(spark, sf).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), rows_n())
     return per.where("last_type <> 'error'")
 
 
@@ -315,4 +314,4 @@ def r09_stream_join(spark, sf):
     """Two streams joined within six hours: what was seen before each purchase; state older than that is let go."""
     ev = lambda: _stream(spark, sf).select("event_id", "user_id", "event_type", "ts")
     out = drained(streams.joined_within(ev().where("event_type = 'purchase'"), ev().where("event_type = 'view'"), "user_id", "ts", "6 hours", "2 days").select("event_id"), "append")
-    return out.groupBy("event_id").agg(N)
+    return out.groupBy("event_id").agg(rows_n())

@@ -12,13 +12,12 @@ from pyspark.sql import types as T
 
 from tidemark.operators import lake, registry
 from tidemark.plans import views
-from tidemark.plans.registry import Registry, plain
+from tidemark.plans.registry import Registry, plain, rows_n
 from tidemark.session import ensure_checkpoint_dir, table
 from tidemark.sources import readers
 
 entry = Registry()
 QUERIES, ORACLE = entry.queries, entry.oracle
-N = F.count(F.lit(1)).alias("n")
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -38,7 +37,7 @@ def s01_bound_query(spark, sf):
 @entry("S02_chunked_scan", "select l_returnflag, count(*) n, sum(l_quantity) quantity from lineitem group by 1")
 def s02_chunked_scan(spark, sf):
     """Work in parts: aggregates of each part, added up."""
-    parts = [c.groupBy("l_returnflag").agg(N, F.sum("l_quantity").alias("quantity")) for c in readers.hashed_chunks(table(spark, sf, "lineitem"), "l_orderkey", 4)]
+    parts = [c.groupBy("l_returnflag").agg(rows_n(), F.sum("l_quantity").alias("quantity")) for c in readers.hashed_chunks(table(spark, sf, "lineitem"), "l_orderkey", 4)]
     return reduce(DataFrame.unionByName, parts).groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"))
 
 
@@ -71,7 +70,7 @@ def s05_union_by_name(spark, sf):
     o.where("o_orderdate < timestamp_ntz '1998-01-01'").select("o_orderkey", "o_orderstatus").write.parquet(f"{base}/old")
     o.where("o_orderdate >= timestamp_ntz '1998-01-01'").select("o_orderpriority", "o_orderkey").write.parquet(f"{base}/new")
     df = readers.parquet_files(spark, f"{base}/old", f"{base}/new")
-    return df.groupBy(F.regexp_extract("source_file", "/(old|new)/", 1).alias("part")).agg(N, F.count("o_orderpriority").alias("n_priority"), F.count("o_orderstatus").alias("n_status"))
+    return df.groupBy(F.regexp_extract("source_file", "/(old|new)/", 1).alias("part")).agg(rows_n(), F.count("o_orderpriority").alias("n_priority"), F.count("o_orderstatus").alias("n_status"))
 
 
 @entry("S06_partitioned_scan", "select o_orderkey from orders where year(o_orderdate) between 1996 and 1997 and o_orderstatus = 'P'")
@@ -105,7 +104,7 @@ def s09_csv_calendar(spark, sf):
     path = _place(spark, "calendar")
     table(spark, sf, "evidence_claims").select(F.col("registrant_ticker").alias("symbol"), F.to_date("evidence_available_at").alias("reportDate"), F.lit(None).cast("double").alias("estimate")).write.option("header", "true").csv(path)
     df = spark.read.option("header", "true").schema("symbol string, reportDate date, estimate double").csv(path)
-    return plain(df.where("symbol is not null and reportDate is not null").groupBy("symbol").agg(F.max("reportDate").alias("report_day"), N))
+    return plain(df.where("symbol is not null and reportDate is not null").groupBy("symbol").agg(F.max("reportDate").alias("report_day"), rows_n()))
 
 
 @entry("S10_json_lines", """select case when c_custkey % 9 <> 0 then c_custkey end id, case when c_custkey % 9 <> 0 then c_mktsegment end segment, case when c_custkey % 9 = 0 then '[' || c_custkey || ']' end corrupt from customer""")
@@ -182,7 +181,7 @@ def k03_resumed_batches(spark, sf):
     o, path = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), _place(spark, "batches")
     lake.publish_batches(o.where("o_orderstatus = 'F'"), path, "o_orderstatus")
     done = lake.publish_batches(o, path, "o_orderstatus")
-    back = spark.read.option("basePath", path).parquet(f"{path}/*").groupBy(F.col("o_orderstatus").alias("batch")).agg(N)
+    back = spark.read.option("basePath", path).parquet(f"{path}/*").groupBy(F.col("o_orderstatus").alias("batch")).agg(rows_n())
     return done.join(back, "batch")
 
 
@@ -219,7 +218,7 @@ def k11_linked_outcomes(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("role"), "o_totalprice", "o_orderpriority")
     outcomes = o.where("o_orderpriority = '1-URGENT'").groupBy("k").agg(F.max("o_totalprice").alias("v"))
     old = o.select("k", "role").distinct().where("role in ('F', 'O')").join(outcomes, "k").withColumn("v", F.when(F.col("role") == "O", F.col("v") + 1).otherwise(F.col("v")))
-    return registry.link_outcomes(old, o, outcomes, "k", "role", "v").groupBy("role", "status").agg(N)
+    return registry.link_outcomes(old, o, outcomes, "k", "role", "v").groupBy("role", "status").agg(rows_n())
 
 
 @entry("K12_append_only", "select 'appended' as step, count(*)::varchar as result from orders where o_orderkey % 3 <> 1 union all select 'again', count(*)::varchar from orders where o_orderkey % 3 <> 1 union all select 'changed', 'refused'")
@@ -245,13 +244,13 @@ def k13_packed_csv(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice", "o_orderpriority")
     o.write.option("header", "true").option("compression", "gzip").csv(path)
     back = spark.read.option("header", "true").schema(o.schema).csv(path)
-    return plain(back.groupBy("o_orderpriority").agg(N, F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("day").alias("last_day")))
+    return plain(back.groupBy("o_orderpriority").agg(rows_n(), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("day").alias("last_day")))
 
 
 @entry("K14_json_report", """select o_orderpriority as name, '{"priority":"' || o_orderpriority || '","n":' || count(*) || ',"customers":' || count(distinct o_custkey) || '}' as report from orders group by 1""")
 def k14_json_report(spark, sf):
     """A report as one JSON object a line."""
-    per = table(spark, sf, "orders").groupBy("o_orderpriority").agg(N, F.countDistinct("o_custkey").alias("c"))
+    per = table(spark, sf, "orders").groupBy("o_orderpriority").agg(rows_n(), F.countDistinct("o_custkey").alias("c"))
     return per.select(F.col("o_orderpriority").alias("name"), F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), "n", F.col("c").alias("customers"))).alias("report"))
 
 

@@ -13,14 +13,13 @@ from tidemark.operators import scoring as S
 from tidemark.operators import windows as w
 from tidemark.plans import views
 from tidemark.plans.evaluation import RETURNS_SQL, SCORED_SQL, Z, returns, scored
-from tidemark.plans.registry import Registry, plain
+from tidemark.plans.registry import Registry, plain, rows_n
 from tidemark.plans.views import ACTIONS_SQL, DAILY_SQL, MONTHLY_SQL
 from tidemark.session import stored, table
 
 entry = Registry()
 QUERIES, ORACLE = entry.queries, entry.oracle
 K, O = "asset_id", "day"
-N = F.count(F.lit(1)).alias("n")
 TRAIN, TEST = "day < '1999-01-01'", "day >= '1999-01-01'"
 _DAY = "strftime(day, '%Y-%m-%d') as day"
 _TR, _TE = "day < date '1999-01-01'", "day >= date '1999-01-01'"
@@ -135,7 +134,7 @@ def m19_replayed_market(spark, sf):
     train = stored(df.where(TRAIN).select("m", "y", K), "market")
     one, two = selection.ridge(train, ["m"], "y"), selection.ridge(train.repartition(7, K), ["m"], "y")
     a, b = selection.linear(one, ["m"]), selection.linear(two, ["m"])
-    return plain(df.where(TEST).where("y is not null").agg(N, (F.max(F.abs(a - b)) <= 1e-9).alias("replayed"), F.avg(F.abs(F.col("y") - a)).alias("mae")))
+    return plain(df.where(TEST).where("y is not null").agg(rows_n(), (F.max(F.abs(a - b)) <= 1e-9).alias("replayed"), F.avg(F.abs(F.col("y") - a)).alias("mae")))
 
 
 _POOL = f"{SCORED_SQL}, t as (select * from scored where {_TR}), m as (select avg(y) my, avg(ret) ma, avg(vol) mb from t)"
@@ -163,7 +162,7 @@ def e02_anchored_folds(spark, sf):
     """Filings as groups, placed by their first evidence and purged by their last."""
     c = table(spark, sf, "evidence_claims").where("accession_number is not null and evidence_available_at is not null").select("evidence_claim_id", F.col("accession_number").alias("g"), F.to_date("evidence_available_at").alias("d")).distinct()
     out = splits.group_folds(c.withColumn("t", F.date_add("d", 5)), "g", "d", "t", 4)
-    return out.groupBy("fold", "role").agg(N, F.countDistinct("g").alias("n_groups"))
+    return out.groupBy("fold", "role").agg(rows_n(), F.countDistinct("g").alias("n_groups"))
 
 
 _FOLDS = "d as (select distinct day from rets where target_day is not null), c as (select day, ntile(5) over (order by day) fold from d), f as (select fold, min(day) a, max(day) b from c group by 1 having fold > 1)"
@@ -181,7 +180,7 @@ def e04_expanding_predictions(spark, sf):
     select case when day >= a then 'inner_test' when target_day < a then 'inner_train' else 'purged' end as role, count(*) n from t, c group by 1""")
 def e05_inner_split(spark, sf):
     df = returns(spark, sf).where(TRAIN).where("target_day is not null")
-    return splits.inner_split(df, O, 5, "target_day").groupBy("role").agg(N)
+    return splits.inner_split(df, O, 5, "target_day").groupBy("role").agg(rows_n())
 
 
 @entry("E09_fold_plan", f"""with {RETURNS_SQL}, {_FOLDS} select fold, count(*) filter (target_day < a) n_train, count(*) filter (day between a and b and y is not null) n_test, count(*) filter (day between a and b and y is null) n_censored, count(distinct case when day between a and b then asset_id end) n_assets from rets, f group by 1""")
@@ -238,7 +237,7 @@ def e21_group_deltas(spark, sf):
     """The same differences by several groupings at once."""
     df = scored(spark, sf).withColumn("delta", F.abs(F.col("y")) - F.abs(F.col("y") - F.col("p")))
     by = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("name")) for k, c in (("sector", F.col("sector")), ("year", F.year(O)))])
-    return plain(df.select("delta", F.inline(by)).groupBy("kind", "name").agg(N, F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("n_better")))
+    return plain(df.select("delta", F.inline(by)).groupBy("kind", "name").agg(rows_n(), F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("n_better")))
 
 
 @entry("E23_settled", f"with {SCORED_SQL} select case when target_day is null then 'open' when target_day > date '2000-06-01' then 'open' else 'settled' end status, count(*) n, round(avg(case when target_day <= date '2000-06-01' then abs(y - p) end), 6) mae from scored where day <= date '2000-06-01' group by 1")
@@ -246,7 +245,7 @@ def e23_settled(spark, sf):
     """Forecasts made by a day, and those of them whose outcome was known by then, with their error."""
     df = scored(spark, sf).where("day <= '2000-06-01'")
     done = F.coalesce(F.col("target_day") <= F.lit("2000-06-01").cast("date"), F.lit(False))
-    return plain(df.groupBy(F.when(done, "settled").otherwise("open").alias("status")).agg(N, F.avg(F.when(done, F.abs(F.col("y") - F.col("p")))).alias("mae")))
+    return plain(df.groupBy(F.when(done, "settled").otherwise("open").alias("status")).agg(rows_n(), F.avg(F.when(done, F.abs(F.col("y") - F.col("p")))).alias("mae")))
 
 
 @entry("E27_dependence", f"with {SCORED_SQL}, d as (select day, count(*) n from scored group by 1), s as (select n, lag(n) over (order by day) b from d) select (select count(*) from scored) n_rows, (select count(*) from d) n_days, (select count(distinct asset_id) from scored) n_assets, round((select avg(n) from d), 6) rows_a_day, round((select max(n) from d) / (select count(*) from scored), 6) largest_share")
@@ -309,7 +308,7 @@ def x04_policies(spark, sf):
     policies = {"strict": Policy("availability_is_point_in_time = 1", lambda df: df.where("edge_ready = 1"), "evidence_char_end > evidence_char_start"), "wide": Policy("evidence_available_at is not null", lambda df: df, "evidence_char_end > evidence_char_start")}
     c, out = table(spark, sf, "evidence_claims").distinct(), None
     for name, p in policies.items():
-        one = p.prepare(c.where(p.evidence)).agg(N, F.count_if(~F.expr(p.rule)).alias("n_off")).select(F.lit(name).alias("policy"), "n", "n_off")
+        one = p.prepare(c.where(p.evidence)).agg(rows_n(), F.count_if(~F.expr(p.rule)).alias("n_off")).select(F.lit(name).alias("policy"), "n", "n_off")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -319,4 +318,4 @@ def x04_policies(spark, sf):
 def q09_horizon_review(spark, sf):
     """Support and middle of every horizon's outcomes."""
     labels = panel.forward_labels(views.daily(spark, sf), views.actions(spark, sf), (1, 10))
-    return labels.groupBy("horizon").agg(N, F.count("ret").alias("n_with_future"), F.round(F.percentile("ret", F.lit(0.5)), 4).alias("middle"))
+    return labels.groupBy("horizon").agg(rows_n(), F.count("ret").alias("n_with_future"), F.round(F.percentile("ret", F.lit(0.5)), 4).alias("middle"))

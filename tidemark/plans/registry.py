@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Query = Callable[..., DataFrame]
@@ -27,8 +27,13 @@ class Registry:
         return add
 
 
-def plain(df: DataFrame) -> DataFrame:
-    """Days as text, timestamps as epoch microseconds, and doubles rounded to six places."""
+def rows_n() -> Column:
+    """The number of rows, as ``n``."""
+    return F.count(F.lit(1)).alias("n")
+
+
+def plain(df: DataFrame, places: int = 6) -> DataFrame:
+    """Days as text, timestamps as epoch microseconds, and doubles rounded; prices have up to seven places, so eight leave no ties."""
     kinds = dict(df.dtypes)
-    made = {"date": lambda c: F.col(c).cast("string"), "double": lambda c: F.round(c, 6), "timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(F.col(c).cast("timestamp"))}
+    made = {"date": lambda c: F.col(c).cast("string"), "double": lambda c: F.round(c, places), "timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(F.col(c).cast("timestamp"))}
     return df.select(*[made.get(kinds[c], F.col)(c).alias(c) for c in df.columns])

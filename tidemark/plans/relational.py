@@ -11,14 +11,13 @@ from tidemark.operators import audit, graph, lake, panel
 from tidemark.operators import distribution as D
 from tidemark.operators import windows as w
 from tidemark.plans import views
-from tidemark.plans.registry import Registry, plain
+from tidemark.plans.registry import Registry, plain, rows_n
 from tidemark.plans.views import DAILY_SQL, MONTHLY_SQL, OBS_SQL
 from tidemark.session import require_columns, table
 
 entry = Registry()
 QUERIES, ORACLE = entry.queries, entry.oracle
 K, O = "asset_id", "day"
-N = F.count(F.lit(1)).alias("n")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -72,7 +71,7 @@ _MIN = f"(hour({_LOCAL}) * 60 + minute({_LOCAL}))"
     when {_MIN} >= 960 and {_MIN} < 1200 then 'AFTERHOURS' else 'OUTSIDE' end as session, count(*) n from events group by 1""")
 def p12_session_class(spark, sf):
     local = F.from_utc_timestamp("ts", "America/New_York")
-    return views.events(spark, sf).groupBy(lake.session_class(local).alias("session")).agg(N)
+    return views.events(spark, sf).groupBy(lake.session_class(local).alias("session")).agg(rows_n())
 
 
 @entry("P18_in_list", "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING' and c_acctbal > 9000)")
@@ -84,7 +83,7 @@ def p18_in_list(spark, sf):
 
 @entry("P19_drop_nulls", "select sector, count(*) n from temporal_origins where ticker is not null and sector is not null and asset_id is not null group by 1")
 def p19_drop_nulls(spark, sf):
-    return table(spark, sf, "temporal_origins").dropna(subset=["ticker", "sector", "asset_id"]).groupBy("sector").agg(N)
+    return table(spark, sf, "temporal_origins").dropna(subset=["ticker", "sector", "asset_id"]).groupBy("sector").agg(rows_n())
 
 
 @entry("P21_monotone_levels", f"""with {OBS_SQL}, q as (select asset_id, quantile_cont(price, 0.05) a, quantile_cont(price, 0.5) b, quantile_cont(price, 0.95) c, avg((price > 1500)::int) p from obs group by 1)
@@ -98,14 +97,14 @@ def p21_monotone_levels(spark, sf):
 
 @entry("P22_default_category", "select coalesce(nullif(trim(sector), ''), 'unknown') sector, count(*) n from temporal_origins group by 1")
 def p22_default_category(spark, sf):
-    return table(spark, sf, "temporal_origins").groupBy(F.coalesce(F.nullif(F.trim("sector"), F.lit("")), F.lit("unknown")).alias("sector")).agg(N)
+    return table(spark, sf, "temporal_origins").groupBy(F.coalesce(F.nullif(F.trim("sector"), F.lit("")), F.lit("unknown")).alias("sector")).agg(rows_n())
 
 
 @entry("P26_prefix_patterns", """select case when regexp_matches(title, '^[0-9]') then 0 else 1 end numeric_first, source ilike 'wire_%' as is_wire, count(*) n, min(title) as first_title
     from documents where source not like 'data%' and title is not null group by 1, 2""")
 def p26_prefix_patterns(spark, sf):
     docs = table(spark, sf, "documents").where("source not like 'data%' and title is not null")
-    return docs.groupBy(F.when(F.col("title").rlike("^[0-9]"), 0).otherwise(1).alias("numeric_first"), F.col("source").ilike("wire_%").alias("is_wire")).agg(N, F.min("title").alias("first_title"))
+    return docs.groupBy(F.when(F.col("title").rlike("^[0-9]"), 0).otherwise(1).alias("numeric_first"), F.col("source").ilike("wire_%").alias("is_wire")).agg(rows_n(), F.min("title").alias("first_title"))
 
 
 @entry("P27_between", "select claim_kind, count(*) n from evidence_claims where evidence_available_at::date between date '2022-01-01' and date '2022-12-31' and evidence_char_end - evidence_char_start between 20 and 60 group by 1")
@@ -113,7 +112,7 @@ def p27_between(spark, sf):
     """Both ends belong to the range; the day is compared on the stored time, so the scan can skip."""
     c = table(spark, sf, "evidence_claims")
     inside = F.col("evidence_available_at").between(F.lit("2022-01-01").cast("timestamp_ntz"), F.lit("2022-12-31 23:59:59.999999").cast("timestamp_ntz"))
-    return c.where(inside & (F.col("evidence_char_end") - F.col("evidence_char_start")).between(20, 60)).groupBy("claim_kind").agg(N)
+    return c.where(inside & (F.col("evidence_char_end") - F.col("evidence_char_start")).between(20, 60)).groupBy("claim_kind").agg(rows_n())
 
 
 # joins
@@ -124,7 +123,7 @@ def p27_between(spark, sf):
 def j01_inner_equi(spark, sf):
     keys = ["conflict_bucket_id", "conflict_group_id", "identity_bucket_id"]
     b = table(spark, sf, "identity_conflict_buckets").select(*keys).distinct()
-    return table(spark, sf, "identity_conflict_evidence").distinct().join(b, keys).groupBy("schema_family").agg(N)
+    return table(spark, sf, "identity_conflict_evidence").distinct().join(b, keys).groupBy("schema_family").agg(rows_n())
 
 
 @entry("J02_left_classified", """select case when c.registrant_ticker is null then 'no_key' when s.symbol is null then 'unmatched' else 'matched' end as status, count(*) n
@@ -132,19 +131,19 @@ def j01_inner_equi(spark, sf):
 def j02_left_classified(spark, sf):
     s = table(spark, sf, "global_reference_observations").select(F.col("symbol").alias("registrant_ticker"), F.lit(1).alias("_s")).distinct()
     status = F.when(F.col("registrant_ticker").isNull(), "no_key").when(F.col("_s").isNull(), "unmatched").otherwise("matched")
-    return table(spark, sf, "evidence_claims").join(s, "registrant_ticker", "left").groupBy(status.alias("status")).agg(N)
+    return table(spark, sf, "evidence_claims").join(s, "registrant_ticker", "left").groupBy(status.alias("status")).agg(rows_n())
 
 
 @entry("J04_semi", "select count(*) n, count(distinct asset_id) n_assets from temporal_origins where asset_id in (select registrant_asset_id from evidence_claims)")
 def j04_semi(spark, sf):
     claimed = table(spark, sf, "evidence_claims").select(F.col("registrant_asset_id").alias("asset_id"))
-    return table(spark, sf, "temporal_origins").join(claimed, "asset_id", "left_semi").agg(N, F.countDistinct("asset_id").alias("n_assets"))
+    return table(spark, sf, "temporal_origins").join(claimed, "asset_id", "left_semi").agg(rows_n(), F.countDistinct("asset_id").alias("n_assets"))
 
 
 @entry("J05_anti", "select count(*) n, count(distinct asset_id) n_assets from temporal_origins o where not exists (select 1 from evidence_claims c where c.registrant_asset_id = o.asset_id)")
 def j05_anti(spark, sf):
     claimed = table(spark, sf, "evidence_claims").select(F.col("registrant_asset_id").alias("asset_id"))
-    return table(spark, sf, "temporal_origins").join(claimed, "asset_id", "left_anti").agg(N, F.countDistinct("asset_id").alias("n_assets"))
+    return table(spark, sf, "temporal_origins").join(claimed, "asset_id", "left_anti").agg(rows_n(), F.countDistinct("asset_id").alias("n_assets"))
 
 
 @entry("J19_pairs_in_group", """with b as (select distinct * from identity_conflict_buckets) select x.conflict_group_id, count(*) n_pairs, count(*) filter (x.normalized_jurisdiction = y.normalized_jurisdiction) n_same
@@ -152,7 +151,7 @@ def j05_anti(spark, sf):
 def j19_pairs_in_group(spark, sf):
     """Unordered pairs, counted without being made: all of them, and those that agree."""
     b = table(spark, sf, "identity_conflict_buckets").distinct()
-    per = b.groupBy("conflict_group_id", "normalized_jurisdiction").agg(N)
+    per = b.groupBy("conflict_group_id", "normalized_jurisdiction").agg(rows_n())
     half = lambda c: c * (c - 1) / 2
     same = F.coalesce(F.sum(F.when(F.col("normalized_jurisdiction").isNotNull(), half(F.col("n")))), F.lit(0.0))
     out = per.groupBy("conflict_group_id").agg(half(F.sum("n")).cast("long").alias("n_pairs"), same.cast("long").alias("n_same"))
@@ -164,7 +163,7 @@ def j19_pairs_in_group(spark, sf):
 def j20_symmetric_adjacency(spark, sf):
     e = table(spark, sf, "relation_name_candidates").select(F.col("source_entity_id").alias("a"), F.col("resolved_target_entity_id").alias("b")).where("a <> b").distinct()
     both = e.select(F.inline(F.array(F.struct(F.col("a").alias("entity"), F.col("b").alias("other"), F.lit(0).alias("inc")), F.struct(F.col("b").alias("entity"), F.col("a").alias("other"), F.lit(1).alias("inc")))))
-    return both.groupBy("entity").agg(N, F.countDistinct("other").alias("n_others"), F.sum("inc").alias("n_incoming"))
+    return both.groupBy("entity").agg(rows_n(), F.countDistinct("other").alias("n_others"), F.sum("inc").alias("n_incoming"))
 
 
 @entry("J21_global_fallback", """with g as (select sector, avg(raw_close_origin) m, count(*) n from temporal_origins where sector is not null group by 1 having count(*) >= 20),
@@ -188,7 +187,7 @@ def j26_lineage(spark, sf):
     li = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     df = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     df = df.join(cus, F.col("o_custkey") == F.col("c_custkey"), "left").join(t("part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    return df.groupBy("supplier_region", "customer_region").agg(N, F.count("o_orderkey").alias("n_orders"), F.count("c_custkey").alias("n_customers"))
+    return df.groupBy("supplier_region", "customer_region").agg(rows_n(), F.count("o_orderkey").alias("n_orders"), F.count("c_custkey").alias("n_customers"))
 
 
 @entry("J28_first_flag", """select o_orderkey, coalesce((select arg_min((l_returnflag = 'R')::int, (l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) from lineitem where l_orderkey = o_orderkey), 0) first_returned from orders""")
@@ -204,7 +203,7 @@ def j29_day_donor(spark, sf):
     """Every row gets another row's value of its day; each value is given once."""
     df = D.day_donor(views.monthly(spark, sf), O, K, "volume", 3).where("donor is not null")
     named = D.day_donor(views.monthly(spark, sf), O, K, K, 3).select(K, O, F.col("donor").alias("giver"))
-    return plain(df.join(named, [K, O]).groupBy(O).agg(N, F.count_if(F.col("giver") == F.col(K)).alias("n_own"), F.sum("donor").alias("total")))
+    return plain(df.join(named, [K, O]).groupBy(O).agg(rows_n(), F.count_if(F.col("giver") == F.col(K)).alias("n_own"), F.sum("donor").alias("total")))
 
 
 @entry("J30_reassembly", f"with {MONTHLY_SQL}, {_SECTORS} select asset_id, {_DAYTEXT}, round(ret, 6) total from s where ret is not null")
@@ -263,7 +262,7 @@ def a11_median(spark, sf):
 def a14_any_value(spark, sf):
     """A value of the group where all are the same; the smallest, so that it is the same one every time."""
     c = table(spark, sf, "evidence_claims").where("registrant_entity_id is not null")
-    return c.groupBy("registrant_entity_id").agg(F.min("registrant_ticker").alias("ticker"), N, F.countDistinct("registrant_ticker").alias("d")).where("d <= 1").drop("d")
+    return c.groupBy("registrant_entity_id").agg(F.min("registrant_ticker").alias("ticker"), rows_n(), F.countDistinct("registrant_ticker").alias("d")).where("d <= 1").drop("d")
 
 
 @entry("A15_group_by_all", "select c_mktsegment, c_nationkey % 5 as zone, count(*) n, round(sum(c_acctbal), 2) balance from customer group by all")
@@ -287,7 +286,7 @@ def a20_named_aggregates(spark, sf):
     union all select * from (select 'lang', lang, count(*) n from documents group by 2 order by n desc, 2 nulls first limit 5)""")
 def a21_most_common(spark, sf):
     docs = table(spark, sf, "documents")
-    return _union([docs.groupBy(F.lit(c).alias("field"), F.col(c).alias("value")).agg(N).orderBy(F.col("n").desc(), F.col("value").asc_nulls_first()).limit(5) for c in ("source", "lang")])
+    return _union([docs.groupBy(F.lit(c).alias("field"), F.col(c).alias("value")).agg(rows_n()).orderBy(F.col("n").desc(), F.col("value").asc_nulls_first()).limit(5) for c in ("source", "lang")])
 
 
 _LOO = "with {m}, a as (select *, count(volume) over (partition by day) - 1 n, sum(volume) over (partition by day) - volume s, sum(volume * volume) over (partition by day) - volume * volume q, sum((volume > 40)::int) over (partition by day) - (volume > 40)::int u from monthly)".format(m=MONTHLY_SQL)
@@ -315,7 +314,7 @@ def a30_hit_rates(spark, sf):
     df = views.monthly(spark, sf)
     q = df.where("day < '1999-01-01'").groupBy(K).agg(F.percentile("volume", F.lit(0.25)).alias("a"), F.percentile("volume", F.lit(0.75)).alias("b"))
     hit = lambda c: F.avg((F.col("volume") <= F.col(c)).cast("double"))
-    out = df.where("day >= '1999-01-01'").join(q, K).groupBy("sector").agg(hit("a").alias("hit_25"), hit("b").alias("hit_75"), N)
+    out = df.where("day >= '1999-01-01'").join(q, K).groupBy("sector").agg(hit("a").alias("hit_25"), hit("b").alias("hit_75"), rows_n())
     return plain(out.withColumn("calibration_error", (F.abs(F.col("hit_25") - 0.25) + F.abs(F.col("hit_75") - 0.75)) / 2))
 
 
@@ -338,7 +337,7 @@ def w04_history_counter(spark, sf):
     select strftime(trading_day, '%Y-%m-%d') trading_day, count(*) n, count(*) filter (h >= 40) n_ready from n group by n.trading_day""")
 def w05_ready_per_day(spark, sf):
     d = table(spark, sf, "temporal_price_points").select("asset_id", "trading_day").distinct().withColumn("h", F.row_number().over(w.ordered("asset_id", "trading_day")))
-    return plain(d.groupBy("trading_day").agg(N, F.count_if(F.col("h") >= 40).alias("n_ready")))
+    return plain(d.groupBy("trading_day").agg(rows_n(), F.count_if(F.col("h") >= 40).alias("n_ready")))
 
 
 @entry("W06_lag_returns", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, " + ", ".join(f"round(100 * (close / nullif({_LAG.format(v='close', n=n)}, 0) - 1), 6) ret_{n}" for n in (1, 3, 12)).replace("order by day", "order by monthly.day") + " from monthly")
@@ -346,10 +345,10 @@ def w06_lag_returns(spark, sf):
     return plain(views.monthly(spark, sf).select(K, O, *[w.lag_return("close", n, K, O).alias(f"ret_{n}") for n in (1, 3, 12)]))
 
 
-@entry("W07_lag_gap", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, round(high - lag(low) over (partition by asset_id order by monthly.day), 6) gap, datediff('day', lag(monthly.day) over (partition by asset_id order by monthly.day), monthly.day) as n_days from monthly")
+@entry("W07_lag_gap", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, round(high - lag(low) over (partition by asset_id order by monthly.day), 8) gap, datediff('day', lag(monthly.day) over (partition by asset_id order by monthly.day), monthly.day) as n_days from monthly")
 def w07_lag_gap(spark, sf):
     o = w.ordered(K, O)
-    return plain(views.monthly(spark, sf).select(K, O, (F.col("high") - F.lag("low").over(o)).alias("gap"), F.datediff(O, F.lag(O).over(o)).cast("long").alias("n_days")))
+    return plain(views.monthly(spark, sf).select(K, O, (F.col("high") - F.lag("low").over(o)).alias("gap"), F.datediff(O, F.lag(O).over(o)).cast("long").alias("n_days")), 8)
 
 
 @entry("W08_rolling_deviation", f"with {DAILY_SQL}, a as (select *, 100 * (close / nullif({_LAG.format(v='close', n=1)}, 0) - 1) r from daily) select asset_id, {_DAYTEXT}, round({_sql_roll('stddev_pop', 'r', 5)}, 6) vol_5, round({_sql_roll('stddev_pop', 'r', 20)}, 6) vol_20 from a".replace("order by day rows", "order by a.day rows"))
@@ -408,16 +407,16 @@ def w23_cross_section(spark, sf):
 _NEXT6 = "over (partition by asset_id order by monthly.day rows between 1 following and 6 following)"
 
 
-@entry("W24_forward_window", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, case when count(close) {_NEXT6} = 6 then round(max(close) {_NEXT6}, 6) end highest, case when count(close) {_NEXT6} = 6 then round(min(close) {_NEXT6}, 6) end lowest, case when count(close) {_NEXT6} = 6 then round(stddev_pop(close) {_NEXT6}, 6) end spread from monthly")
+@entry("W24_forward_window", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, case when count(close) {_NEXT6} = 6 then round(max(close) {_NEXT6}, 8) end highest, case when count(close) {_NEXT6} = 6 then round(min(close) {_NEXT6}, 8) end lowest, case when count(close) {_NEXT6} = 6 then round(stddev_pop(close) {_NEXT6}, 8) end spread from monthly")
 def w24_forward_window(spark, sf):
     df = views.monthly(spark, sf)
-    return plain(df.select(K, O, *[w.forward(fn, "close", 6, K, O).alias(n) for fn, n in ((F.max, "highest"), (F.min, "lowest"), (F.stddev_pop, "spread"))]))
+    return plain(df.select(K, O, *[w.forward(fn, "close", 6, K, O).alias(n) for fn, n in ((F.max, "highest"), (F.min, "lowest"), (F.stddev_pop, "spread"))]), 8)
 
 
-@entry("W25_forward_lead", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, round(lead(close, 3) over a, 6) target, strftime(lead(monthly.day, 3) over a, '%Y-%m-%d') target_day from monthly window a as (partition by asset_id order by monthly.day)")
+@entry("W25_forward_lead", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, round(lead(close, 3) over a, 8) target, strftime(lead(monthly.day, 3) over a, '%Y-%m-%d') target_day from monthly window a as (partition by asset_id order by monthly.day)")
 def w25_forward_lead(spark, sf):
     o = w.ordered(K, O)
-    return plain(views.monthly(spark, sf).select(K, O, F.lead("close", 3).over(o).alias("target"), F.lead(O, 3).over(o).alias("target_day")))
+    return plain(views.monthly(spark, sf).select(K, O, F.lead("close", 3).over(o).alias("target"), F.lead(O, 3).over(o).alias("target_day")), 8)
 
 
 @entry("W26_prefix_sums", f"with {DAILY_SQL}, a as (select asset_id, day, sum(volume) over (partition by asset_id order by day rows between 1 following and 15 following) v, count(*) over (partition by asset_id order by day rows between 1 following and 15 following) c from daily) select asset_id, {_DAYTEXT}, round(v, 6) next_15 from a where c = 15")
@@ -464,7 +463,7 @@ def o01_stable_order(spark, sf):
 @entry("O05_due_budget", """select symbol, n from (select symbol, count(*) n, max(observed_at) last from global_reference_observations group by 1) where last < timestamp '2024-06-01' order by n desc, last, symbol limit 25""")
 def o05_due_budget(spark, sf):
     """What is due, by weight, then age, then name, up to a budget."""
-    per = table(spark, sf, "global_reference_observations").groupBy("symbol").agg(N, F.max("observed_at").alias("last"))
+    per = table(spark, sf, "global_reference_observations").groupBy("symbol").agg(rows_n(), F.max("observed_at").alias("last"))
     return per.where("last < timestamp_ntz '2024-06-01'").orderBy(F.col("n").desc(), "last", "symbol").limit(25).select("symbol", "n")
 
 
@@ -527,7 +526,7 @@ def u04_set_equality(spark, sf):
 @entry("U07_coverage_matrix", """with s as (select asset_id, origin_trading_day as day, count(*) n from (select distinct * from temporal_origins) where asset_id is not null group by 1, 2), p as (select distinct asset_id, trading_day as day from temporal_price_points)
     select year(s.day) as year, count(p.day) days_matched, count(*) - count(p.day) days_unmatched, coalesce(sum(n) filter (p.day is not null), 0)::bigint states_matched, sum(n)::bigint states from s left join p using (asset_id, day) group by 1""")
 def u07_coverage_matrix(spark, sf):
-    s = table(spark, sf, "temporal_origins").distinct().where("asset_id is not null").groupBy("asset_id", F.col("origin_trading_day").alias("day")).agg(N)
+    s = table(spark, sf, "temporal_origins").distinct().where("asset_id is not null").groupBy("asset_id", F.col("origin_trading_day").alias("day")).agg(rows_n())
     p = table(spark, sf, "temporal_price_points").select("asset_id", F.col("trading_day").alias("day"), F.lit(1).alias("p")).distinct()
     joined = s.join(p, ["asset_id", "day"], "left")
     return joined.groupBy(F.year("day").cast("long").alias("year")).agg(

@@ -10,14 +10,13 @@ from tidemark.operators import documents
 from tidemark.operators import distribution as D
 from tidemark.operators.windows import ordered
 from tidemark.plans import views
-from tidemark.plans.registry import Registry, plain
+from tidemark.plans.registry import Registry, plain, rows_n
 from tidemark.plans.views import MONTHLY_SQL
 from tidemark.session import table
 
 entry = Registry()
 QUERIES, ORACLE = entry.queries, entry.oracle
 K, O = "asset_id", "day"
-N = F.count(F.lit(1)).alias("n")
 _NORM = "trim(regexp_replace(lower(trim({c})), '[^a-z0-9]+', ' ', 'g'))"
 _WORDS = f"w as (select doc_id, asset_id, list_filter(string_split({_NORM.format(c="coalesce(text, '')")}, ' '), lambda x: x <> '') ws from documents)"
 _SH = "sh as (select *, case when len(ws) = 0 then []::varchar[] else list_sort(list_distinct(list_transform(range(0, greatest(len(ws) - 5, 0) + 1), lambda i: substring(sha256(array_to_string(ws[i + 1:i + 5], ' ')), 1, 16)))) end s from w)"
@@ -50,14 +49,14 @@ def f05_canonical_url(spark, sf):
 
 @entry("F06_domain", "select regexp_extract(lower(source_url), '^https?://(?:www\\.)?([^/:?#]+)', 1) as domain, count(*) n from evidence_claims where source_url is not null group by 1")
 def f06_domain(spark, sf):
-    return table(spark, sf, "evidence_claims").where("source_url is not null").groupBy(T.domain("source_url").alias("domain")).agg(N)
+    return table(spark, sf, "evidence_claims").where("source_url is not null").groupBy(T.domain("source_url").alias("domain")).agg(rows_n())
 
 
 @entry("F08_name_key", """select name_key, count(*) n from (select regexp_replace(trim(regexp_replace(translate(legal_name_raw, chr(160) || '‘’“”', ' ''''""'), '\\s+', ' ', 'g')), '^[\\s.,;:]+|[\\s.,;:]+$', '', 'g') k, lower(k) name_key from identity_conflict_evidence where legal_name_raw is not null and ascii(legal_name_raw) > 0 and not regexp_matches(legal_name_raw, '[^\\x00-\\x7F]')) group by 1""")
 def f08_name_key(spark, sf):
     """Names as keys; held against SQL for those in ASCII, whose lower case is the same everywhere."""
     e = table(spark, sf, "identity_conflict_evidence").where("legal_name_raw is not null and legal_name_raw <> ''").where(~F.col("legal_name_raw").rlike(r"[^\x00-\x7F]"))
-    return e.groupBy(T.name_key("legal_name_raw").alias("name_key")).agg(N)
+    return e.groupBy(T.name_key("legal_name_raw").alias("name_key")).agg(rows_n())
 
 
 @entry("F09_legal_form", """with v as (select * from (values ('Alpha Mining LLC', 'llc', 'alpha mining'), ('Beta Foods, Inc.', 'inc', 'beta foods'), ('Gamma Proprietary Limited', 'pty', 'gamma'), ('Delta Limited Liability Company', 'llc', 'delta'), ('Incorporated', null, 'incorporated'), ('Omega', null, 'omega')) t(n, family, stem))
@@ -67,7 +66,7 @@ def f09_legal_form(spark, sf):
     name = F.get(F.array(*[F.lit(x) for x in names]), (F.col("c_custkey") % 6).cast("int"))
     got = T.legal_form(name)
     df = table(spark, sf, "customer").select((F.col("c_custkey") % 6).alias("which"), got.alias("f"), (F.col("c_custkey") % 3).cast("string").alias("k"))
-    return df.groupBy("which", F.col("f.family").alias("family"), F.concat_ws(" ", "f.stem", "k").alias("stem")).agg(N)
+    return df.groupBy("which", F.col("f.family").alias("family"), F.concat_ws(" ", "f.stem", "k").alias("stem")).agg(rows_n())
 
 
 @entry("F12_simhash", f"""with {_WORDS}, {_SH}, h as (select doc_id, unnest(s) x from sh), v as (select doc_id, ('0x' || x)::ubigint v from h),
@@ -106,7 +105,7 @@ def f14_item_lists(spark, sf):
 def f15_taxonomy(spark, sf):
     kinds = {"annual_report": "periodic", "proxy_statement": "governance", "current_report": "event", "material_contract": "contract", "subsidiary_exhibit": "structure"}
     named = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return table(spark, sf, "evidence_claims").groupBy(F.coalesce(F.try_element_at(named, F.col("document_class")), F.lit("other")).alias("kind")).agg(N)
+    return table(spark, sf, "evidence_claims").groupBy(F.coalesce(F.try_element_at(named, F.col("document_class")), F.lit("other")).alias("kind")).agg(rows_n())
 
 
 @entry("F16_text_basics", "select n_nationkey, upper(substring(n_name, 1, 3)) || '-' || lower(n_name) || '-' || length(n_name) as a, replace(trim('  ' || n_name || ' '), '_', ' ') as b from nation")
@@ -140,7 +139,7 @@ def f21_times_compared(spark, sf):
     c = table(spark, sf, "evidence_claims").where("evidence_available_at is not null")
     text = F.concat(F.date_format(F.col("evidence_available_at") + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
     after = T.as_timestamp(text) >= T.as_timestamp(F.lit("2023-01-01T00:00:00-05:00"))
-    return c.groupBy("claim_kind").agg(F.count_if(after).alias("n_after"), N)
+    return c.groupBy("claim_kind").agg(F.count_if(after).alias("n_after"), rows_n())
 
 
 @entry("F22_time_parts", "select event_id, year(ts) y, isodow(ts) dow, hour(ts) h, minute(ts) m, strftime(ts::date, '%Y-%m-%d') as day, weekofyear(ts) as week from events")
@@ -167,7 +166,7 @@ def f24_ages(spark, sf):
 @entry("F25_blocks", "select epoch_us(ts) // 900000000 * 900000000 block_us, count(*) n from events group by 1")
 def f25_blocks(spark, sf):
     us = F.unix_micros("ts")
-    return views.events(spark, sf).groupBy((us - F.pmod(us, F.lit(900_000_000))).alias("block_us")).agg(N)
+    return views.events(spark, sf).groupBy((us - F.pmod(us, F.lit(900_000_000))).alias("block_us")).agg(rows_n())
 
 
 @entry("F27_precision", """with d as (select doc_id, case when available_at is null then null when doc_id % 3 = 0 then strftime(available_at, '%Y-%m-%d') when doc_id % 3 = 1 then strftime(available_at, '%Y-%m-%dT%H:%M:%S') else strftime(available_at, '%Y-%m-%dT%H:%M:%S') || 'Z' end t from documents)
@@ -178,7 +177,7 @@ def f27_precision(spark, sf):
     third = F.col("doc_id") % 3
     t = F.when(third == 0, at("yyyy-MM-dd")).when(third == 1, at("yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
     kind = F.when(t.isNull(), "missing").when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date_only").when(T.zone_aware(t), "timestamp_utc").otherwise("timestamp_naive")
-    return table(spark, sf, "documents").groupBy(kind.alias("precision")).agg(N)
+    return table(spark, sf, "documents").groupBy(kind.alias("precision")).agg(rows_n())
 
 
 @entry("F28_arithmetic", "select event_id, round(abs(value - 20), 6) a, sign(value - 20)::double b, round(sqrt(value), 6) c, greatest(value, 15.0) d, least(value, 15.0) e, round(ln(1 + value), 6) f, round(exp(value / 100) - 1, 6) g, round(power(value, 0.5) + log10(1 + value), 6) h, round(greatest(0, least(1, (value - 10) / 20)), 6) i from events where value >= 0")
@@ -205,12 +204,12 @@ def f31_safe_division(spark, sf):
     return plain(obs.groupBy(K).agg(F.sum("volume").alias("v"), F.try_divide(F.sum("price"), F.sum(F.when(F.col("checked") == 1, F.col("volume")).otherwise(0.0))).alias("ratio")))
 
 
-@entry("F33_row_order", f"with {MONTHLY_SQL} select asset_id, strftime(monthly.day, '%Y-%m-%d') as day, round(list_sort([low, close, high, volume])[1], 6) least, round(list_sort([low, close, high, volume])[4], 6) as most, (low > close or close > high or high > volume)::int crossed from monthly")
+@entry("F33_row_order", f"with {MONTHLY_SQL} select asset_id, strftime(monthly.day, '%Y-%m-%d') as day, round(list_sort([low, close, high, volume])[1], 8) least, round(list_sort([low, close, high, volume])[4], 8) as most, (low > close or close > high or high > volume)::int crossed from monthly")
 def f33_row_order(spark, sf):
     names = ("low", "close", "high", "volume")
     kept = D.rearranged(names)
     df = views.monthly(spark, sf).select(K, O, D.crosses(names).cast("int").alias("crossed"), *kept)
-    return plain(df.select(K, O, F.col("low").alias("least"), F.col("volume").alias("most"), "crossed"))
+    return plain(df.select(K, O, F.col("low").alias("least"), F.col("volume").alias("most"), "crossed"), 8)
 
 
 @entry("F34_json", "select event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"type\":\"' || event_type || '\"}' as canonical, json_extract_string(props, '$.k')::bigint k from events")
@@ -223,7 +222,7 @@ def f34_json(spark, sf):
 @entry("F35_try_cast", "select try_cast(ownership_raw as double) is not null as plain_number, count(*) n from identity_conflict_evidence where ownership_raw is not null group by 1")
 def f35_try_cast(spark, sf):
     e = table(spark, sf, "identity_conflict_evidence").where("ownership_raw is not null")
-    return e.groupBy(F.col("ownership_raw").try_cast("double").isNotNull().alias("plain_number")).agg(N)
+    return e.groupBy(F.col("ownership_raw").try_cast("double").isNotNull().alias("plain_number")).agg(rows_n())
 
 
 @entry("F36_clean_numbers", "select price_observation_id, case when asset_id % 5 in (0, 1) then null else raw_close end as clean from (select distinct * from temporal_price_points)")
@@ -236,7 +235,7 @@ def f36_clean_numbers(spark, sf):
 @entry("F37_period_scope", "select case c_custkey % 5 when 0 then 'unknown' when 1 then 'quarter' when 2 then 'year' when 3 then 'provider:next_month' else 'quarter' end as scope, count(*) n from customer group by 1")
 def f37_period_scope(spark, sf):
     text = F.get(F.array(F.lit(" "), F.lit("Fiscal Quarter"), F.lit("FY2024"), F.lit("Next  month!"), F.lit("q3 2024")), (F.col("c_custkey") % 5).cast("int"))
-    return table(spark, sf, "customer").groupBy(T.period_scope(text).alias("scope")).agg(N)
+    return table(spark, sf, "customer").groupBy(T.period_scope(text).alias("scope")).agg(rows_n())
 
 
 @entry("F39_day_keys", "select upper(trim(ticker)) || '|' || strftime(origin_trading_day, '%Y%m%d') as day_key, count(distinct origin_id) n from temporal_origins where ticker is not null and origin_trading_day is not null group by 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import clocks, panel
 from tidemark.operators import windows as w
 from tidemark.plans import views
-from tidemark.plans.registry import Registry, plain
+from tidemark.plans.registry import Registry, plain, rows_n
 from tidemark.plans.views import ACTIONS_SQL, DAILY_SQL, MONTHLY_SQL, OBS_SQL
 from tidemark.session import table
 from tidemark.sources import readers
@@ -16,7 +16,6 @@ from tidemark.sources import readers
 entry = Registry()
 QUERIES, ORACLE = entry.queries, entry.oracle
 K, O = "asset_id", "day"
-N = F.count(F.lit(1)).alias("n")
 _DAY = "strftime(day, '%Y-%m-%d') as day"
 _A = "(partition by asset_id order by day)"
 
@@ -139,14 +138,14 @@ def l20_step_classes(spark, sf):
     obs = views.observations(spark, sf)
     cash = obs.where("l_returnflag = 'R' and l_discount >= 0.09").groupBy(K, O).agg((F.max("price") / 40).alias("cash"))
     df = views.daily(spark, sf).join(cash, [K, O], "left").withColumn("cash", F.coalesce("cash", F.lit(0.0))).withColumn("prev", F.lag("close").over(w.ordered(K, O)))
-    return plain(panel.step_classes(df).groupBy("step_class").agg(N, F.avg("economic").alias("mean_step")))
+    return plain(panel.step_classes(df).groupBy("step_class").agg(rows_n(), F.avg("economic").alias("mean_step")))
 
 
 @entry("L22_repaired_bars", f"""with {DAILY_SQL}, b as (select asset_id, day, close as o, close, high * case when asset_id % 3 = 0 then 0.98 else 1 end h, low * case when asset_id % 4 = 0 then 1.2 else 1 end l from daily), m as (select *, greatest(h, o, close) th, least(l, o, close) tl, greatest(greatest(h, o, close) - h, l - least(l, o, close)) mv from b),
-    r as (select *, coalesce(mv / nullif(close, 0) <= 0.05, false) ok from m) select asset_id, {_DAY}, round(case when ok then th else h end, 6) high, round(case when ok then tl else l end, 6) low, case when mv is null then 'incomplete' when mv = 0 then 'whole' when ok then 'repaired' else 'refused' end status from r""")
+    r as (select *, coalesce(mv / nullif(close, 0) <= 0.05, false) ok from m) select asset_id, {_DAY}, round(case when ok then th else h end, 8) high, round(case when ok then tl else l end, 8) low, case when mv is null then 'incomplete' when mv = 0 then 'whole' when ok then 'repaired' else 'refused' end status from r""")
 def l22_repaired_bars(spark, sf):
     df = views.daily(spark, sf).withColumn("open", F.col("close")).withColumn("high", F.col("high") * F.when(F.col(K) % 3 == 0, 0.98).otherwise(1.0)).withColumn("low", F.col("low") * F.when(F.col(K) % 4 == 0, 1.2).otherwise(1.0))
-    return plain(panel.repair_envelope(df, 0.05).select(K, O, "high", "low", "status"))
+    return plain(panel.repair_envelope(df, 0.05).select(K, O, "high", "low", "status"), 8)
 
 
 @entry("L23_ingested_observations", """with r as (select distinct observation_id id, source_id, symbol, trading_day d, version_id v, observation_sequence s from global_reference_observations), b as (select *, (s > 1)::int fresh from r),
@@ -212,7 +211,7 @@ def l29_recomputed(spark, sf):
     off = F.when(F.col(K) % 11 == 0, 0.5).when(F.col(K) % 13 == 0, 1e-10).otherwise(0.0)
     df = views.monthly(spark, sf).withColumn("truth", truth).withColumn("stored", F.col("truth") + off)
     status = F.when(F.col("truth").isNull(), "no_outcome").when(F.abs(F.col("stored") - F.col("truth")) <= 1e-8, "agrees").otherwise("differs")
-    return df.groupBy(status.alias("status")).agg(N)
+    return df.groupBy(status.alias("status")).agg(rows_n())
 
 
 @entry("L30_selection_mask", f"""with {DAILY_SQL}, {ACTIONS_SQL}, i as (select asset_id, day, row_number() over {_A} n, lead(day, 10) over {_A} t from daily), x as (select i.asset_id, i.day, count(s.day) c from i left join actions s on s.asset_id = i.asset_id and s.day > i.day and s.day <= i.t where i.t is not null group by 1, 2)
