@@ -129,6 +129,15 @@ def test_ridge_and_boosting(spark):
     assert len(forest) == 20 and all(r.q05 <= r.q50 <= r.q95 and 0 <= r.p_pos <= 1 for r in forest)
 
 
+def test_forest_parts(spark):
+    rng = np.random.default_rng(6)
+    m, a = rng.normal(size=600), rng.normal(size=600)
+    df = spark.createDataFrame([(i, float(x), float(z), float(2 * x + 3 * z)) for i, (x, z) in enumerate(zip(m, a, strict=True))], "i long, m double, a double, y double")
+    got = learners.forest_parts(df.where("i < 400"), df, ["m"], ["a"], "y", ["i"]).join(df, "i").where("i >= 400")
+    r = got.agg(*[F.avg((F.col(c) - F.col("y")) ** 2).alias(c) for c in ("market", "own", "residual")], F.var_pop("y").alias("v")).first()
+    assert r.market < r.v and r.own < 0.6 * r.v and r.residual < 0.4 * r.v
+
+
 def test_cluster_bootstrap_and_walk(spark):
     df = spark.createDataFrame([(i % 40, float(i % 7)) for i in range(400)], "c long, x double")
     means = [r["mean"] for r in scoring.cluster_bootstrap(df, "c", "x", 60, 1).collect()]

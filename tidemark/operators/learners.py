@@ -61,3 +61,25 @@ def boosted_chance(train: DataFrame, test: DataFrame, features: Sequence[str], l
     fitted = model.fit(assembler.transform(whole.select(*features, label, *([weight] if weight else []))))
     out = fitted.transform(assembler.transform(test.select(*dict.fromkeys([*keep, *features]))))
     return out.select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias("chance"))
+
+
+def forest_parts(train: DataFrame, test: DataFrame, market: Sequence[str], own: Sequence[str], y: str, keep: Sequence[str], trees: int = 12, depth: int = 4) -> DataFrame:
+    """``keep`` and the predictions ``market``, ``own``, and ``residual``: the market's plus a forest on what the market leaves.
+
+    The residual forest learns from errors on rows that the market forest has not
+    seen: each half of the training rows is predicted by a forest of the other half.
+    """
+    known = stored(train.where(F.col(y).isNotNull()).select(*dict.fromkeys([*market, *own, y])).withColumn("_half", F.pmod(F.xxhash64(*market, *own, y), F.lit(2))), "forest")
+    asked = test.select(*dict.fromkeys([*keep, *market, *own]))
+
+    def fitted(rows: DataFrame, features: Sequence[str], label: str, seed: int):  # noqa: ANN202
+        x = VectorAssembler(inputCols=list(features), outputCol="_x")
+        model = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_p").fit(x.transform(rows))
+        return lambda df, name: model.transform(x.transform(df)).withColumnRenamed("_p", name).drop("_x")
+
+    halves = [fitted(known.where(F.col("_half") != h), market, y, 1)(known.where(F.col("_half") == h), "_m") for h in (0, 1)]
+    left = stored(halves[0].unionByName(halves[1]).withColumn("_left", F.col(y) - F.col("_m")), "forest")
+    out = fitted(known, market, y, 1)(asked, "market")
+    out = fitted(known, [*market, *own], y, 2)(out, "own")
+    out = fitted(left, own, "_left", 3)(out, "_r")
+    return out.select(*keep, "market", "own", (F.col("market") + F.col("_r")).alias("residual"))

@@ -97,11 +97,10 @@ def forward_labels(bars: DataFrame, actions: DataFrame, horizons: Sequence[int])
     days without a bar count for the next bar.  Too short a future comes first.
     """
     k, o = KEY, ORDER
-    spine = bars.select(k, o).withColumn("_bar", F.lit(1)).unionByName(actions.select(k, o).withColumn("_bar", F.lit(0)))
-    per_day = spine.groupBy(k, o).agg(F.max("_bar").alias("_bar"), F.count_if(F.col("_bar") == 0).alias("_acts"))
-    cum = F.sum("_acts").over(w.ordered(k, o).rowsBetween(Window.unboundedPreceding, 0))
-    cums = per_day.withColumn("_cum", cum).where("_bar = 1").select(k, o, "_cum")
-    df = bars.join(cums, [k, o]).withColumn("_ret", w.lag_return("close", 1, k, o))
+    # actions stand among the bars, before the one of their day, until they are counted; one shuffle and one sort serve all windows
+    spine = bars.withColumn("_act", F.lit(0)).unionByName(actions.select(k, o).withColumn("_act", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy(k).orderBy(F.col(o), F.col("_act").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    df = spine.withColumn("_cum", F.sum("_act").over(upto)).where("_act = 0").drop("_act").withColumn("_ret", w.lag_return("close", 1, k, o))
     made = []
     for h in horizons:
         target = F.lead("close", h).over(w.ordered(k, o))

@@ -180,7 +180,7 @@ def m02_fallback(spark, sf):
 
 
 def m03_volatility_scaled(spark, sf):
-    df = scored(spark, sf)
+    df = stored(scored(spark, sf).select(K, O, "y", "vol"), "scored")
     return _round(D.volatility_scaled(df.where("day < '1999-01-01'"), df.where("day >= '1999-01-01'").select(K, O, "vol"), "y", "vol"))
 
 

@@ -148,6 +148,13 @@ def m20_pooled_ridge(spark, sf):
     return plain(df.where(TEST).select(K, O, selection.linear(model, ["ret", "vol"]).alias("prediction")))
 
 
+@entry("M21_forest_parts")
+def m21_forest_parts(spark, sf):
+    """Forests on the market alone, with the asset's own features, and on what the market leaves; they must beat the mean (tests)."""
+    df = scored(spark, sf).withColumn("m", F.avg("ret").over(Window.partitionBy(O)))
+    return learners.forest_parts(df.where(TRAIN), df.where(TEST), ["m"], ["ret", "vol", "p"], "y", [K, O])
+
+
 @entry("M23_penalty_family", f"""with {_POOL}, s as (select sum((ret - ma) ** 2) saa, sum((y - my) * (ret - ma)) sya from t, m), f as (select unnest([0.0, 1.0, 1000.0, 1000000.0]) pen) select round(pen, 6) penalty, round(sya / (saa + pen), 6) slope, round(my - sya / (saa + pen) * ma, 6) intercept from f, s, m""")
 def m23_penalty_family(spark, sf):
     """One regression under penalties of very different size: how much of the slope is left."""

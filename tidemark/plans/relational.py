@@ -407,16 +407,16 @@ def w23_cross_section(spark, sf):
 _NEXT6 = "over (partition by asset_id order by monthly.day rows between 1 following and 6 following)"
 
 
-@entry("W24_forward_window", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, case when count(close) {_NEXT6} = 6 then round(max(close) {_NEXT6}, 8) end highest, case when count(close) {_NEXT6} = 6 then round(min(close) {_NEXT6}, 8) end lowest, case when count(close) {_NEXT6} = 6 then round(stddev_pop(close) {_NEXT6}, 8) end spread from monthly")
+@entry("W24_forward_window", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, case when count(close) {_NEXT6} = 6 then round(max(close) {_NEXT6}, 10) end highest, case when count(close) {_NEXT6} = 6 then round(min(close) {_NEXT6}, 10) end lowest, case when count(close) {_NEXT6} = 6 then round(stddev_pop(close) {_NEXT6}, 10) end spread from monthly")
 def w24_forward_window(spark, sf):
     df = views.monthly(spark, sf)
-    return plain(df.select(K, O, *[w.forward(fn, "close", 6, K, O).alias(n) for fn, n in ((F.max, "highest"), (F.min, "lowest"), (F.stddev_pop, "spread"))]), 8)
+    return plain(df.select(K, O, *[w.forward(fn, "close", 6, K, O).alias(n) for fn, n in ((F.max, "highest"), (F.min, "lowest"), (F.stddev_pop, "spread"))]), 10)
 
 
-@entry("W25_forward_lead", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, round(lead(close, 3) over a, 8) target, strftime(lead(monthly.day, 3) over a, '%Y-%m-%d') target_day from monthly window a as (partition by asset_id order by monthly.day)")
+@entry("W25_forward_lead", f"with {MONTHLY_SQL} select asset_id, {_DAYTEXT}, round(lead(close, 3) over a, 10) target, strftime(lead(monthly.day, 3) over a, '%Y-%m-%d') target_day from monthly window a as (partition by asset_id order by monthly.day)")
 def w25_forward_lead(spark, sf):
     o = w.ordered(K, O)
-    return plain(views.monthly(spark, sf).select(K, O, F.lead("close", 3).over(o).alias("target"), F.lead(O, 3).over(o).alias("target_day")), 8)
+    return plain(views.monthly(spark, sf).select(K, O, F.lead("close", 3).over(o).alias("target"), F.lead(O, 3).over(o).alias("target_day")), 10)
 
 
 @entry("W26_prefix_sums", f"with {DAILY_SQL}, a as (select asset_id, day, sum(volume) over (partition by asset_id order by day rows between 1 following and 15 following) v, count(*) over (partition by asset_id order by day rows between 1 following and 15 following) c from daily) select asset_id, {_DAYTEXT}, round(v, 6) next_15 from a where c = 15")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import clocks, panel
+from tidemark.operators import audit, clocks, panel
 from tidemark.operators import windows as w
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, plain, rows_n
@@ -158,6 +158,16 @@ def l23_ingested_observations(spark, sf):
     return out.select("observation_id", "sequence", "kind")
 
 
+_L24 = {"excursions hold the return": "mfe >= ret and ret >= mae", "target after origin": "target_day > day", "usable has a return": "status <> 'usable' or ret is not null", "deviation not negative": "path_vol >= 0"}
+
+
+@entry("L24_outcome_rules", f"""with {DAILY_SQL}, x as (select *, lead(close, 5) over {_A} f, lead(day, 5) over {_A} t from daily) """ + " union all ".join(f"select '{n}' as rule, (select count(*) from x) n_rows, 0::bigint n_violations, 'pass' status" for n in _L24))
+def l24_outcome_rules(spark, sf):
+    """What must hold of every outcome, whatever made it."""
+    labels = panel.forward_labels(views.daily(spark, sf), views.actions(spark, sf), (5,))
+    return audit.check_rules(labels, {n: F.expr(rule) for n, rule in _L24.items()})
+
+
 @entry("L25_supervised_rows", f"""with {MONTHLY_SQL}, r as (select *, {_ret(1)} ret_1, {_ret(3)} ret_3, {_ret(12)} ret_12, lead(close) over {_A} / close - 1 y from monthly), c as (select *, ((ret_1 is not null)::int + (ret_3 is not null)::int + (ret_12 is not null)::int + 1) / 4.0 cov from r)
     select asset_id, {_DAY}, round(volume, 6) volume, round(ret_1, 6) ret_1, round(ret_3, 6) ret_3, round(ret_12, 6) ret_12, round(cov, 6) coverage, round(y, 6) y from c where cov >= 0.75 and y is not null""")
 def l25_supervised_rows(spark, sf):
