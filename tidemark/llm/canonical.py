@@ -294,9 +294,10 @@ def map_values(values: DataFrame, dictionary: Dictionary, record_id: str, field:
             cols.append(pa.array([None if d == float("inf") else d for _, d in found], pa.float64()))
             yield pa.RecordBatch.from_arrays(cols, names=["value", "code", "distance"])
 
-    # the values are small and the work on them is not: as many tasks as the session shuffles into, whatever their size
+    # the values are small and the work on them is not: as many tasks as the session shuffles into, whatever
+    # their size (by another hash than the shuffle before, or it would be taken for that one and coalesced)
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    answers = narrow.select("value").distinct().repartition(tasks, "value").mapInArrow(run, "value string, code string, distance double")
+    answers = narrow.select("value").distinct().repartition(tasks, F.xxhash64("value")).mapInArrow(run, "value string, code string, distance double")
     return narrow.join(answers, "value").select("record_id", "field_name", "value", "code", "distance")
 
 
