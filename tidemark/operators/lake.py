@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 
 #: The names of the session classes and the minutes at which they begin.
 def session_class(local: Column) -> Column:
@@ -83,6 +85,7 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), keys: Se
     that does not depend on their order.  Returns ``written`` or ``reused``.
     """
     spark = df.sparkSession
+    df = stored(df, "publish")  # looked at for keys and seal before it is written
     if keys:
         assert_unique(df, keys)
     seal = content_seal(df)
