@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import abuse, bpe, canonical, name_parts, names, packing, survivor
 
 ENCODER = bpe.Bpe.load(bpe.vocabulary_path())
+LEXICON = abuse.default_lexicon()
 
 
 @pytest.fixture(scope="module")
@@ -147,6 +148,62 @@ def test_abuse_not_found(text):
     assert LEX.score(text)[0] < abuse.THRESHOLD
 
 
+EVERYDAY = """
+Trabajamos toda la noche para cerrar el trimestre
+Il a travaillé toute la nuit sur le rapport
+Im Blut wurden erhöhte Werte gemessen
+A rope in the supply room was replaced
+Girls waiting for the school bus
+Uncensored transcript of the hearing
+waste of space in the warehouse
+La vermine attaque les silos
+The company will kill the project and cut your fees
+I hope you are well and that she gets better soon
+We will find you a solution for your margin
+They are all useful animals for the farm
+You are a great team and your useless report was not your fault
+Send notes to the trustee before Friday
+I will find you another slot tomorrow
+The bullet loan gets a bullet repayment at maturity
+Women are underrepresented on boards
+We do not expect foreigners to hold more than ten percent
+The guidance is pathetic and management should resign
+The dyke repair cost more than planned
+You can take off your jacket in the hotel room
+He was convicted of rape in 2011
+Great tits nest in the park
+He may die of cancer according to the report
+I want you to burn the CD and cut the slides
+"""
+ABUSIVE = """
+I hope your whole family suffers and dies
+You are a worthless bellend and everybody hates you
+sporca puttana, ti ammazzo
+they are all vermin and should be gassed
+I will strangle you with my own hands
+you disgusting pig
+kill yourself already
+those people are nothing but parasites
+I want to lick your wet pussy
+you can't even count to ten, moron
+she should rot in a ditch
+Du bist so ein widerlich dummes Schwein
+go back to your country filthy immigrant
+"""
+
+
+@pytest.mark.parametrize(("text", "found"), [(t, False) for t in EVERYDAY.strip().split("\n")] + [(t, True) for t in ABUSIVE.strip().split("\n")])
+def test_abuse_needs_context(text, found):
+    """Everyday words in sentences of no corpus, and abuse in words that stand in none either."""
+    assert (LEXICON.score(text)[0] >= abuse.THRESHOLD) == found
+
+
+def test_abuse_half_weights_must_be_near():
+    near = "sex with no strings"
+    assert LEXICON.score(near)[0] >= abuse.THRESHOLD
+    assert LEXICON.score("sex with " + "word " * 40 + "no strings")[0] < abuse.THRESHOLD
+
+
 def test_abuse_documents(spark):
     df = spark.createDataFrame([(1, "you moron", "s"), (2, "all fine", "s"), (3, None, None), (3, None, None)], "doc_id long, text string, source string").withColumn("peak", F.lit(0))
     got = abuse.score_documents(df, "doc_id", "text", "source")

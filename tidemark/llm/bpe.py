@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +92,13 @@ class Bpe:
 
     @classmethod
     def load(cls, path: str) -> Bpe:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)})
+        with open(path, "rb") as f:
+            return cls.of(f.read())
+
+    @classmethod
+    def of(cls, content: bytes) -> Bpe:
+        """The vocabulary in the content of its file."""
+        return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, content.splitlines())})
 
     def merged(self, data: bytes) -> list[int]:
         """Encoding by merging the best-ranked neighbours until none is left; only used on two tokens."""
@@ -169,13 +175,19 @@ class TextEncoder:
 _LOADED: dict[str, Bpe] = {}
 
 
-def loaded(path: str) -> Bpe:
+def loaded(path: str, content: bytes) -> Bpe:
     """One vocabulary a worker and path."""
     if path not in _LOADED:
-        _LOADED[path] = Bpe.load(path)
+        _LOADED[path] = Bpe.of(content)
     return _LOADED[path]
 
 
+def _shipped(docs: DataFrame, path: str) -> Broadcast:
+    """The vocabulary's file, read once by the driver and sent with the job; it is under a megabyte."""
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, ids``: token ids of every text; an empty list for an empty and for a null text.
 
@@ -183,9 +195,10 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     in Arrow batches and leave as one flat array of ids a batch.
     """
     path = path or vocabulary_path()
+    shipped = _shipped(docs, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, shipped.value)
         for batch in batches:
             # a batch may hold very long texts, so its rows leave in parts
             for lo in range(0, batch.num_rows, 512):
@@ -204,9 +217,10 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens`` of every text, zero for an empty and for a null one."""
     path = path or vocabulary_path()
+    shipped = _shipped(docs, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, shipped.value)
         for batch in batches:
             counts = [len(bpe.encode(v.as_py())) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
