@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -13,17 +12,13 @@ from pyspark.sql import types as T
 from tidemark.operators import lake, registry
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, plain, rows_n
-from tidemark.session import ensure_checkpoint_dir, table
+from tidemark.session import scratch, table
 from tidemark.sources import readers
 
 entry = Registry()
 QUERIES, ORACLE = entry.queries, entry.oracle
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _told(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "step string, result string")
 
@@ -51,7 +46,7 @@ def s03_attached_databases(spark, sf):
 @entry("S04_read_only", "select * from (values ('read', 'allowed'), ('write', 'refused')) t(step, result)")
 def s04_read_only(spark, sf):
     """An attached table can be read and not be written."""
-    folder = _place(spark, "archive")
+    folder = scratch(spark, "archive")
     table(spark, sf, "nation").write.parquet(f"{folder}/nation.parquet")
     readers.attach(spark, "archive", folder)
     out = [("read", "allowed" if spark.table("archive_nation").count() else "empty")]
@@ -66,7 +61,7 @@ def s04_read_only(spark, sf):
 @entry("S05_union_by_name", "select case when o_orderdate < timestamp '1998-01-01' then 'old' else 'new' end as part, count(*) n, count(*) filter (o_orderdate >= timestamp '1998-01-01') n_priority, count(*) filter (o_orderdate < timestamp '1998-01-01') n_status from orders group by 1")
 def s05_union_by_name(spark, sf):
     """Files of different columns, matched by name, with the file of every row."""
-    o, base = table(spark, sf, "orders"), _place(spark, "by-name")
+    o, base = table(spark, sf, "orders"), scratch(spark, "by-name")
     o.where("o_orderdate < timestamp_ntz '1998-01-01'").select("o_orderkey", "o_orderstatus").write.parquet(f"{base}/old")
     o.where("o_orderdate >= timestamp_ntz '1998-01-01'").select("o_orderpriority", "o_orderkey").write.parquet(f"{base}/new")
     df = readers.parquet_files(spark, f"{base}/old", f"{base}/new")
@@ -76,7 +71,7 @@ def s05_union_by_name(spark, sf):
 @entry("S06_partitioned_scan", "select o_orderkey from orders where year(o_orderdate) between 1996 and 1997 and o_orderstatus = 'P'")
 def s06_partitioned_scan(spark, sf):
     """Folders named by their values: the year is pruned, the status pushed down."""
-    path = _place(spark, "by-year")
+    path = scratch(spark, "by-year")
     table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("year")).repartition("year").write.partitionBy("year").parquet(path)
     return spark.read.parquet(path).where("year between 1996 and 1997 and o_orderstatus = 'P'").select("o_orderkey")
 
@@ -91,7 +86,7 @@ def s07_missing_columns(spark, sf):
     from orders where o_orderdate >= timestamp '1997-03-01' and o_orderdate < timestamp '1997-04-01'""")
 def s08_csv_window(spark, sf):
     """A CSV whose header bears another name; numbers are only read inside the window, and unreadable ones told."""
-    path, o = _place(spark, "csv"), table(spark, sf, "orders")
+    path, o = scratch(spark, "csv"), table(spark, sf, "orders")
     price = F.when(F.col("o_orderkey") % 7 == 0, "n.a.").otherwise(F.round("o_totalprice", 2).cast("string"))
     o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("DATE"), price.alias("Close"), F.col("o_orderkey").alias("id")).write.option("header", "true").csv(path)
     out = readers.csv_window(spark, path, "DATE", "1997-03-01", "1997-04-01", ["price"], {"price": ["Close", "close"]})
@@ -101,7 +96,7 @@ def s08_csv_window(spark, sf):
 @entry("S09_csv_calendar", "select registrant_ticker symbol, strftime(max(evidence_available_at), '%Y-%m-%d') report_day, count(*) n from evidence_claims where registrant_ticker is not null and evidence_available_at is not null group by 1")
 def s09_csv_calendar(spark, sf):
     """A calendar of reports as CSV with empty fields, read with its types."""
-    path = _place(spark, "calendar")
+    path = scratch(spark, "calendar")
     table(spark, sf, "evidence_claims").select(F.col("registrant_ticker").alias("symbol"), F.to_date("evidence_available_at").alias("reportDate"), F.lit(None).cast("double").alias("estimate")).write.option("header", "true").csv(path)
     df = spark.read.option("header", "true").schema("symbol string, reportDate date, estimate double").csv(path)
     return plain(df.where("symbol is not null and reportDate is not null").groupBy("symbol").agg(F.max("reportDate").alias("report_day"), rows_n()))
@@ -109,7 +104,7 @@ def s09_csv_calendar(spark, sf):
 
 @entry("S10_json_lines", """select case when c_custkey % 9 <> 0 then c_custkey end id, case when c_custkey % 9 <> 0 then c_mktsegment end segment, case when c_custkey % 9 = 0 then '[' || c_custkey || ']' end corrupt from customer""")
 def s10_json_lines(spark, sf):
-    path = _place(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     c = table(spark, sf, "customer")
     good = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")))
     c.select(F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("["), F.col("c_custkey").cast("string"), F.lit("]"))).otherwise(good).alias("value")).write.text(path)
@@ -119,7 +114,7 @@ def s10_json_lines(spark, sf):
 @entry("S11_columnar_json", "select n_nationkey::bigint id, n_name as name, case when n_nationkey < 20 then n_regionkey::bigint end region from nation")
 def s11_columnar_json(spark, sf):
     """Parallel arrays of one document as rows; an array that is too short is filled up with nulls."""
-    path, n = _place(spark, "columnar"), table(spark, sf, "nation")
+    path, n = scratch(spark, "columnar"), table(spark, sf, "nation")
     ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))
     doc = n.agg(ordered.alias("r")).select(F.struct(F.col("r.n_nationkey").alias("id"), F.col("r.n_name").alias("name"), F.slice("r.n_regionkey", 1, 20).alias("region")).alias("filings"))
     doc.select(F.to_json(F.struct("filings"))).write.text(path)
@@ -139,7 +134,7 @@ def s12_nested_lists(spark, sf):
 @entry("S13_raw_documents", "select n_regionkey::bigint region, sum(length(n_name) + 1)::bigint n_chars, true as read from nation group by 1")
 def s13_raw_documents(spark, sf):
     """Packed files of raw bytes, with length, hash and text."""
-    path = _place(spark, "raw")
+    path = scratch(spark, "raw")
     table(spark, sf, "nation").orderBy("n_nationkey").coalesce(1).select("n_regionkey", "n_name").write.partitionBy("n_regionkey").option("compression", "gzip").text(path)
     df = readers.raw_documents(spark, f"{path}/*/*.gz")
     ok = F.col("read") & (F.length("sha256") == 64) & (F.col("length") > 0)
@@ -166,7 +161,7 @@ def s18_session_calendar(spark, sf):
 @entry("K02_atomic_publish", "select * from (values ('first', 'written'), ('again', 'reused'), ('other', 'refused'), ('read', '25')) t(step, result)")
 def k02_atomic_publish(spark, sf):
     """A finished artifact is kept, one of other content refused, and readers find it whole."""
-    n, path = table(spark, sf, "nation"), _place(spark, "nation")
+    n, path = table(spark, sf, "nation"), scratch(spark, "nation")
     out = [("first", lake.publish(n, path, [], ["n_nationkey"])), ("again", lake.publish(n, path, [], ["n_nationkey"]))]
     try:
         out.append(("other", lake.publish(n.where("n_nationkey > 3"), path)))
@@ -178,7 +173,7 @@ def k02_atomic_publish(spark, sf):
 @entry("K03_resumed_batches", "select o_orderstatus batch, case when o_orderstatus = 'F' then 'reused' else 'written' end as result, count(*) n from orders group by 1")
 def k03_resumed_batches(spark, sf):
     """Batches that were sealed by an earlier run are kept, the others written."""
-    o, path = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), _place(spark, "batches")
+    o, path = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), scratch(spark, "batches")
     lake.publish_batches(o.where("o_orderstatus = 'F'"), path, "o_orderstatus")
     done = lake.publish_batches(o, path, "o_orderstatus")
     back = spark.read.option("basePath", path).parquet(f"{path}/*").groupBy(F.col("o_orderstatus").alias("batch")).agg(rows_n())
@@ -240,7 +235,7 @@ def k12_append_only(spark, sf):
 @entry("K13_packed_csv", "select o_orderpriority, count(*) n, round(sum(o_totalprice), 2) total, strftime(max(o_orderdate), '%Y-%m-%d') last_day from orders group by 1")
 def k13_packed_csv(spark, sf):
     """A packed CSV artifact, written and read again with its types."""
-    path = _place(spark, "csv-gz")
+    path = scratch(spark, "csv-gz")
     o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice", "o_orderpriority")
     o.write.option("header", "true").option("compression", "gzip").csv(path)
     back = spark.read.option("header", "true").schema(o.schema).csv(path)

@@ -10,7 +10,7 @@ from tidemark.operators import windows as w
 from tidemark.operators.distribution import quantiles_of
 from tidemark.plans import views
 from tidemark.plans.views import ACTIONS_SQL, DAILY_SQL, EVENTS_SQL, MONTHLY_SQL, OBS_SQL
-from tidemark.session import ensure_checkpoint_dir, table
+from tidemark.session import ensure_checkpoint_dir, scratch, table
 from tidemark.sources import readers
 from tidemark.streaming import streams
 
@@ -377,17 +377,16 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    import uuid
-
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    base = f"{ensure_checkpoint_dir(spark)}/{name}"
+    """What a stream gives of all that is there now; ``append`` its rows, else its last whole result."""
+    spark = stream.sparkSession
+    base, state = scratch(spark, "stream"), scratch(spark, "stream-state")
     if mode == "append":
-        q = stream.writeStream.outputMode("append").format("parquet").option("path", base).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
+        q = stream.writeStream.outputMode("append").format("parquet").option("path", base).option("checkpointLocation", state).trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.read.schema(stream.schema).parquet(base)
     # each batch's whole result replaces the one before, as a table and not in the driver's memory
     write = lambda df, _: df.write.mode("overwrite").parquet(base)
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{base}-state").start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", state).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(base)
 

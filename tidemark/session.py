@@ -69,6 +69,13 @@ def require_columns(df: DataFrame, names: list[str], what: str = "input") -> Dat
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, deleted by :func:`release`."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as Parquet and read it again.
 
@@ -77,14 +84,13 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     until :func:`release`, as results are read from them lazily.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete what :func:`stored` wrote for this session, when no result that reads it is wanted any more; returns how many folders went."""
+    """Delete what was written to :func:`scratch` paths in this session, when no result that reads it is wanted any more; returns how many folders went."""
     mine = [x for x in _WRITTEN if x[0] is spark]
     for x in mine:
         path = spark._jvm.org.apache.hadoop.fs.Path(x[1])
