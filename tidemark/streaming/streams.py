@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,41 +82,38 @@ def k_slack_buffer(stream: DataFrame, keys: Sequence[str], row_id: str, at: str,
 
     def run(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         high, n_out, held = state.get if state.exists else (None, 0, "[]")
-        buffer = pd.DataFrame(json.loads(held), columns=["t", "a", "id"]).astype({"t": "int64", "a": "int64"})
-        parts = []
+        buffer = [tuple(x) for x in json.loads(held)]  # event time, arrival, id
+        made: list[tuple] = []  # kind, id, t, arrival, released_at, n
         if state.hasTimedOut:
-            gone = buffer["t"] <= state.getCurrentWatermarkMs() * 1000 - bound_micros
-            left = buffer[gone].assign(kind="flushed", released_at=None)
+            upto = state.getCurrentWatermarkMs() * 1000 - bound_micros
+            made += [("flushed", i, t, a, None, None) for t, a, i in sorted(x for x in buffer if x[0] <= upto)]
+            n_out += len(made)
+            buffer = [x for x in buffer if x[0] > upto]
         else:
-            rows = pd.concat(list(pdfs)).sort_values(["a", "id"], kind="stable")
-            untimed = rows[rows["t"].isna()]
-            parts.append(untimed.assign(kind="untimed", released_at=None))
-            rows = rows[rows["t"].notna()].astype({"t": "int64"})
-            tops = rows.groupby("a")["t"].max().cummax()
-            if high is not None:
-                tops = tops.clip(lower=high)
-            before = tops.shift(1) if high is None else tops.shift(1, fill_value=high)
-            late = rows["a"].map(before) - rows["t"] > bound_micros
-            parts.append(rows[late].assign(kind="dropped", released_at=None))
-            buffer = pd.concat([buffer, rows.loc[~late, ["t", "a", "id"]]])
-            high = int(tops.iloc[-1]) if len(tops) else high
-            gone = buffer["t"] + bound_micros <= high if high is not None else buffer["t"] < 0
-            left = buffer[gone].assign(kind="released")
-            if len(left):
-                first = tops.index.to_numpy()[np.searchsorted(tops.to_numpy(), (left["t"] + bound_micros).to_numpy())]
-                left["released_at"] = np.maximum(first, left["a"].to_numpy())
-        parts.append(left.sort_values(["t", "a", "id"]))
-        buffer, n_out = buffer[~gone], n_out + len(left)
-        parts.append(pd.DataFrame([{"kind": "provisional", "n": n_out + len(buffer)}]))
-        if len(buffer) or high is not None and not state.hasTimedOut:
-            state.update((high, n_out, json.dumps(buffer.to_numpy().tolist())))
-            if len(buffer):
-                state.setTimeoutTimestamp(max(int(buffer["t"].min() + bound_micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            # most keys have few rows a batch, for which lists are faster than frames
+            rows = sorted((int(a), i, None if pd.isna(t) else int(t)) for pdf in pdfs for a, i, t in zip(pdf["a"], pdf["id"], pdf["t"], strict=True))
+            for a, same in groupby(rows, key=lambda r: r[0]):
+                now = list(same)
+                made += [("untimed", i, None, a, None, None) for _, i, t in now if t is None]
+                timed = [(t, a, i) for _, i, t in now if t is not None]
+                late = [x for x in timed if high is not None and high - x[0] > bound_micros]
+                made += [("dropped", i, t, a, None, None) for t, a, i in late]
+                buffer += [x for x in timed if high is None or high - x[0] <= bound_micros]
+                high = max([t for t, _, _ in timed] + ([] if high is None else [high]), default=None)
+                free = [] if high is None else sorted(x for x in buffer if x[0] + bound_micros <= high)
+                made += [("released", i, t, own, a, None) for t, own, i in free]
+                n_out += len(free)
+                if free:
+                    buffer = [x for x in buffer if x[0] + bound_micros > high]
+        made.append(("provisional", None, None, None, None, n_out + len(buffer)))
+        if buffer or high is not None and not state.hasTimedOut:
+            state.update((high, n_out, json.dumps(buffer)))
+            if buffer:
+                state.setTimeoutTimestamp(max((min(buffer)[0] + bound_micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         else:
             state.remove()
-        own = dict(zip(names, group, strict=True))
-        shape = {n: "Int64" if k == "long" else "string" for n, k in kinds}
-        yield pd.concat([p.rename(columns={"a": "arrival"}).assign(**own).reindex(columns=list(shape)).astype(shape) for p in parts])
+        columns = zip(*made, strict=True)
+        yield pd.DataFrame({n: pd.Series(list(v), dtype=object) for n, v in zip([n for n, _ in kinds], [*([g] * len(made) for g in group), *columns], strict=True)})
 
     grouped = narrow.withWatermark("ts", idle).groupBy(*names)
     out = grouped.applyInPandasWithState(run, ", ".join(f"{n} {k}" for n, k in kinds), "high long, n_out long, held string", "append", GroupStateTimeout.EventTimeTimeout)
