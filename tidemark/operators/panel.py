@@ -117,6 +117,19 @@ def forward_labels(bars: DataFrame, actions: DataFrame, horizons: Sequence[int])
     return df.select(k, o, F.array(*made).alias("_l")).select(k, o, F.inline("_l"))
 
 
+def forward_returns(bars: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """``asset_id, day, horizon, ret``: the change in percent to the close ``h`` rows ahead, null where the future is too short.
+
+    The return of :func:`forward_labels` alone, in one sort of the closes.  A bar
+    without a day comes last.
+    """
+    k, o = KEY, ORDER
+    order = Window.partitionBy(k).orderBy(F.col(o).asc_nulls_last())
+    ahead = bars.select(k, o, "close", *[F.lead("close", h).over(order).alias(f"_c{h}") for h in horizons])
+    made = [F.struct(F.lit(h).cast("long").alias("horizon"), (100 * (w.divided(f"_c{h}", "close") - 1)).alias("ret")) for h in horizons]
+    return ahead.select(k, o, F.inline(F.array(*made)))
+
+
 def total_return_steps(bars: DataFrame, cash: DataFrame) -> DataFrame:
     """Each row's step ``(close + cash) / previous close``, its logarithm, and running sums of good and bad steps."""
     k, o = KEY, ORDER

@@ -12,6 +12,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def divided(a: Column | str, b: Column | str) -> Column:
+    """The quotient of doubles as SQL without errors has it: infinite by zero, NaN where both are zero, null only for a null."""
+    a, b = col(a), col(b)
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def ordered(key: str | Sequence[str], order: str | Sequence[str]) -> Window:
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*([order] if isinstance(order, str) else order))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import divided
 from tidemark.session import table
 
 
@@ -36,6 +37,18 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return _panel(spark, sf, F.col("day"))
 
 
+def closes(spark: SparkSession, sf: str) -> DataFrame:
+    """asset_id, day, close of :func:`daily`, placed by asset: what follows along an asset's days needs no second shuffle.
+
+    Division is that of doubles in SQL (infinite or NaN by zero). Assets come with or
+    without a sector; :func:`sectors` tells which have one.
+    """
+    li = table(spark, sf, "lineitem").where("l_suppkey is not null")
+    rows = li.select(F.col("l_suppkey").alias("asset_id"), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("volume"))
+    bars = rows.repartition("asset_id").groupBy("asset_id", "day").agg(F.sum(F.col("value").cast("decimal(14,2)")).cast("double").alias("value"), F.sum("volume").alias("volume"))
+    return bars.select("asset_id", "day", divided("value", "volume").alias("close"))
+
+
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
     """The same at month grain, where the cross-section is dense."""
     return _panel(spark, sf, F.trunc("day", "month"))
